@@ -6,7 +6,8 @@ import tempfile
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 #: Bytes of text that a Python task handles at once, whatever the size of Arrow's batches; a longer text goes alone.
 CHUNK_BYTES = 4_000_000
@@ -37,9 +38,10 @@ def chunks(sizes: list[int], limit: int = CHUNK_BYTES) -> Iterator[slice]:
         yield slice(start, len(sizes))
 
 
-def empty_like(spark: SparkSession, schema: str) -> DataFrame:
-    """A table without rows."""
-    return spark.createDataFrame([], schema)
+def struct(**fields: str) -> T.StructType:
+    """A struct type from names and simple type names; needs no session, so that a module can use it while it is imported."""
+    kinds = {"string": T.StringType(), "binary": T.BinaryType(), "boolean": T.BooleanType(), "int": T.IntegerType(), "long": T.LongType(), "double": T.DoubleType()}
+    return T.StructType([T.StructField(k, kinds[v]) for k, v in fields.items()])
 
 
 _SPACE = np.zeros(256, bool)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from voltspan.llm.language import op3_language
 from voltspan.llm.sharding import op9_virtual_slots
 
 QUERIES = {
+    "op3_language": op3_language,
     "op9_virtual_slots": op9_virtual_slots,
 }
 ORACLES: dict[str, str] = {}
