@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from voltspan.llm.language import op3_language
+from voltspan.llm.secrets import op4_secrets
 from voltspan.llm.sharding import op9_virtual_slots
 
 QUERIES = {
     "op3_language": op3_language,
+    "op4_secrets": op4_secrets,
     "op9_virtual_slots": op9_virtual_slots,
 }
 ORACLES: dict[str, str] = {}
