@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from voltspan.llm.language import op3_language
+from voltspan.llm.packing import op8_packing
 from voltspan.llm.secrets import op4_secrets
 from voltspan.llm.sharding import op9_virtual_slots
+from voltspan.llm.simhash import op10_simhash
 
 QUERIES = {
     "op3_language": op3_language,
     "op4_secrets": op4_secrets,
+    "op8_packing": op8_packing,
     "op9_virtual_slots": op9_virtual_slots,
+    "op10_simhash": op10_simhash,
 }
 ORACLES: dict[str, str] = {}
