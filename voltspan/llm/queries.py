@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+from voltspan.llm import quality
 from voltspan.llm.language import op3_language
 from voltspan.llm.packing import op8_packing
+from voltspan.llm.quality import op1_quality
 from voltspan.llm.secrets import op4_secrets
 from voltspan.llm.sharding import op9_virtual_slots
 from voltspan.llm.simhash import op10_simhash
 
 QUERIES = {
+    "op1_quality": op1_quality,
     "op3_language": op3_language,
     "op4_secrets": op4_secrets,
     "op8_packing": op8_packing,
     "op9_virtual_slots": op9_virtual_slots,
     "op10_simhash": op10_simhash,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_quality": quality.oracle_sql(),
+}
