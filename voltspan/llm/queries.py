@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from voltspan.llm import quality
+from voltspan.llm import chat, quality
+from voltspan.llm.chat import op2_chat_format
 from voltspan.llm.language import op3_language
 from voltspan.llm.packing import op8_packing
 from voltspan.llm.quality import op1_quality
@@ -12,6 +13,7 @@ from voltspan.llm.simhash import op10_simhash
 
 QUERIES = {
     "op1_quality": op1_quality,
+    "op2_chat_format": op2_chat_format,
     "op3_language": op3_language,
     "op4_secrets": op4_secrets,
     "op8_packing": op8_packing,
@@ -20,4 +22,5 @@ QUERIES = {
 }
 ORACLES: dict[str, str] = {
     "op1_quality": quality.oracle_sql(),
+    "op2_chat_format": chat.ORACLE_SQL,
 }
