@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from voltspan.llm import chat, quality
+from voltspan.llm import chat, decontaminate, quality
 from voltspan.llm.chat import op2_chat_format
+from voltspan.llm.decontaminate import op7_decontaminate
 from voltspan.llm.language import op3_language
 from voltspan.llm.packing import op8_packing
 from voltspan.llm.quality import op1_quality
@@ -16,6 +17,7 @@ QUERIES = {
     "op2_chat_format": op2_chat_format,
     "op3_language": op3_language,
     "op4_secrets": op4_secrets,
+    "op7_decontaminate": op7_decontaminate,
     "op8_packing": op8_packing,
     "op9_virtual_slots": op9_virtual_slots,
     "op10_simhash": op10_simhash,
@@ -23,4 +25,5 @@ QUERIES = {
 ORACLES: dict[str, str] = {
     "op1_quality": quality.oracle_sql(),
     "op2_chat_format": chat.ORACLE_SQL,
+    "op7_decontaminate": decontaminate.ORACLE_SQL,
 }
