@@ -6,23 +6,24 @@ import tempfile
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 #: Bytes of text that a Python task handles at once, whatever the size of Arrow's batches; a longer text goes alone.
 CHUNK_BYTES = 4_000_000
 
 
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder of the session, spark.checkpoint.dir; a temporary one is set only where there is none (tests on one machine)."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="voltspan-checkpoint-"))
+    return context.getCheckpointDir()
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a checkpoint in the shared folder of the session; survives lost executors.
-
-    The folder is the session's spark.checkpoint.dir. Only where that is unset (tests on one machine) a temporary one is set.
-    """
-    spark = df.sparkSession
-    if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="voltspan-checkpoint-"))
-    elif spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
+    """Cuts the lineage with a checkpoint in the shared folder; survives lost executors."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint()
 
 

@@ -100,6 +100,12 @@ def contamination(docs: DataFrame, tests: DataFrame, key: str = "doc_id", item:
     return out.select(F.col("key").alias(key), "print", "n_words", n_hit.alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), (n_hit > 0).alias("contaminated"))
 
 
+def decontaminated(docs: DataFrame, tests: DataFrame, key: str = "doc_id", item: str = "item_id", text: str = "text") -> DataFrame:
+    """The documents without an occurrence of any phrase of the tests; all columns stay as they are."""
+    marked = hits(search(documents(docs, key, text), phrases(tests, item, text))).select(F.col("key").alias("_key"), F.col("print").alias("_print"))
+    return docs.join(marked, F.col(key).eqNullSafe(F.col("_key")) & (F.xxhash64(text) == F.col("_print")), "left_anti")
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document against every benchmark item."""
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

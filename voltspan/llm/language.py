@@ -205,6 +205,11 @@ def identify(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"held_out": held_out(), "_p": predict(docs.sparkSession, model, "text")}).select(*docs.columns, "held_out", "_p.*")
 
 
+def accepted(docs: DataFrame) -> DataFrame:
+    """The documents whose language isn't rejected; all columns stay as they are."""
+    return identify(docs).where(~F.col("rejected")).select(*docs.columns)
+
+
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")

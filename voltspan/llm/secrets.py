@@ -19,12 +19,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
 from voltspan.llm.common import struct
 from voltspan.tables import table
 
 KINDS = ("assign", "access", "hex")
+MASK = "[SECRET]"
 #: A decompressed layer is read in steps and given up beyond this, so that a small text can't fill a worker's memory.
 INFLATED_BYTES = 16_000_000
 FOUND = struct(n_assign="long", n_access="long", n_hex="long", base="string", spans="string", layers="int")
@@ -169,6 +171,35 @@ def scan_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.withColumn("secrets", secret_spans(text))
 
 
+def covered(spans: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """The union of sorted spans, as spans apart from each other."""
+    out: list[tuple[int, int]] = []
+    for a, _, b in spans:
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], b))
+        else:
+            out.append((a, b))
+    return out
+
+
+@arrow_udf(T.StringType())
+def redacted(texts: pa.Array) -> pa.Array:
+    """Each text with MASK in place of its secrets; the encoded parts that hide one are replaced too."""
+    out = texts.to_pylist()
+    for i in np.flatnonzero(pc.fill_null(pc.match_substring_regex(texts, WORTH), False).to_numpy(zero_copy_only=False)):
+        text, parts, at = out[i], [], 0
+        for a, b in covered(find(text)[1]):
+            parts += [text[at:a], MASK]
+            at = b
+        out[i] = "".join([*parts, text[at:]])
+    return pa.array(out, pa.string())
+
+
+def redact_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The rows with their secrets masked; nulls stay null, texts without a secret stay as they are."""
+    return docs.withColumn(text, redacted(text))
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document, those in encoded parts included."""
     found = scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "secrets.*")

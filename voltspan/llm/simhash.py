@@ -15,7 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
@@ -161,12 +161,12 @@ def links(prints: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, fp, component_id) of each row: component_id is the smallest key that its fingerprint reaches over links.
+    """(key, row, fp, component_id) of each row: row is a hash of key and text, component_id is the smallest key that its fingerprint reaches over links.
 
     Equal texts share a fingerprint, and only distinct fingerprints are searched. Null, empty and blank texts have fingerprint
     zero and link like others. A repeated row gives a repeated result; a null key is never a component's smallest unless all are.
     """
-    rows = checkpoint(docs.select(F.col(key).alias("key"), simhash(text).alias("fp")))
+    rows = checkpoint(docs.select(F.col(key).alias("key"), F.xxhash64(key, text).alias("row"), simhash(text).alias("fp")))
     prints = checkpoint(rows.groupBy("fp").agg(F.min("key").alias("least")))
     n, both = bit_statistics(prints)
     linked = links(probe(prints.select("fp"), allot(n, both)))
@@ -174,7 +174,16 @@ def near_duplicates(docs: DataFrame, key: str, text: str) -> DataFrame:
     first = prints.join(roots, prints.fp == roots.node).groupBy("root").agg(F.min("least").alias("first"))
     known = roots.join(first, "root").select(F.col("node").alias("fp"), "first")
     names = prints.join(known, "fp", "left").select("fp", F.coalesce("first", "least").alias("component_id"))
-    return rows.join(names, "fp").select(F.col("key").alias(key), "fp", "component_id")
+    return rows.join(names, "fp").select(F.col("key").alias(key), "row", "fp", "component_id")
+
+
+def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The documents whose key is their component's, one row of each component; all columns stay as they are."""
+    found = near_duplicates(docs, key, text).where(F.col(key).eqNullSafe(F.col("component_id")))
+    chosen = found.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp"))).agg(F.min("row").alias("_row")).select("_row")
+    kept = docs.withColumn("_row", F.xxhash64(key, text)).join(chosen, "_row", "left_semi")
+    again = F.row_number().over(Window.partitionBy("_row", key).orderBy(F.length(text)))  # rows that repeat as a whole
+    return kept.withColumn("_again", again).where("_again = 1").select(*docs.columns)
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
