@@ -11,12 +11,14 @@ from voltspan.llm.quality import op1_quality
 from voltspan.llm.secrets import op4_secrets
 from voltspan.llm.sharding import op9_virtual_slots
 from voltspan.llm.simhash import op10_simhash
+from voltspan.llm.urls import op5_url_filter
 
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_chat_format": op2_chat_format,
     "op3_language": op3_language,
     "op4_secrets": op4_secrets,
+    "op5_url_filter": op5_url_filter,
     "op7_decontaminate": op7_decontaminate,
     "op8_packing": op8_packing,
     "op9_virtual_slots": op9_virtual_slots,
