@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from voltspan.llm import chat, decontaminate, quality
+from voltspan.llm import chat, decontaminate, quality, substrings
 from voltspan.llm.chat import op2_chat_format
 from voltspan.llm.decontaminate import op7_decontaminate
 from voltspan.llm.language import op3_language
@@ -11,6 +11,7 @@ from voltspan.llm.quality import op1_quality
 from voltspan.llm.secrets import op4_secrets
 from voltspan.llm.sharding import op9_virtual_slots
 from voltspan.llm.simhash import op10_simhash
+from voltspan.llm.substrings import op6_substrings
 from voltspan.llm.urls import op5_url_filter
 
 QUERIES = {
@@ -19,6 +20,7 @@ QUERIES = {
     "op3_language": op3_language,
     "op4_secrets": op4_secrets,
     "op5_url_filter": op5_url_filter,
+    "op6_substrings": op6_substrings,
     "op7_decontaminate": op7_decontaminate,
     "op8_packing": op8_packing,
     "op9_virtual_slots": op9_virtual_slots,
@@ -27,5 +29,6 @@ QUERIES = {
 ORACLES: dict[str, str] = {
     "op1_quality": quality.oracle_sql(),
     "op2_chat_format": chat.ORACLE_SQL,
+    "op6_substrings": substrings.ORACLE_SQL,
     "op7_decontaminate": decontaminate.ORACLE_SQL,
 }
