@@ -106,7 +106,7 @@ def pack(docs: DataFrame, key: str, text: str, tokenizer: str, capacity: int = C
     is ranked within its class by a fixed set of hash buckets and their running counts, so no task sees a whole class.
     """
     spark = docs.sparkSession
-    made = docs.select(F.col(key).alias("key"), pieces_of(tokenizer, end_id, capacity, tolerance)(text).alias("made")).select("key", F.inline("made"))
+    made = docs.select(F.col(key).alias("key"), pieces_of(tokenizer, end_id, capacity, tolerance)(text).alias("made")).select("key", F.inline_outer("made"))
     made = made.withColumns({"class": F.floor(F.lit(capacity) / F.col("length")).cast("int"), "bucket": F.pmod(F.xxhash64("key", "start"), F.lit(BUCKETS)).cast("int")})
     made = checkpoint(made)  # tokenised once: the counts below and the ranks read the pieces
     counts = made.groupBy("class", "bucket").agg(F.count("*").alias("n"))
