@@ -37,7 +37,7 @@ VIEWS: dict[str, tuple[str, tuple[str, ...]]] = {
         "orders",
         (
             "lpad(CAST(o_custkey % 25 AS STRING), CASE WHEN o_orderkey % 41 = 0 THEN 4 ELSE 5 END, '0') AS fips", "CASE o_custkey % 4 WHEN 0 THEN 'North Power,' || CAST(o_custkey % 3 AS STRING) WHEN 1 THEN 'City Light' WHEN 2 THEN 'Co-op' ELSE 'Grid' END AS utility",
-            "CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE CAST(o_totalprice AS BIGINT) % 1000 END AS out", "CAST(o_orderdate AS STRING) AS since", "o_orderkey AS id",
+            "CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE CAST(floor(o_totalprice) AS BIGINT) % 1000 END AS out", "CAST(o_orderdate AS STRING) AS since", "o_orderkey AS id",
         ),
     ),
     "alerts": (
