@@ -25,6 +25,10 @@ from voltspan.llm.components import components
 from voltspan.tables import table
 
 SHINGLE, SEED, BITS, DISTANCE = 3, 42, 64, 2
+#: Rows that verifying a candidate pair costs: the midpoints of both, each shuffled twice. A probe is a row.
+VERIFY_ROWS = 2 * (BITS + 1) * 2
+#: Plans are made for this many fingerprints at least: a cheaper plan for fewer would cost more per row as a corpus grows.
+PLAN_ROWS = 10_000_000
 
 
 def fingerprint(text: str | None, width: int = SHINGLE, seed: int = SEED) -> int:
@@ -106,14 +110,14 @@ def within(both: np.ndarray, bits: tuple[int, ...], limit: int) -> float:
 
 
 def allot(n: int, both: np.ndarray, distance: int = DISTANCE) -> Plan:
-    """The partitions and thresholds of least cost: probes of all fingerprints plus estimated candidates."""
-    best = None
+    """The partitions and thresholds of least cost: probes of all fingerprints plus verifying the estimated candidates."""
+    n, best = max(n, PLAN_ROWS), None
     for parts in range(1, 2 * distance + 2):
         groups = group_bits(both, parts)
         price = []
         for bits in groups:
             probes = [0, 1, 1 + len(bits), 1 + len(bits) + len(bits) * (len(bits) - 1) // 2]
-            price.append([0.0] + [n * probes[t + 1] + n * n / 2 * within(both, bits, t) for t in range(min(distance, 2) + 1)])
+            price.append([0.0] + [n * probes[t + 1] + VERIFY_ROWS * n * n / 2 * within(both, bits, t) for t in range(min(distance, 2) + 1)])
         cheapest = {0: (0.0, ())}  # by sum of the thresholds
         for row in price:
             step: dict[int, tuple[float, tuple[int, ...]]] = {}
