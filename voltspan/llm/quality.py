@@ -33,9 +33,9 @@ CLASSES = {
     "symbol": "#*$%&|<>",
 }
 #: Guards: fewer characters or words than these are never judged by a histogram.
-MIN_CHARS, MIN_WORDS = 200, 50
+MIN_CHARS, MIN_WORDS = 400, 50
 #: Greatest Jensen-Shannon distance from the nearest reference that a kept document has.
-MAX_CLASS, MAX_WORD = 0.25, 0.32
+MAX_CLASS, MAX_WORD = 0.31, 0.30
 WINDOW, MIN_DOC_WORDS, REPEAT_SHARE = 8, 20, 30
 
 
