@@ -158,7 +158,7 @@ def sample(df: DataFrame, key: str, text: str, lang: str, rows: int = SAMPLE_ROW
     known = df.where(F.col(lang).isNotNull() & F.col(key).isNotNull())
     keys = known.select(key, F.shiftrightunsigned(F.xxhash64(key), 1).alias("_h"))
     share = min(1.0, 4 * rows / max(1, keys.count()))  # so that few rows of each partition meet in the last sort, however many there are
-    chosen = keys.where(F.col("_h") <= int(share * (2**63 - 1))).distinct().orderBy("_h", key).limit(rows).select(key)
+    chosen = keys.where(F.col("_h") <= min(int(share * 2**63), 2**63 - 1)).distinct().orderBy("_h", key).limit(rows).select(key)
     picked = known.select(key, text, lang).join(F.broadcast(chosen), key, "left_semi").dropDuplicates([key])
     found = picked.select(F.col(lang).alias("lang"), features(text).alias("f")).select("lang", "f.*").toArrow()
     return [(a, np.frombuffer(b, np.int32), np.frombuffer(c, np.float32)) for a, b, c in zip(*(found[x].to_pylist() for x in ("lang", "idx", "cnt")), strict=True)]
