@@ -189,10 +189,13 @@ def first_runs(docs: DataFrame, found: DataFrame) -> DataFrame:
     shards = cut.where(F.col("passages") <= MOST_PASSAGES).groupBy("anchor").agg(F.collect_list(F.struct("seg", "key", "words")).alias("group"))
     few = shards.select("anchor", first_keys("group").alias("found")).select("anchor", F.inline_outer("found"))
     words = F.split("words", " ")
-    runs = cut.where(F.col("passages") > MOST_PASSAGES).select("anchor", "seg", "key", words.alias("w"))
-    runs = runs.select("anchor", "seg", "key", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("w") - WIDTH + 1), lambda i: F.sha1(F.array_join(F.slice("w", i, WIDTH), " ")))).alias("i", "run"))
-    least = runs.groupBy("anchor", "run").agg(F.min("key").alias("first"))
-    many = runs.join(least, ["anchor", "run"]).groupBy("anchor", "seg").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "first"))), lambda x: x["first"]).alias("firsts"))
+    large = cut.where(F.col("passages") > MOST_PASSAGES).select("anchor", "seg", "key", words.alias("w"))
+    runs = large.select("anchor", "seg", "key", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("w") - WIDTH + 1), lambda i: F.sha1(F.array_join(F.slice("w", i, WIDTH), " ")))).alias("i", "run"))
+    least = runs.groupBy("anchor", "run").agg(F.min("key").alias("first"), F.max("key").alias("last")).where("first < last").drop("last")
+    earlier = runs.join(least, ["anchor", "run"]).where("first < key").groupBy("anchor", "seg").agg(F.map_from_entries(F.collect_list(F.struct("i", "first"))).alias("earlier"))
+    # a run that no passage of a smaller key has keeps its own passage's key, without a row
+    firsts = F.transform(F.sequence(F.lit(0), F.size("w") - WIDTH), lambda i: F.coalesce(F.col("earlier")[i], F.col("key")))
+    many = large.join(earlier, ["anchor", "seg"], "left").select("anchor", "seg", firsts.alias("firsts"))
     return same.unionByName(few).unionByName(many)
 
 
