@@ -92,3 +92,109 @@ def in_ring(lon: Column, lat: Column, ring: Column) -> Column:
 def wkt_line(line: Column, places: int = 6) -> Column:
     """`LINESTRING (lon lat, ...)`."""
     return F.concat(F.lit("LINESTRING ("), F.array_join(F.transform(line, lambda p: F.concat_ws(" ", F.bround(p["lon"], places).cast("string"), F.bround(p["lat"], places).cast("string"))), ", "), F.lit(")"))
+
+
+def from_mercator(x: Column, y: Column) -> tuple[Column, Column]:
+    """Degrees of a place in the spherical Mercator projection."""
+    return x / F.lit(MERCATOR / 180), (F.lit(2.0) * F.atan(F.exp(y / F.lit(R_AREA))) - F.lit(math.pi / 2)) * F.lit(180 / math.pi)
+
+
+def segments(line: Column) -> Column:
+    """The sides of a line, as structs (from_lon, from_lat, to_lon, to_lat)."""
+    n = F.greatest(F.size(line) - 1, F.lit(0))
+    side = lambda a, b: F.struct(a["lon"].alias("from_lon"), a["lat"].alias("from_lat"), b["lon"].alias("to_lon"), b["lat"].alias("to_lat"))
+    return F.zip_with(F.slice(line, F.lit(1), n), F.slice(line, F.lit(2), n), side)
+
+
+def projected_centroid(line: Column) -> Column:
+    """A struct (lon, lat): the centroid of a line by length in the Mercator projection; null for a line without length."""
+
+    def weighed(s: Column) -> Column:
+        (x0, y0), (x1, y1) = mercator(s["from_lon"], s["from_lat"]), mercator(s["to_lon"], s["to_lat"])
+        length = F.sqrt((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0))
+        return F.struct(length.alias("w"), (length * (x0 + x1) / 2).alias("x"), (length * (y0 + y1) / 2).alias("y"))
+
+    zero = F.struct(F.lit(0.0).alias("w"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
+    total = F.aggregate(F.transform(segments(line), weighed), zero, lambda a, s: F.struct((a["w"] + s["w"]).alias("w"), (a["x"] + s["x"]).alias("x"), (a["y"] + s["y"]).alias("y")))
+    length = F.nullif(total["w"], F.lit(0.0))
+    lon, lat = from_mercator(total["x"] / length, total["y"] / length)
+    return F.when(total["w"] > 0, F.struct(lon.alias("lon"), lat.alias("lat")))
+
+
+#: The ellipsoid's flattening, and the parallels and origin of the equal-area projection of the conterminous states.
+FLATTENING, ALBERS_PARALLELS, ALBERS_LAT, ALBERS_LON = 1 / 298.257222101, (29.5, 45.5), 23.0, -96.0
+ALBERS_E = math.sqrt(2 * FLATTENING - FLATTENING**2)
+
+
+def _authalic(sine: float) -> float:
+    e = ALBERS_E
+    return (1 - e * e) * (sine / (1 - e * e * sine * sine) - math.log((1 - e * sine) / (1 + e * sine)) / (2 * e))
+
+
+def _parallel(lat: float) -> tuple[float, float]:
+    """Squared radius of a parallel (the semi-axis as unit), and its authalic value."""
+    s = math.sin(math.radians(lat))
+    return (1 - s * s) / (1 - (ALBERS_E * s) ** 2), _authalic(s)
+
+
+(_M1, _Q1), (_M2, _Q2) = map(_parallel, ALBERS_PARALLELS)
+ALBERS_N = (_M1 - _M2) / (_Q2 - _Q1)
+ALBERS_C = _M1 + ALBERS_N * _Q1
+ALBERS_RHO0 = R_AREA * math.sqrt(ALBERS_C - ALBERS_N * _parallel(ALBERS_LAT)[1]) / ALBERS_N
+
+
+def albers(lon: Column, lat: Column) -> tuple[Column, Column]:
+    """Metres in the equal-area conic projection."""
+    e, s = ALBERS_E, F.sin(lat * F.lit(math.pi / 180))
+    q = F.lit(1 - e * e) * (s / (F.lit(1.0) - F.lit(e * e) * s * s) - F.log((F.lit(1.0) - F.lit(e) * s) / (F.lit(1.0) + F.lit(e) * s)) / F.lit(2 * e))
+    rho = F.lit(R_AREA / ALBERS_N) * F.sqrt(F.lit(ALBERS_C) - F.lit(ALBERS_N) * q)
+    theta = F.lit(ALBERS_N * math.pi / 180) * (lon - F.lit(ALBERS_LON))
+    return rho * F.sin(theta), F.lit(ALBERS_RHO0) - rho * F.cos(theta)
+
+
+def albers_length(line: Column) -> Column:
+    """Metres along a line in the equal-area projection."""
+
+    def length(s: Column) -> Column:
+        (x0, y0), (x1, y1) = albers(s["from_lon"], s["from_lat"]), albers(s["to_lon"], s["to_lat"])
+        return F.sqrt((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0))
+
+    return F.aggregate(F.transform(segments(line), length), F.lit(0.0), lambda total, x: total + x)
+
+
+def clipped_segment(side: Column, box: tuple[float, float, float, float]) -> Column:
+    """The part of a side inside a box (west, south, east, north), by the share of it at which it enters and leaves; else null."""
+    west, south, east, north = map(float, box)
+    x, y = side["from_lon"], side["from_lat"]
+    dx, dy = side["to_lon"] - x, side["to_lat"] - y
+
+    def share(edge: float, start: Column, step: Column) -> Column:
+        return (F.lit(edge) - start) / F.nullif(step, F.lit(0.0))
+
+    def enters(start: Column, step: Column, low: float, high: float) -> Column:
+        beside = F.when(start.between(low, high), 0.0).otherwise(2.0)
+        return F.when(step > 0, share(low, start, step)).when(step < 0, share(high, start, step)).otherwise(beside)
+
+    def leaves(start: Column, step: Column, low: float, high: float) -> Column:
+        return F.when(step > 0, share(high, start, step)).when(step < 0, share(low, start, step)).otherwise(1.0)
+
+    first = F.greatest(F.lit(0.0), enters(x, dx, west, east), enters(y, dy, south, north))
+    last = F.least(F.lit(1.0), leaves(x, dx, west, east), leaves(y, dy, south, north))
+    inside = F.struct((x + first * dx).alias("from_lon"), (y + first * dy).alias("from_lat"), (x + last * dx).alias("to_lon"), (y + last * dy).alias("to_lat"))
+    return F.when(first < last, inside)
+
+
+def ring_problem(ring: Column) -> Column:
+    """`short` for fewer than four points, `open` if the last isn't the first, else null."""
+    return F.when(F.size(ring) < 4, "short").when(F.get(ring, F.lit(0)) != F.element_at(ring, -1), "open")
+
+
+def as_polygons(rings: Column) -> Column:
+    """A struct (kind, polygons): each ring becomes a polygon of its own, several a MultiPolygon."""
+    return F.struct(F.when(F.size(rings) == 1, "Polygon").otherwise("MultiPolygon").alias("kind"), F.transform(rings, lambda r: F.array(r)).alias("polygons"))
+
+
+def near_click(lon: Column, lat: Column, at_lon: float, at_lat: float, zoom: int, pixels: int) -> Column:
+    """Whether a point is in the square of so many pixels to each side of a click at a zoom."""
+    (x, y), (cx, cy) = pixel(lon, lat, zoom), pixel(F.lit(at_lon), F.lit(at_lat), zoom)
+    return (F.abs(x - cx) <= pixels) & (F.abs(y - cy) <= pixels)

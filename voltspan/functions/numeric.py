@@ -102,3 +102,16 @@ def alive(year: int | Column, start: Column, end: Column) -> Column:
     """In service in a year: from the start (missing: always) until the end (missing, zero or negative: never)."""
     until = F.when(F.coalesce(end, F.lit(0)) <= 0, 9999).otherwise(end)
     return (F.coalesce(start, F.lit(0)) <= year) & (F.lit(year) < until if isinstance(year, int) else year < until)
+
+
+def rescaled(value: Column, low: float, high: float, top: float) -> Column:
+    """`low` to `high` spread over 0 to `top`, rounded half to even, within these."""
+    share = (value - F.lit(float(low))) / F.lit(float(high - low)) * F.lit(float(top))
+    return F.bround(F.least(F.lit(float(top)), F.greatest(F.lit(0.0), share)), 0)
+
+
+def cycles(now: Column, back: int, hours: int = 6) -> Column:
+    """The start of the model cycle that a time is in, and of the `back` cycles before it, newest first."""
+    width = hours * 3600
+    newest = F.floor(F.unix_timestamp(now) / width) * width
+    return F.transform(F.sequence(F.lit(0), F.lit(back)), lambda i: F.timestamp_seconds(newest - i * width))

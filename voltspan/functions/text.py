@@ -179,3 +179,9 @@ def safe_html(text: Column) -> Column:
 def leading_number(text: Column) -> Column:
     """The number that a text begins with, whatever follows; else null."""
     return F.nullif(F.regexp_extract(text, r"^\s*([-+]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][-+]?[0-9]+)?)", 1), F.lit("")).try_cast("double")
+
+
+def safe_link(url: Column) -> Column:
+    """A url for markup, without control characters and blanks; null if it would run a script."""
+    plain = F.regexp_replace(url, r"[\x00-\x20]", "")
+    return F.when(~F.lower(plain).startswith("javascript:"), safe_html(plain))

@@ -115,3 +115,16 @@ def complete_or_newest(df: DataFrame, group: str, item: str, needed: Sequence[st
 
 def transform_all(df: DataFrame, *steps: Callable[[DataFrame], DataFrame]) -> DataFrame:
     return reduce(lambda d, step: step(d), steps, df)
+
+
+def real_dates(df: DataFrame, columns: Sequence[str], least: float = 1e9) -> DataFrame:
+    """Columns of epoch milliseconds as times; one without any value above `least` holds something else and becomes null."""
+    peak = df.agg(*(F.max(c).alias(c) for c in columns)).first()
+    return df.withColumns({c: F.timestamp_millis(F.col(c).cast("long")) if (peak[c] or 0) > least else F.lit(None).cast("timestamp") for c in columns})
+
+
+def cross_check(expected: DataFrame, present: DataFrame, key: str, strict: bool = False) -> DataFrame:
+    """(key, level) of names in either: PASS in both, WARN (strict: FAIL) only expected, FAIL only present."""
+    a, b = expected.select(key).distinct().withColumn("_a", F.lit(True)), present.select(key).distinct().withColumn("_b", F.lit(True))
+    missing = "FAIL" if strict else "WARN"
+    return a.join(b, key, "full").select(key, F.when(F.col("_b").isNull(), missing).when(F.col("_a").isNull(), "FAIL").otherwise("PASS").alias("level"))

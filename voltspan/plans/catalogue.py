@@ -1,4 +1,4 @@
 """Imports every module that registers queries."""
 
-from voltspan.plans import details, places, relations, scalars  # noqa: F401
+from voltspan.plans import details, extras, places, relations, scalars  # noqa: F401
 from voltspan.plans.registry import FLAGSHIP, ORACLES, QUERIES  # noqa: F401
