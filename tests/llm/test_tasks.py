@@ -100,6 +100,19 @@ def test_redaction(spark):
     assert [r.text for r in S.redact_secrets(df).orderBy("doc_id").collect()] == [f'x {S.MASK}" y', None, f"z {S.MASK}", "clean"]
 
 
+@pytest.mark.parametrize("text", [
+    '"password": "\\u0061bcdefghijklmnop"', 'password%3D "abcdefghijklmnop"', "?q=%E9&token=abcd%65fghijklmnop",
+    "/api/" + base64.b64encode(SECRET.encode()).decode(), "/v12/" + base64.b64encode(SECRET.encode()).decode(), base64.b64encode(b"\xff\xfe" + SECRET.encode()).decode(),
+    base64.b64encode(gzip.compress(gzip.compress(zlib.compress(SECRET.encode())))).decode(), "d=" + urllib.parse.quote(gzip.compress(SECRET.encode())),
+    base64.b64encode(gzip.compress(b"first") + gzip.compress(b"x") + gzip.compress(SECRET.encode())).decode(), base64.encodebytes(b"some words before it, " * 5 + SECRET.encode()).decode(),
+    base64.encodebytes(gzip.compress(random.Random(3).randbytes(200) + SECRET.encode())).decode(), "/files/" + NESTED,
+])
+def test_secrets_of_parts(text):
+    text = f"see {text} end"
+    found = [(a, b) for a, k, b in (S.find(text)[1]) if k == 0 and b - a > 16]
+    assert found and all(4 <= a < b <= len(text) - 4 for a, b in found)
+
+
 def test_urls(spark, write):
     pages = [
         ("https://A.b.NET/x", "a.b.net", "/x", "net/", "block"), ("http://example.net/en/1?q", "example.net", "/en/1", "example.net/en/", "allow"), ("http://www.example.net/de/", "www.example.net", "/de/", "net/", "block"),
