@@ -113,6 +113,14 @@ def test_secrets_of_parts(text):
     assert found and all(4 <= a < b <= len(text) - 4 for a, b in found)
 
 
+@pytest.mark.parametrize("inner", [SECRET, "token" + " " * 200_000 + "= abcdefghijklmnop", NESTED])
+@pytest.mark.parametrize("at", [3_999_990, 17_000_000])
+def test_secrets_of_large_compressed_layers(inner, at):
+    filler = b"no key in this line\n" * 900_000
+    run = base64.b64encode(gzip.compress(filler[:at] + b" " + inner.encode() + b" " + filler[:1000], 1)).decode()
+    assert [(a, b) for a, k, b in S.find(f"see {run} end")[1] if k == 0] == [(4, 4 + len(run))]
+
+
 def test_urls(spark, write):
     pages = [
         ("https://A.b.NET/x", "a.b.net", "/x", "net/", "block"), ("http://example.net/en/1?q", "example.net", "/en/1", "example.net/en/", "allow"), ("http://www.example.net/de/", "www.example.net", "/de/", "net/", "block"),

@@ -28,8 +28,9 @@ from voltspan.tables import table
 
 KINDS = ("assign", "access", "hex")
 MASK = "[SECRET]"
-#: A decompressed layer is read in steps and given up beyond this, so that a small text can't fill a worker's memory.
-INFLATED_BYTES = 16_000_000
+#: Inflated bytes become layers of about this size, so that a small text can't fill a worker's memory. A layer begins with the end of
+#: the one before: OVERLAP bytes, or from the start of a base64 run that goes on, if that has at most CARRY bytes.
+INFLATED_BYTES, OVERLAP, CARRY = 4_000_000, 1 << 16, 8_000_000
 FOUND = struct(n_assign="long", n_access="long", n_hex="long", base="string", spans="string", layers="int")
 
 ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -43,7 +44,9 @@ BREAK = re.compile(r"[^A-Za-z0-9+/_-]+")
 #: The first bytes of gzip and of zlib data without a preset dictionary.
 HEADER = re.compile(b"\x1f\x8b\x08|" + b"|".join(re.escape(bytes([m, f])) for m in range(8, 128, 16) for f in range(256) if (m << 8 | f) % 31 == 0 and not f & 32))
 #: Compressed data are fed in steps of so many bytes.
-FEED, PIECE = 1 << 16, 1 << 22
+FEED, PIECE = 1 << 16, 1 << 20
+_ENCODED = np.zeros(256, bool)
+_ENCODED[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-=\r\n")] = True
 #: A text without any of these has neither a secret nor an encoded part; RE2 tells so for a batch at a time.
 WORTH = r"(?i:(password|passwd|secret|token|api_?key)[\"']?\x20*[:=])|AKIA[A-Z0-9]{14}|[0-9a-f]{16}|%[0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|[A-Za-z0-9+/_-]{16}"
 
@@ -191,13 +194,22 @@ def decoded(text: str) -> Iterator[tuple[str | Iterator[bytes], np.ndarray, np.n
 
 
 def pieces(data: Iterator[bytes]) -> Iterator[str]:
-    """The text of inflated bytes; none beyond INFLATED_BYTES."""
-    whole = b""
+    """The whole text of inflated bytes in overlapping pieces. Long runs of blanks and those after a line end, which no secret or encoded part tells apart, are cut."""
+    whole, size = bytearray(), INFLATED_BYTES
     for part in data:
         whole += part
-        if len(whole) > INFLATED_BYTES:
-            return
-    yield lossy(whole)[0]
+        if len(whole) < size:
+            continue
+        whole = bytearray(re.sub(rb"(?<=\n)[\x20\t]+", b"", re.sub(rb"\x20{3,}", b"  ", whole)))
+        if len(whole) < size:
+            continue
+        yield lossy(bytes(whole))[0]
+        other = np.flatnonzero(~_ENCODED[np.frombuffer(whole, np.uint8)])
+        run = len(whole) - (int(other[-1]) + 1 if len(other) else 0)
+        whole = whole[-max(OVERLAP, run if run <= CARRY else 0) :]
+        size = max(INFLATED_BYTES, 2 * len(whole))
+    if whole:
+        yield lossy(bytes(whole))[0]
 
 
 def layers_of(text: str) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
@@ -207,7 +219,7 @@ def layers_of(text: str) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
             if not piece:
                 continue
             if not isinstance(inner, str):
-                first, last = np.full(len(piece), first[0]), np.full(len(piece), last[-1])
+                first, last = np.broadcast_to(first[:1], len(piece)), np.broadcast_to(last[-1:], len(piece))
             yield piece, first, last
 
 
