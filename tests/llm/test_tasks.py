@@ -140,6 +140,20 @@ def test_urls(spark, write):
     assert urls.op5_url_filter(spark, write("pages", [], schema, folder="none")).count() == 0
 
 
+def test_url_scores_count_repeats_and_single_letters(spark, write):
+    rows = [(1, "http://casino.x/win/win/a"), (2, "http://casino.x/win"), (3, "http://news.x/story/a/story"), (4, "http://news.x/b/story"), (5, "http://news.x/win/WIN/a/win")]
+    tokens = {k: re.findall("[a-z]+", u[7:].lower().replace(".x/", "/")) for k, u in rows}
+    count = {b: language.np.zeros(0) for b in (True, False)}
+    words = sorted({w for t in tokens.values() for w in t})
+    for b in count:
+        count[b] = language.np.array([sum(t.count(w) for k, t in tokens.items() if (t[0] == "casino") == b) for w in words])
+    log = language.np.log
+    weight = dict(zip(words, log((count[True] + 1) / (count[True].sum() + len(words) + 1)) - log((count[False] + 1) / (count[False].sum() + len(words) + 1)), strict=True))
+    want = {k: log(3 / 4) + sum(weight[w] for w in t) for k, t in tokens.items()}
+    got = urls.op5_url_filter(spark, write("pages", rows, pa.schema([("page_id", pa.int64()), ("url", pa.string())]))).collect()
+    assert {r.page_id: r.score for r in got} == pytest.approx(want, abs=6e-4)
+
+
 def test_viterbi_like_all_splits():
     words, rng = {"free": 50, "casino": 40, "cas": 5, "in": 30, "ino": 2, "win": 20, "owin": 1}, random.Random(4)
 

@@ -72,8 +72,8 @@ def names_of(host: str | Column) -> Column:
 
 
 def path_words(path: str | Column) -> Column:
-    """The signature of a path: its distinct words of two letters or more, sorted."""
-    return F.array_sort(F.array_distinct(F.filter(F.split(F.translate(path, UPPER, LOWER), "[^a-z]+"), lambda w: F.length(w) > 1)))
+    """The signature of a path: its words with their repeats, sorted."""
+    return F.array_sort(F.array_remove(F.split(F.translate(path, UPPER, LOWER), "[^a-z]+"), ""))
 
 
 def viterbi(name: str, words: list[tuple[int, str, int]], total: int) -> list[str]:
