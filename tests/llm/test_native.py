@@ -141,3 +141,9 @@ def test_phrases_shuffled_beyond_the_broadcast_limit(spark, monkeypatch):
     docs = spark.createDataFrame([(1, "a b c d e f g h i j k")], "doc_id long, text string")
     tests = spark.createDataFrame([(7, "b c d e f g h i j k")], "item_id long, text string")
     assert decontaminate.contamination(docs, tests).select("n_hit").first()[0] == 10
+
+
+def test_proximity_counts_repeated_words(spark):
+    docs = decontaminate.documents(spark.createDataFrame([(1, "x red blue green y"), (2, "x red blue red green y")], "k long, t string"), "k", "t")
+    wanted = decontaminate.phrases(spark.createDataFrame([(1, "red red green blue")], "i long, t string"), "i", "t")
+    assert [r.key for r in decontaminate.search(docs, wanted, slop=4).select("key").distinct().collect()] == [2]

@@ -64,14 +64,14 @@ def rarest(docs: DataFrame, wanted: DataFrame, rows: int) -> DataFrame:
 def search(docs: DataFrame, wanted: DataFrame, width: int = WIDTH, slop: int | None = None) -> DataFrame:
     """(key, print, start, end, items) of each occurrence of a phrase in documents (key, print, words).
 
-    Exact: the phrase's words in order. With a slop: all its words within that many positions of its rarest one, in any order
+    Exact: the phrase's words in order. With a slop: all its words, as often as it has them, within that many positions of its rarest one, in any order
     (start to end then spans those positions).
     """
     rows = wanted.count()
     seeds = rarest(docs, wanted, rows)
     found = postings(docs, slop if slop is not None else width - 1).join(sized(seeds, rows), "term")
     if slop is not None:
-        near = found.where(F.size(F.array_except("phrase", "near")) == 0)
+        near = found.where(F.forall("phrase", lambda t: F.size(F.filter("phrase", lambda x: x == t)) <= F.size(F.filter("near", lambda x: x == t))))
         return near.select("key", "print", F.col("first").alias("start"), (F.col("first") + F.size("near")).alias("end"), "items")
     start = F.col("pos") - F.col("offset")
     here = F.slice("near", F.greatest(start - F.col("first"), F.lit(0)) + 1, F.size("phrase"))
