@@ -15,10 +15,14 @@ CHUNK_BYTES = 4_000_000
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder of the session, spark.checkpoint.dir; a temporary one is set only where there is none (tests on one machine)."""
+    """The shared folder of the session, spark.checkpoint.dir. Where there is none, a temporary one is set if the session is local; on a
+    cluster, whose machines don't share one, that is an error."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="voltspan-checkpoint-"))
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="voltspan-checkpoint-"))
     return context.getCheckpointDir()
 
 
@@ -34,6 +38,14 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A name like `name` that no column of df has, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def chunks(sizes: list[int], limit: int = CHUNK_BYTES) -> Iterator[slice]:
     """Slices of consecutive rows of about `limit` bytes together."""
     start = total = 0
