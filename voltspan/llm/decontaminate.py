@@ -19,6 +19,8 @@ from voltspan.tables import table
 WIDTH, SLACK = 10, 2
 #: Rows up to this number are broadcast to the index (some 50 MB); more are joined by shuffling.
 BROADCAST_ROWS = 200_000
+#: Documents with candidates are told by a hash of so many values, broadcast whatever their number (some 30 MB at most).
+PLACES = 1 << 20
 #: Positions in a block: lists are intersected block by block, so that a very long document isn't one group.
 BLOCK = 64
 #: The characters between words, after A-Z are lower-cased.
@@ -32,13 +34,14 @@ def words(text: str | Column) -> Column:
 
 
 def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """The index, written: a row (term, key, print, pos) for each word of the documents, sorted by term in each file.
+    """The index, written: a row (term, key, print, pos) for each word of the documents; in each file rows are in the order of the
+    terms' hashes, which sort much faster than strings.
 
     `print` tells rows of the same key with different texts apart. The empty term marks a document's end: its position is the
     number of words.
     """
     own = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("print"), F.posexplode(F.concat(words(text), F.array(F.lit("")))).alias("pos", "term"))
-    return written(own.select("term", "key", "print", "pos").sortWithinPartitions("term"))
+    return written(own.select("term", "key", "print", "pos", F.xxhash64("term").alias("code")).sortWithinPartitions("code").drop("code"))
 
 
 def phrases(tests: DataFrame, item: str, text: str, width: int = WIDTH) -> DataFrame:
@@ -72,14 +75,6 @@ def blocks(pos: Column, reach: int) -> Column:
     return F.array_distinct(F.array(F.floor((pos - reach) / BLOCK), F.floor((pos + reach) / BLOCK)))
 
 
-def same_place(a: DataFrame, b: DataFrame, *more: str) -> Column:
-    """The join condition of two lists: the same document and block, and equal columns `more`."""
-    on = a["key"].eqNullSafe(b["key"]) & (a["print"] == b["print"]) & (a["block"] == b["block"])
-    for name in more:
-        on &= a[name] == b[name]
-    return on
-
-
 def search(index: DataFrame, wanted: DataFrame, slack: int = SLACK) -> DataFrame:
     """(key, print, pid, start, end, exact, items): the places near which documents have all words of a phrase.
 
@@ -92,15 +87,19 @@ def search(index: DataFrame, wanted: DataFrame, slack: int = SLACK) -> DataFrame
     listed = index.withColumn("block", F.floor(F.col("pos") / BLOCK))
     first, second = (terms.where(F.col("rank") == k).select("pid", "term", "offset") for k in (1, 2))
     anchors = index.join(sized(first, rows), "term").select("pid", "key", "print", "pos", "offset")
-    near = listed.join(sized(second, rows), "term").select("pid", "key", "print", "block", F.col("pos").alias("other")).alias("near")
+    near = listed.join(sized(second, rows), "term").select(F.col("pid").alias("q"), F.col("key").alias("k"), F.col("print").alias("p"), F.col("block").alias("at"), F.col("pos").alias("other"))
     placed = anchors.join(sized(second.select("pid"), rows), "pid").withColumn("block", F.explode(blocks(F.col("pos"), reach)))
-    both = placed.join(near, same_place(placed, near, "pid") & (F.abs(F.col("other") - placed["pos"]) <= reach), "left_semi").drop("block").distinct()
+    same = (F.col("pid") == F.col("q")) & F.col("key").eqNullSafe(F.col("k")) & (F.col("print") == F.col("p")) & (F.col("block") == F.col("at"))
+    both = placed.join(near, same & (F.abs(F.col("other") - F.col("pos")) <= reach), "left_semi").drop("block").distinct()
     alone = anchors.join(sized(second.select("pid"), rows), "pid", "left_anti").distinct()  # phrases of one word only
     left = written(both.unionByName(alone))
-    asked = left.join(sized(terms.select("pid", "term"), rows * WIDTH), "pid").withColumn("block", F.explode(blocks(F.col("pos"), reach))).withColumnRenamed("pos", "anchor")
-    asked = sized(asked, left.count() * WIDTH * 2)
-    found = listed.join(asked, same_place(listed, asked, "term") & (F.abs(listed["pos"] - F.col("anchor")) <= reach))
-    found = found.select("pid", asked["key"], asked["print"], "anchor", "offset", F.struct(listed["pos"].alias("q"), listed["term"].alias("term")).alias("at"))
+    asked = left.join(sized(terms.select("pid", F.col("term").alias("wanted")), rows * WIDTH), "pid").withColumn("at", F.explode(blocks(F.col("pos"), reach)))
+    asked = asked.select("pid", "wanted", "offset", "at", F.col("key").alias("k"), F.col("print").alias("p"), F.col("pos").alias("anchor"))
+    place = lambda: F.pmod(F.xxhash64("key", "print"), F.lit(PLACES))
+    listed = listed.join(F.broadcast(left.select(place().alias("place")).distinct()), place() == F.col("place"), "left_semi")
+    same = F.col("key").eqNullSafe(F.col("k")) & (F.col("print") == F.col("p")) & (F.col("block") == F.col("at")) & (F.col("term") == F.col("wanted"))
+    found = listed.join(asked, same & (F.abs(F.col("pos") - F.col("anchor")) <= reach))
+    found = found.select("pid", "key", "print", "anchor", "offset", F.struct(F.col("pos").alias("q"), "term").alias("at"))
     lists = found.groupBy("pid", "key", "print", "anchor", "offset").agg(F.collect_set("at").alias("at"))  # 2 * reach + 1 positions at most
     needs = terms.groupBy("pid").agg(F.collect_list(F.struct("term", "times")).alias("needs"))
     known = lists.join(sized(wanted.join(needs, "pid"), rows), "pid")
