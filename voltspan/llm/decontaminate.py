@@ -23,8 +23,8 @@ BROADCAST_ROWS = 200_000
 PLACES = 1 << 20
 #: Positions in a block: lists are intersected block by block, so that a very long document isn't one group.
 BLOCK = 64
-#: The characters between words, after A-Z are lower-cased.
-BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The characters between words.
+BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -33,6 +33,11 @@ def words(text: str | Column) -> Column:
     return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), BETWEEN), "")
 
 
+def lowered(word: Column) -> Column:
+    """A word with A-Z lower-cased; those of ASCII letters alone the fast way."""
+    return F.when(F.octet_length(word) == F.length(word), F.lower(word)).otherwise(F.translate(word, UPPER, LOWER))
+
+
 def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
     """The index, written: a row (term, key, print, pos) for each word of the documents; in each file rows are in the order of the
     terms' hashes, which sort much faster than strings.
@@ -40,8 +45,11 @@ def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
     `print` tells rows of the same key with different texts apart. The empty term marks a document's end: its position is the
     number of words.
     """
-    own = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("print"), F.posexplode(F.concat(words(text), F.array(F.lit("")))).alias("pos", "term"))
-    return written(own.select("term", "key", "print", "pos", F.xxhash64("term").alias("code")).sortWithinPartitions("code").drop("code"))
+    parts = F.split(F.concat(F.coalesce(text, F.lit("")), F.lit(" ")), BETWEEN)  # ends in an empty part, and begins with one where no word does
+    own = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("print"), parts.alias("parts"))
+    own = own.select("key", "print", F.expr("cast(parts[0] = '' as int)").alias("shift"), F.posexplode("parts").alias("pos", "term")).where("pos > 0 or term != ''")
+    own = own.select(lowered(F.col("term")).alias("term"), "key", "print", (F.col("pos") - F.col("shift")).alias("pos"))
+    return written(own.withColumn("code", F.xxhash64("term")).sortWithinPartitions("code").drop("code"))
 
 
 def phrases(tests: DataFrame, item: str, text: str, width: int = WIDTH) -> DataFrame:
