@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Bytes of text that a Python task handles at once, whatever the size of Arrow's batches; a longer text goes alone.
@@ -38,6 +39,22 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
+#: A value that more than one row in so many has is frequent; there are fewer such values than this.
+HEAVY = 1000
+
+
+def join_spread(left: DataFrame, right: DataFrame, on: str, total: int) -> DataFrame:
+    """The inner join on a column that right has once each, with the number n of left's rows that have it (total: of all of them).
+
+    Left rows of frequent values meet a broadcast of right's few frequent rows (under HEAVY, whatever the input) where they are, so
+    that no value lands in one task; the others are shuffled. Column n goes.
+    """
+    frequent = F.col("n") > total / HEAVY
+    often, seldom = (right.where(x).drop("n") for x in (frequent, ~frequent))
+    rest = left.join(F.broadcast(often.select(on)), on, "left_anti").join(seldom, on)
+    return left.join(F.broadcast(often), on).unionByName(rest)
+
+
 def unused(df: DataFrame, name: str) -> str:
     """A name like `name` that no column of df has, in any case."""
     taken = {c.lower() for c in df.columns}

@@ -1,8 +1,8 @@
 """URL filters: explicit rules first, else naive Bayes over the words of host and path.
 
 Names in hosts are split into words by a unigram Viterbi search: the counts of words that occur on their own in urls (between
-separators) over all pages, and a short lexicon, make the unigrams. Pages whose host has a word of the lexicon's unwanted part are
-the examples to block, all others those to allow; a multinomial naive Bayes on the segmented host and path words judges every url.
+separators) over all pages, and a short lexicon, make the unigrams. Pages that a rule fits are the examples to block or to allow, but
+for those of held-out hosts; a multinomial naive Bayes learned from their segmented host and path words judges every other url.
 Work is on distinct hosts, names and path signatures, so a host that holds a third of the pages costs as much as another.
 """
 
@@ -17,17 +17,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
-from voltspan.llm.common import checkpoint
+from voltspan.llm.common import checkpoint, join_spread
 from voltspan.tables import table
 
 #: Longest word that a name is split into, and the count that a word of the lexicon has at least.
 LONGEST, LEXICON_COUNT = 20, 1000
-#: Words of hosts to block, and others that names are often made of.
-UNWANTED = (
-    "ads adult bet bets betting casino cheap click clicks farm gambling jackpot loan loans lottery malware phish pills poker porn promo replica seo slots spam track tracker tracking viagra warez win xxx".split()
-)
-ORDINARY = (
-    "about app art blog book books city data doc docs education food forum free garden health help home house info library life local mail map media museum music news online open photo press radio science school shop site sport store study tech travel video weather web wiki work world".split()
+#: Of so many hosts with a rule, one isn't learned from, so that the verdicts on unseen hosts can be measured.
+HELD_OUT = 5
+#: Words that names are often made of. They help to split names; no verdict comes from them.
+LEXICON = (
+    "about ads adult app art bet bets betting blog book books casino cheap city click clicks data doc docs education farm food forum free gambling garden health help home house info jackpot library life loan "
+    "loans local lottery mail malware map media museum music news online open phish photo pills poker porn press promo radio replica school science seo shop site slots spam sport store study tech track "
+    "tracker tracking travel viagra video warez weather web wiki win work world xxx".split()
 )
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -104,7 +105,7 @@ def unigrams(pairs: DataFrame) -> DataFrame:
     """(word, n): words that stand alone in paths or between hyphens of host labels, over all pages; those of the lexicon have LEXICON_COUNT more."""
     hyphened = F.flatten(F.transform(F.filter(F.split("host", r"\."), lambda x: x.contains("-")), lambda x: F.split(x, "[^a-z]+")))
     seen = pairs.select("n", F.explode(F.concat("signature", hyphened)).alias("word")).where(F.length("word").between(2, LONGEST))
-    seeds = pairs.sparkSession.createDataFrame([(w, LEXICON_COUNT) for w in {*UNWANTED, *ORDINARY}], "word string, n long")
+    seeds = pairs.sparkSession.createDataFrame([(w, LEXICON_COUNT) for w in LEXICON], "word string, n long")
     return seen.select("word", "n").union(seeds).groupBy("word").agg(F.sum("n").alias("n"))
 
 
@@ -124,15 +125,22 @@ def segmented(pairs: DataFrame) -> DataFrame:
     return hosts.join(own, "host", "left").select("host", F.coalesce("words", F.array().cast("array<string>")).alias("words"))
 
 
-def bayes(pairs: DataFrame, hosts: DataFrame) -> tuple[DataFrame, float]:
-    """(word, weight) and the prior: log-odds of blocking, from pages with and without an unwanted word in their host. add-one smoothing."""
-    unwanted = F.arrays_overlap("words", F.array(*map(F.lit, UNWANTED)))
-    labelled = pairs.join(hosts, "host").select("n", unwanted.alias("bad"), F.concat("words", "signature").alias("words"))
-    n_bad, n_good = labelled.agg(F.coalesce(F.sum(F.when(F.col("bad"), F.col("n"))), F.lit(0)), F.coalesce(F.sum(F.when(~F.col("bad"), F.col("n"))), F.lit(0))).first()
-    each = labelled.select("n", "bad", F.explode("words").alias("word")).groupBy("word").agg(
-        F.coalesce(F.sum(F.when(F.col("bad"), F.col("n"))), F.lit(0)).alias("bad"), F.coalesce(F.sum(F.when(~F.col("bad"), F.col("n"))), F.lit(0)).alias("good")
-    )
-    each = checkpoint(each)
+def held_out(host: str | Column) -> Column:
+    """Whether the pages of a host are never learned from: crc32 of the host, modulo HELD_OUT, is 0."""
+    return F.crc32(host) % HELD_OUT == 0
+
+
+def bayes(examples: DataFrame, hosts: DataFrame) -> tuple[DataFrame, float]:
+    """(word, weight) and the prior: log-odds of blocking, from examples (host, signature, bad, n: their pages) of all hosts but those held out. Add-one smoothing.
+
+    Without an example of either verdict the weights are those of no evidence, zero.
+    """
+    labelled = examples.where(~held_out("host")).join(hosts, "host").select("n", "bad", F.concat("words", "signature").alias("words"))
+    of = lambda bad: F.coalesce(F.sum(F.when(F.col("bad") == bad, F.col("n"))), F.lit(0))
+    n_bad, n_good = labelled.agg(of(True), of(False)).first()
+    each = checkpoint(labelled.select("n", "bad", F.explode("words").alias("word")).groupBy("word").agg(of(True).alias("bad"), of(False).alias("good")))
+    if not (n_bad and n_good):
+        return each.select("word", F.lit(0.0).alias("weight")), math.log((n_bad + 1) / (n_good + 1))
     bad, good, size = each.agg(F.coalesce(F.sum("bad"), F.lit(0)), F.coalesce(F.sum("good"), F.lit(0)), F.count("*")).first()
     weight = F.log((F.col("bad") + 1) / (bad + size + 1)) - F.log((F.col("good") + 1) / (good + size + 1))
     return each.select("word", weight.alias("weight")), math.log((n_bad + 1) / (n_good + 1))
@@ -145,22 +153,29 @@ def scored(of: DataFrame, key: str, words: str, weights: DataFrame, name: str) -
 
 
 def judge_urls(pages: DataFrame, key: str = "page_id", url: str = "url", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """key, host, path, rule, verdict and the method's own `score` (above 0: block) of each url.
+    """key, host, path, rule, verdict, the method's own `score` (above 0: block) and held_out (the host isn't learned from) of each url.
 
-    A null url, or one without ://, has an empty host and path and is allowed unless the prior says otherwise. Repeated rows give
-    repeated results; an empty table gives none; extra columns are left alone.
+    A null url, or one without ://, has an empty host and path and is judged by the prior. A word that no example has doesn't count.
+    Of rules of equal length the later one wins; a score of 0 allows. Repeated rows give repeated results; an empty table gives none;
+    very long urls are taken whole; extra columns, of any name, are left alone.
     """
-    own = pages.select(F.col(key).alias("key"), host_of(url).alias("host"), path_of(url).alias("path")).withColumn("signature", path_words("path"))
-    pairs = checkpoint(own.groupBy("host", "signature").agg(F.count("*").alias("n")))
+    own = pages.select(F.col(key).alias("key"), host_of(url).alias("host"), path_of(url).alias("path"))
+    fit = longest_rule(rules)
+    own = own.select("key", "host", "path", path_words("path").alias("signature"), fit["rule"].alias("rule"), fit["verdict"].alias("fixed"))
+    pairs = checkpoint(own.groupBy("host", "signature", (F.col("fixed") == "block").alias("bad")).agg(F.count("*").alias("n")))
     hosts = checkpoint(segmented(pairs))
-    weights, prior = bayes(pairs, hosts)
+    weights, prior = bayes(pairs.where("bad is not null"), hosts)
     by_host = scored(hosts, "host", "words", weights, "host_score")
     signatures = pairs.select("signature").distinct().withColumn("sig", F.array_join("signature", " "))
     by_path = scored(signatures, "sig", "signature", weights, "path_score")
-    out = own.withColumn("sig", F.array_join("signature", " ")).join(by_host, "host", "left").join(by_path, "sig", "left")
-    score = F.lit(prior) + F.coalesce("host_score", F.lit(0.0)) + F.coalesce("path_score", F.lit(0.0))
-    fit = longest_rule(rules)
-    return out.select(F.col("key").alias(key), "host", "path", fit["rule"].alias("rule"), F.coalesce(fit["verdict"], F.when(score > 0, "block").otherwise("allow")).alias("verdict"), F.round(score, 3).alias("score"))
+    # a host has no slash, so that a pair has one name
+    total, pair = F.lit(prior) + F.coalesce("host_score", F.lit(0.0)) + F.coalesce("path_score", F.lit(0.0)), F.concat_ws("/", "host", "sig")
+    each = pairs.groupBy("host", F.array_join("signature", " ").alias("sig")).agg(F.sum("n").alias("n")).join(by_host, "host", "left").join(by_path, "sig", "left")
+    scores = checkpoint(each.select(pair.alias("pair"), total.alias("score"), "n"))
+    rows = own.select("key", "host", "path", "rule", "fixed", F.concat_ws("/", "host", F.array_join("signature", " ")).alias("pair"))
+    out = join_spread(rows, scores, "pair", scores.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    verdict = F.coalesce("fixed", F.when(F.col("score") > 0, "block").otherwise("allow"))
+    return out.select(F.col("key").alias(key), "host", "path", "rule", verdict.alias("verdict"), F.round("score", 3).alias("score"), held_out("host").alias("held_out"))
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
