@@ -4,6 +4,7 @@ import numpy as np
 import xxhash
 from conftest import ODD, documents
 
+from voltspan.llm import nearcopies
 from voltspan.llm import simhash as S
 
 
@@ -79,3 +80,10 @@ def test_thresholds_sum_as_the_pigeonhole_needs():
         assert sum(plan.thresholds) == 2 - len(plan.partitions) + 1
         assert sorted(b for p in plan.partitions for b in p) == list(range(64))
     assert len(large.partitions) <= len(small.partitions)
+
+
+def test_deduplicated_keeps_clashing_columns(spark):
+    rows = [(1, "a b c", 5, 6, 7), (2, "a b c", 5, 6, 7), (3, "x y z", 5, 6, 7), (3, "x y z", 5, 6, 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row int, _Row int, again int")
+    for kept in (S.deduplicated(docs), nearcopies.deduplicated(docs)):
+        assert kept.columns == docs.columns and sorted(map(tuple, kept.collect())) == [rows[0], rows[2]]

@@ -5,20 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voltspan.llm.common import checkpoint
+from voltspan.llm.common import checkpoint, join_spread
 
 
-def _large(edges: DataFrame) -> DataFrame:
-    """Links each node's larger neighbours to the smallest of its neighbours and itself."""
+def _large(edges: DataFrame, n: int) -> DataFrame:
+    """Links each node's larger neighbours to the smallest of its neighbours and itself. n: the number of edges."""
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    return both.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n"))
+    return join_spread(both, least, "a", 2 * n).where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
-def _small(edges: DataFrame) -> DataFrame:
-    """Links each node and its smaller neighbours to the smallest of these; edges go from larger to smaller."""
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    return edges.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a > b").union(least.select("a", F.col("m").alias("b"))).distinct()
+def _small(edges: DataFrame, n: int) -> DataFrame:
+    """Links each node and its smaller neighbours to the smallest of these; edges go from larger to smaller, at most 2 * n of them."""
+    least = edges.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+    near = join_spread(edges, least, "a", 2 * n).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a > b")
+    return near.union(least.select("a", F.col("m").alias("b"))).distinct()
 
 
 def components(links: DataFrame, a: str, b: str) -> DataFrame:
@@ -28,9 +29,11 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
     """
     edges = links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct()
     edges, last = checkpoint(edges), None
+    n = edges.count()
     while True:
-        edges = checkpoint(_small(_large(edges)))
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        edges = checkpoint(_small(_large(edges, n), n))
+        now = n, _ = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == last:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
+            # every edge goes from a node to its root by now
+            return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
         last = now

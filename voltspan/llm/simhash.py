@@ -20,15 +20,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
-from voltspan.llm.common import checkpoint
+from voltspan.llm.common import checkpoint, join_spread, unused
 from voltspan.llm.components import components
 from voltspan.tables import table
 
 SHINGLE, SEED, BITS, DISTANCE = 3, 42, 64, 2
-#: Rows that verifying a candidate pair costs: the midpoints of both, each shuffled twice. A probe is a row.
-VERIFY_ROWS = 2 * (BITS + 1) * 2
-#: Plans are made for this many fingerprints at least: a cheaper plan for fewer would cost more per row as a corpus grows.
-PLAN_ROWS = 10_000_000
+#: Rows that verifying costs for each fingerprint that shares a bucket: its midpoints, grouped and joined. A probe is a row.
+VERIFY_ROWS = 2 * (BITS + 1)
 
 
 def fingerprint(text: str | None, width: int = SHINGLE, seed: int = SEED) -> int:
@@ -109,26 +107,37 @@ def within(both: np.ndarray, bits: tuple[int, ...], limit: int) -> float:
     return float(at_most.sum())
 
 
+def unbeaten(choices: list[tuple[float, float, tuple[int, ...]]]) -> list[tuple[float, float, tuple[int, ...]]]:
+    """Those of (probes, candidates, thresholds) that no other has both less of."""
+    kept: list[tuple[float, float, tuple[int, ...]]] = []
+    for own in sorted(choices):
+        if not kept or own[1] < kept[-1][1]:
+            kept.append(own)
+    return kept
+
+
 def allot(n: int, both: np.ndarray, distance: int = DISTANCE) -> Plan:
-    """The partitions and thresholds of least cost: probes of all fingerprints plus verifying the estimated candidates."""
-    n, best = max(n, PLAN_ROWS), None
+    """The partitions and thresholds of least cost for n fingerprints: the rows of all probes, and of verifying those that have a candidate.
+
+    For each sum of the thresholds the programme keeps the choices that no other beats in both probes and estimated candidates of a
+    fingerprint; it has one with the probability 1 - exp(-candidates).
+    """
+    best = None
     for parts in range(1, 2 * distance + 2):
         groups = group_bits(both, parts)
-        price = []
+        known: dict[int, list[tuple[float, float, tuple[int, ...]]]] = {0: [(0, 0.0, ())]}
         for bits in groups:
-            probes = [0, 1, 1 + len(bits), 1 + len(bits) + len(bits) * (len(bits) - 1) // 2]
-            price.append([0.0] + [n * probes[t + 1] + VERIFY_ROWS * n * n / 2 * within(both, bits, t) for t in range(min(distance, 2) + 1)])
-        cheapest = {0: (0.0, ())}  # by sum of the thresholds
-        for row in price:
-            step: dict[int, tuple[float, tuple[int, ...]]] = {}
-            for total, (cost, chosen) in cheapest.items():
-                for t, more in enumerate(row, -1):
-                    new = (cost + more, (*chosen, t))
-                    step[total + t] = min(step.get(total + t, new), new)
-            cheapest = step
-        found = cheapest.get(distance - parts + 1)
-        if found and (best is None or found[0] < best[0]):
-            best = (found[0], Plan(groups, found[1]))
+            probes = [1, 1 + len(bits), 1 + len(bits) + len(bits) * (len(bits) - 1) // 2]
+            options = [(-1, 0, 0.0)] + [(t, 1 + probes[t], n * within(both, bits, t)) for t in range(min(distance, 2) + 1)]
+            step: dict[int, list[tuple[float, float, tuple[int, ...]]]] = {}
+            for total, choices in known.items():
+                for t, rows, found in options:
+                    step.setdefault(total + t, []).extend((r + rows, f + found, (*chosen, t)) for r, f, chosen in choices)
+            known = {total: unbeaten(own) for total, own in step.items()}
+        for rows, found, chosen in known.get(distance - parts + 1, ()):
+            cost = rows + VERIFY_ROWS * -np.expm1(-found)
+            if best is None or cost < best[0]:
+                best = (cost, Plan(groups, chosen))
     return best[1]
 
 
@@ -168,26 +177,37 @@ def near_duplicates(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(key, row, fp, component_id) of each row: row is a hash of key and text, component_id is the smallest key that its fingerprint reaches over links.
 
     Equal texts share a fingerprint, and only distinct fingerprints are searched. Null, empty and blank texts have fingerprint
-    zero and link like others. A repeated row gives a repeated result; a null key is never a component's smallest unless all are.
+    zero and link like others; very long texts are read whole. A repeated row gives a repeated result; a null key is never a
+    component's smallest unless all are; an empty table gives no rows; extra columns, of any name, are left alone.
     """
     rows = checkpoint(docs.select(F.col(key).alias("key"), F.xxhash64(key, text).alias("row"), simhash(text).alias("fp")))
-    prints = checkpoint(rows.groupBy("fp").agg(F.min("key").alias("least")))
+    prints = checkpoint(rows.groupBy("fp").agg(F.min("key").alias("least"), F.count("*").alias("n")))
     n, both = bit_statistics(prints)
     linked = links(probe(prints.select("fp"), allot(n, both)))
-    roots = components(linked, "fp", "other")
+    return named(rows, prints, components(linked, "fp", "other")).select(F.col("key").alias(key), "row", "fp", "component_id")
+
+
+def named(rows: DataFrame, prints: DataFrame, roots: DataFrame) -> DataFrame:
+    """Adds component_id to rows (with fp): the least key over all of fp's component. prints: each fp, its least key and its number n of rows; roots: (node, root) of linked ones."""
     first = prints.join(roots, prints.fp == roots.node).groupBy("root").agg(F.min("least").alias("first"))
-    known = roots.join(first, "root").select(F.col("node").alias("fp"), "first")
-    names = prints.join(known, "fp", "left").select("fp", F.coalesce("first", "least").alias("component_id"))
-    return rows.join(names, "fp").select(F.col("key").alias(key), "row", "fp", "component_id")
+    known = roots.join(first.hint("merge"), "root").select(F.col("node").alias("fp"), "first")
+    names = checkpoint(prints.join(known.hint("merge"), "fp", "left").select("fp", "n", F.coalesce("first", "least").alias("component_id")))
+    return join_spread(rows, names, "fp", names.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+
+
+def first_of_each(docs: DataFrame, found: DataFrame, key: str, text: str) -> DataFrame:
+    """The documents whose key is their component's, one row of each component; found: key, row, fp and component_id of each. All columns stay as they are."""
+    found = found.where(F.col(key).eqNullSafe(F.col("component_id")))
+    row, again = unused(docs, "row"), unused(docs, "again")
+    chosen = found.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp"))).agg(F.min("row").alias(row)).select(row)
+    kept = docs.withColumn(row, F.xxhash64(key, text)).join(chosen, row, "left_semi")
+    whole = F.row_number().over(Window.partitionBy(row, key).orderBy(F.length(text)))  # rows that repeat as a whole
+    return kept.withColumn(again, whole).where(F.col(again) == 1).select(*docs.columns)
 
 
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents whose key is their component's, one row of each component; all columns stay as they are."""
-    found = near_duplicates(docs, key, text).where(F.col(key).eqNullSafe(F.col("component_id")))
-    chosen = found.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp"))).agg(F.min("row").alias("_row")).select("_row")
-    kept = docs.withColumn("_row", F.xxhash64(key, text)).join(chosen, "_row", "left_semi")
-    again = F.row_number().over(Window.partitionBy("_row", key).orderBy(F.length(text)))  # rows that repeat as a whole
-    return kept.withColumn("_again", again).where("_again = 1").select(*docs.columns)
+    """One document of each component, that with its key; all columns stay as they are, whatever their names."""
+    return first_of_each(docs, near_duplicates(docs, key, text), key, text)
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
