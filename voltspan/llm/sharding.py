@@ -1,16 +1,19 @@
 """Sharding by fixed virtual slots.
 
 Records are hashed into thousands of slots once and for all. Bytes are summed per slot, and a versioned map says which shard
-holds which slot. Rebalancing edits that map (a few slots change their shard) and never moves records between slots.
+holds which slot. Rebalancing edits that map (a few slots change their shard) and never moves records between slots. The versions
+are kept as tables of a folder; the latest is read, edited and written as the next.
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from voltspan.llm.common import checkpoint_folder
 from voltspan.tables import table
 
 SLOTS = 4096
@@ -61,8 +64,43 @@ class SlotMap:
         return SlotMap(self.version + 1, shards, tuple(of), edits)
 
     def frame(self, spark: SparkSession) -> DataFrame:
-        """The map as a table (version, slot, shard) of a fixed number of rows."""
-        return spark.createDataFrame([(self.version, s, k) for s, k in enumerate(self.shard_of)], "version int, virtual_slot int, shard int")
+        """The map as a table of a fixed number of rows: the version, its shards, each slot's shard and, where an edit made it, the shard before."""
+        before = {slot: a for slot, a, _ in self.edits}
+        rows = [(self.version, self.shards, s, k, before.get(s)) for s, k in enumerate(self.shard_of)]
+        return spark.createDataFrame(rows, "version int, shards int, virtual_slot int, shard int, edited_from int")
+
+
+@dataclass(frozen=True)
+class SlotMaps:
+    """The versions of a map, each a table in a folder that all machines share."""
+
+    spark: SparkSession
+    folder: str
+
+    def path(self, version: int) -> str:
+        return f"{self.folder}/version={version}"
+
+    def versions(self) -> list[int]:
+        """Those that were written whole, in order."""
+        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs
+        at = hadoop.Path(self.folder)
+        files = at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        whole = [x.getPath().getName() for x in files.listStatus(at) if files.exists(hadoop.Path(x.getPath(), "_SUCCESS"))] if files.exists(at) else []
+        return sorted(int(x.partition("=")[2]) for x in whole)
+
+    def read(self, version: int) -> SlotMap:
+        rows = self.spark.read.parquet(self.path(version)).orderBy("virtual_slot").collect()  # as many rows as there are slots
+        edits = tuple((r["virtual_slot"], r["edited_from"], r["shard"]) for r in rows if r["edited_from"] is not None)
+        return SlotMap(version, rows[0]["shards"], tuple(r["shard"] for r in rows), edits)
+
+    def latest(self) -> SlotMap | None:
+        known = self.versions()
+        return self.read(known[-1]) if known else None
+
+    def write(self, made: SlotMap) -> DataFrame:
+        """Stores a new version and reads it back; one that is there already is an error, so two writers can't both make it."""
+        made.frame(self.spark).coalesce(1).write.parquet(self.path(made.version))
+        return self.spark.read.parquet(self.path(made.version))
 
 
 def virtual_slot(key: str | Column, slots: int = SLOTS) -> Column:
@@ -80,16 +118,22 @@ def slot_bytes(df: DataFrame, slot: str, size: str) -> dict[int, int]:
     return {r[0]: r[1] for r in df.groupBy(slot).agg(F.sum(size)).collect()}
 
 
-def assign(df: DataFrame, key: str, size: str, shards: int, slots: int = SLOTS, base: SlotMap | None = None) -> tuple[DataFrame, SlotMap]:
-    """Adds virtual_slot and shard, by the map that balances the bytes of `size`, made from `base` or from version 0.
+def assign(df: DataFrame, key: str, size: str, shards: int, slots: int = SLOTS, folder: str | None = None) -> tuple[DataFrame, SlotMap]:
+    """Adds virtual_slot and shard, by the latest map of `folder` edited so that it balances the bytes of `size`, and stored as its next version.
 
-    df needs a key column and a size column (null: 0 bytes). Repeated rows share their slot. An empty table has a map too.
+    Without a folder, or with an empty one, version 0 deals the slots out and is stored first; the default is a new folder in the
+    session's shared one. df needs a key column and a size column (null: 0 bytes); columns named like those added are replaced.
+    Repeated rows share their slot, equal sizes move by the smallest slot; an empty table has a map too.
     """
     spark = df.sparkSession
-    df = df.drop("virtual_slot", "shard").withColumn("virtual_slot", virtual_slot(key, slots))
-    made = (base or SlotMap.initial(shards, slots)).rebalanced(slot_bytes(df, "virtual_slot", size), shards)
-    # slots rows of three integers: small whatever the input
-    return df.join(F.broadcast(made.frame(spark).drop("version")), "virtual_slot"), made
+    maps = SlotMaps(spark, folder or f"{checkpoint_folder(spark)}/slots-{uuid.uuid4().hex}")
+    base = maps.latest()
+    if base is None:
+        maps.write(base := SlotMap.initial(shards, slots))
+    df = df.drop("virtual_slot", "shard").withColumn("virtual_slot", virtual_slot(key, len(base.shard_of)))
+    made = base.rebalanced(slot_bytes(df, "virtual_slot", size), shards)
+    # slots rows of two integers: small whatever the input
+    return df.join(F.broadcast(maps.write(made).select("virtual_slot", "shard")), "virtual_slot"), made
 
 
 def place(df: DataFrame, order: list[str]) -> DataFrame:
