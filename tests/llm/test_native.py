@@ -71,6 +71,12 @@ def test_chat_round_trip(spark, write):
         ('{"instruction": "i", "input": "x", "output": "o"}', [("system", "i"), ("user", "x"), ("assistant", "o")]),
         ('{"messages": [{"role": "user", "content": "a"}, {"role": "assistant", "content": "b"}]}', [("user", "a"), ("assistant", "b")]),
         ('{"conversations": [{"from": "human", "value": "a"}, {"from": "gpt", "value": "b"}]}', [("user", "a"), ("assistant", "b")]),
+        ('{"id": 1, "prompt": "p", "response": "r", "meta": {"prompt": "x"}}', [("user", "p"), ("assistant", "r")]),
+        ('{"prompt": "p", "response": "r", "system": "s", "input": 3}', [("system", "s"), ("user", "p"), ("assistant", "r")]),
+        ('{"messages": [{"role": "user", "content": "a", "name": "n"}], "prompt": null}', [("user", "a")]),
+        ('{"messages": []}', []),
+        ('{"messages": "text"}', None),
+        ('["prompt", "response"]', None),
         ('{"unknown": 1}', None),
         ("no json", None),
         (None, None),
@@ -78,7 +84,7 @@ def test_chat_round_trip(spark, write):
 )
 def test_json_layouts(spark, record, turns):
     got = chat.json_turns(spark.createDataFrame([(1, record)], "id long, record string"), "id", "record").first()
-    assert (got.turns and [(t.role, t.text) for t in got.turns]) == turns
+    assert (got.turns if got.turns is None else [(t.role, t.text) for t in got.turns]) == turns
 
 
 def test_table_layouts(spark):
@@ -90,6 +96,13 @@ def test_table_layouts(spark):
         chat.canonical_turns(spark.range(1), "x")
 
 
+@pytest.mark.parametrize("extra", ["system", "input", "output", "answer", "prompt", "Messages"])
+def test_layouts_with_fields_of_others(spark, write, extra):
+    rows = [(1, 0, "user", "a"), (1, 1, "assistant", LONG * 20)]
+    got = {r.conv_id: r for r in chat.op2_chat_format(spark, write("conversations", rows, TURNS, **{extra: "x"})).collect()}
+    assert (got[1].n_turns, got[1].loss_chars) == (2, len(LONG) * 20)
+
+
 def low(text):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate({c: c + 32 for c in range(65, 91)}))
 

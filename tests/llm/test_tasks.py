@@ -46,6 +46,15 @@ def test_language_without_labels(spark, write):
     assert language.op3_language(spark, write("documents", [], folder="none")).count() == 0
 
 
+def test_accepted_keeps_clashing_columns(spark):
+    rng = random.Random(3)
+    rows = [(i, prose((EN, FR)[i % 2], rng), ("en", "fr")[i % 2], 7.5, "x", False, 3, 4) for i in range(60)] + [(99, "12 34", "en", 7.5, "x", False, 3, 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, score double, rejected string, held_out boolean, p int, judged int")
+    kept = language.accepted(docs)
+    assert kept.columns == docs.columns and {tuple(r) for r in kept.collect()} <= set(rows) and 55 <= kept.count() <= 60
+    assert language.identify(docs).columns == ["doc_id", "text", "lang", "p", "judged", "held_out", "lang_pred", "score", "rejected"]
+
+
 def test_long_texts_score_like_their_parts():
     rng = random.Random(2)
     model = language.Model(("en", "fr"), language.np.random.default_rng(0).normal(size=(language.BUCKETS, 2)).astype("float32"), language.np.zeros(2), 1.0, 0.5)

@@ -72,28 +72,32 @@ def hashed(names: list[str] | tuple[str, ...]) -> Column:
 
 
 def layout_of(df: DataFrame, keys: list[str]) -> Layout:
-    """The layout of a table by the fingerprint of its fields; keys and fields that no layout knows don't count."""
-    known = {p for own in LAYOUTS for p in own.paths}
-    found = tuple(p for p in paths(T.StructType([f for f in df.schema if f.name not in keys])) if p in known)
-    prints = df.sparkSession.range(1).select(hashed(found).alias("own"), *(hashed(x.paths).alias(x.name) for x in LAYOUTS)).first()
-    fit = [x for x in LAYOUTS if prints[x.name] == prints["own"]]
+    """The layout of a table: the one with the most fields of those whose fields are all there (the first of LAYOUTS of ties), by the fingerprint of these fields.
+
+    Other fields, also such as another layout has, don't count.
+    """
+    found = {p for p in paths(T.StructType([f for f in df.schema if f.name not in keys]))}
+    prints = df.sparkSession.range(1).select(*(hashed(sorted(found.intersection(x.paths))).alias(f"own_{x.name}") for x in LAYOUTS), *(hashed(x.paths).alias(x.name) for x in LAYOUTS)).first()
+    fit = [x for x in LAYOUTS if prints[x.name] == prints[f"own_{x.name}"]]
     if not fit:
-        raise ValueError(f"no layout has the fields {', '.join(found) or '(none)'}")
-    return fit[0]
+        raise ValueError(f"no layout has the fields {', '.join(sorted(found)) or '(none)'}")
+    # a row for each turn is told by its place, so it goes before layouts of whole conversations
+    return max(fit, key=lambda x: (x.turn is not None, len(x.paths)))
 
 
-def json_fingerprint(variant: Column) -> Column:
-    """The fingerprint of a JSON record: of the paths in its schema, whatever their types. Lists are looked into."""
-    names = F.regexp_replace(F.schema_of_variant(variant), r"(OBJECT<|[,<>: ]*)", "$1")
-    shape = F.regexp_replace(names, r": (?!OBJECT|ARRAY)[A-Z]+(\(\d+,\d+\))?", "")
-    return F.xxhash64(shape)
+def has_path(variant: Column, path: str) -> Column:
+    """Whether a JSON record has a field of this path; an empty list has the fields of its elements."""
+    head, _, tail = path.partition("[].")
+    found = F.try_variant_get(variant, f"$.{head}", "variant").isNotNull()
+    if not tail:
+        return found
+    listed = F.try_variant_get(variant, f"$.{head}", "array<variant>")
+    return F.coalesce((F.size(listed) == 0) | F.try_variant_get(variant, f"$.{head}[0].{tail}", "variant").isNotNull(), F.lit(False)) & listed.isNotNull()
 
 
-def shape(layout: Layout) -> str:
-    """The schema without types of a JSON record in this layout, its fields in order."""
-    if layout.messages:
-        return f"OBJECT<{layout.messages}: ARRAY<OBJECT<{', '.join(sorted((layout.role, layout.text)))}>>>"
-    return f"OBJECT<{', '.join(sorted(layout.paths))}>"
+def json_fingerprint(variant: Column, known: tuple[str, ...]) -> Column:
+    """The fingerprint of those of the known paths that a JSON record has; its other fields don't count."""
+    return F.xxhash64(F.array_join(F.array_sort(F.array_compact(F.array(*(F.when(has_path(variant, p), F.lit(p)) for p in known)))), "\n"))
 
 
 def canonical_role(role: Column) -> Column:
@@ -112,12 +116,15 @@ def field_turns(own: Layout, get: Callable[[str], Column]) -> Column:
 
 
 def json_turns(df: DataFrame, key: str, record: str) -> DataFrame:
-    """(key, turns, layout) of a column of JSON texts, each row by its own fingerprint. A record of no known layout, or no JSON, has null turns."""
+    """(key, turns, layout) of a column of JSON texts, each row by its own fingerprints: of the layouts whose fields it has all, that with the most.
+
+    A record of no known layout, or no JSON, has null turns; other fields of a record and an empty list of messages are no hindrance.
+    """
     variant = F.try_parse_json(record)
-    df = df.select(F.col(key).alias("key"), variant.alias("v")).withColumn("print", json_fingerprint(F.col("v")))
+    df = df.select(F.col(key).alias("key"), variant.alias("v"))
     get = lambda path, kind="string": F.try_variant_get("v", f"$.{path}", kind)
     turns, name = F.lit(None).cast(f"array<{TURN}>"), F.lit(None).cast("string")
-    for own in LAYOUTS:
+    for own in sorted(LAYOUTS[::-1], key=lambda x: len(x.paths)):  # a later one that fits takes the place of an earlier
         if own.turn:
             continue
         if own.messages:
@@ -125,7 +132,7 @@ def json_turns(df: DataFrame, key: str, record: str) -> DataFrame:
             mapped = message_turns(own, listed)
         else:
             mapped = field_turns(own, get)
-        fits = F.col("print") == F.xxhash64(F.lit(shape(own)))
+        fits = json_fingerprint(F.col("v"), own.paths) == hashed(own.paths)
         turns, name = F.when(fits, mapped.cast(f"array<{TURN}>")).otherwise(turns), F.when(fits, F.lit(own.name)).otherwise(name)
     return df.select(F.col("key").alias(key), turns.alias("turns"), name.alias("layout"))
 
@@ -134,7 +141,8 @@ def canonical_turns(df: DataFrame, key: str) -> DataFrame:
     """(key, turns, layout) of a table in any known layout: one row per conversation, its turns in order.
 
     Rows of a table of turns are gathered by key (ties by role and text; repeated rows stay); a null text or role counts as
-    empty. Extra columns are left alone, an empty table has no conversations.
+    empty. Extra columns are left alone, also those named like another layout's fields; an empty table has no conversations. A
+    conversation is one row, whatever its length: its digest needs all its turns in order.
     """
     own = layout_of(df, [key])
     if own.turn:

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from voltspan.llm.common import chunks, struct
+from voltspan.llm.common import chunks, struct, unused
 from voltspan.tables import table
 
 #: Rows of the training sample at most, and the shape of the model.
@@ -197,19 +197,28 @@ def held_out(key: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(key).cast("string")) % 5 == 0, F.lit(False))
 
 
-def identify(docs: DataFrame) -> DataFrame:
-    """Adds held_out, lang_pred, score and rejected to documents, by a model learned from those that aren't held out.
+def judged(docs: DataFrame, name: str) -> DataFrame:
+    """Adds to documents the struct `name` (held_out, lang_pred, score, rejected), by a model learned from those that aren't held out.
 
-    Columns of these names that docs has are replaced. An empty table, or one without labels, gives `und` for all.
+    Learned are text and lang of at most SAMPLE_ROWS keys; of rows that share a key with different texts any one may be. An empty
+    table, or one without labels, gives `und` for all; null texts and those without a letter do too; very long ones are read whole;
+    a tie of two languages goes to the first by name. All other columns stay as they are.
     """
     model = train(sample(docs.where(~held_out()), "doc_id", "text", "lang"))
-    docs = docs.drop("held_out", "lang_pred", "score", "rejected")
-    return docs.withColumns({"held_out": held_out(), "_p": predict(docs.sparkSession, model, "text")}).select(*docs.columns, "held_out", "_p.*")
+    p = unused(docs, "p")
+    known = docs.withColumn(p, predict(docs.sparkSession, model, "text"))
+    return known.withColumn(name, F.struct(held_out().alias("held_out"), f"{p}.*")).drop(p)
+
+
+def identify(docs: DataFrame) -> DataFrame:
+    """Adds held_out, lang_pred, score and rejected to documents; columns of these names that docs has are replaced."""
+    return judged(docs.drop("held_out", "lang_pred", "score", "rejected"), p := unused(docs, "judged")).select("*", f"{p}.*").drop(p)
 
 
 def accepted(docs: DataFrame) -> DataFrame:
-    """The documents whose language isn't rejected; all columns stay as they are."""
-    return identify(docs).where(~F.col("rejected")).select(*docs.columns)
+    """The documents whose language isn't rejected; all columns stay as they are, whatever their names."""
+    p = unused(docs, "judged")
+    return judged(docs, p).where(~F.col(p)["rejected"]).select(*docs.columns)
 
 
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
