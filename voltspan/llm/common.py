@@ -43,16 +43,21 @@ def written(df: DataFrame) -> DataFrame:
 HEAVY = 1000
 
 
-def join_spread(left: DataFrame, right: DataFrame, on: str, total: int) -> DataFrame:
-    """The inner join on a column that right has once each, with the number n of left's rows that have it (total: of all of them).
+def join_apart(left: DataFrame, right: DataFrame, on: str, frequent: DataFrame) -> DataFrame:
+    """The inner join on a column that right has once each. frequent: the few values (under HEAVY, whatever the input) that many of left's rows have.
 
-    Left rows of frequent values meet a broadcast of right's few frequent rows (under HEAVY, whatever the input) where they are, so
-    that no value lands in one task; the others are shuffled. Column n goes.
+    Left rows of frequent values meet a broadcast of right's rows of them where they are, so that no value lands in one task; the
+    others are shuffled.
     """
+    often = F.broadcast(frequent.select(on))
+    return left.join(F.broadcast(right.join(often, on, "left_semi")), on).unionByName(left.join(often, on, "left_anti").join(right, on))
+
+
+def join_spread(left: DataFrame, right: DataFrame, on: str, total: int) -> DataFrame:
+    """join_apart where right has the number n of left's rows with the value; total: of all of them. Column n goes."""
     frequent = F.col("n") > total / HEAVY
-    often, seldom = (right.where(x).drop("n") for x in (frequent, ~frequent))
-    rest = left.join(F.broadcast(often.select(on)), on, "left_anti").join(seldom, on)
-    return left.join(F.broadcast(often), on).unionByName(rest)
+    rest = left.join(F.broadcast(right.where(frequent).select(on)), on, "left_anti").join(right.where(~frequent).drop("n"), on)
+    return left.join(F.broadcast(right.where(frequent).drop("n")), on).unionByName(rest)
 
 
 def unused(df: DataFrame, name: str) -> str:

@@ -189,8 +189,8 @@ def near_duplicates(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 def named(rows: DataFrame, prints: DataFrame, roots: DataFrame) -> DataFrame:
     """Adds component_id to rows (with fp): the least key over all of fp's component. prints: each fp, its least key and its number n of rows; roots: (node, root) of linked ones."""
-    first = prints.join(roots, prints.fp == roots.node).groupBy("root").agg(F.min("least").alias("first"))
-    known = roots.join(first.hint("merge"), "root").select(F.col("node").alias("fp"), "first")
+    first = prints.join(roots, prints.fp == roots.node).groupBy("root").agg(F.min("least").alias("first"), F.count("*").alias("n"))
+    known = join_spread(roots, first, "root", roots.count()).select(F.col("node").alias("fp"), "first")
     names = checkpoint(prints.join(known.hint("merge"), "fp", "left").select("fp", "n", F.coalesce("first", "least").alias("component_id")))
     return join_spread(rows, names, "fp", names.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
 

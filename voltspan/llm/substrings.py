@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
-from voltspan.llm.common import chunks, struct, window_hashes, word_hashes, word_spans, written
+from voltspan.llm.common import HEAVY, chunks, join_apart, join_spread, struct, window_hashes, word_hashes, word_spans, written
 from voltspan.tables import table
 
 WIDTH, ANCHOR = 50, 16
@@ -210,8 +210,8 @@ def removed(texts: pa.Array, starts: pa.Array) -> pa.Array:
 
 
 def shared(found: DataFrame) -> DataFrame:
-    """The anchors that more than one key has. found: key, anchor."""
-    return found.groupBy("anchor").agg(F.min("key").alias("least"), F.max("key").alias("most")).where("least < most").select("anchor")
+    """(anchor, n): the anchors that more than one key has, and the rows of each. found: key, anchor."""
+    return found.groupBy("anchor").agg(F.min("key").alias("least"), F.max("key").alias("most"), F.count("*").alias("n")).where("least < most").select("anchor", "n")
 
 
 def by_text(docs: DataFrame, found: DataFrame, taken, name: str) -> DataFrame:
@@ -253,13 +253,14 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     """
     own = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     found = written(own.where(F.col("key").isNotNull()).select("key", places("text").alias("p")).select("key", F.inline("p")))
-    known = written(by_text(own, found.join(shared(found), "anchor", "left_semi"), prints, "print"))
-    distinct = known.groupBy("anchor", "print").agg(F.min(F.struct("key", "lo", "n")).alias("at")).select("at.*", "anchor", "print")
+    known = written(by_text(own, join_spread(found, shared(found), "anchor", found.count()), prints, "print"))
+    distinct = known.groupBy("anchor", "print").agg(F.min(F.struct("key", "lo", "n")).alias("at"), F.count("*").alias("rows")).select("at.*", "anchor", "print", "rows")
     alone = distinct.groupBy("anchor").agg(F.count("*").alias("passages"))
     distinct = written(distinct.join(alone, "anchor"))
     same = distinct.where("passages = 1").select("anchor", "print", F.array_repeat("key", F.col("n")).alias("firsts"))
-    cut = by_text(own, distinct.where("passages > 1").drop("passages"), cut_out, "words").dropDuplicates(["anchor", "print"])
-    hit = known.join(same.unionByName(first_runs(cut.select("anchor", "print", "key", "n", "words"))), ["anchor", "print"])
+    cut = by_text(own, distinct.where("passages > 1").drop("passages", "rows"), cut_out, "words").dropDuplicates(["anchor", "print"])
+    firsts = written(same.unionByName(first_runs(cut.select("anchor", "print", "key", "n", "words"))).drop("anchor"))  # equal words have equal anchors
+    hit = join_apart(known, firsts, "print", distinct.where(F.col("rows") > known.count() / HEAVY))
     starts = F.transform(F.filter(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.get("firsts", i) < F.col("key")), lambda i: F.col("lo") + i)
     spans = hit.select("key", starts.alias("starts")).where(F.size("starts") > 0).groupBy("key").agg(F.flatten(F.collect_set("starts")).alias("starts"))
     return own.join(spans, "key", "left").select(F.col("key").alias(key), removed("text", "starts").alias("r")).select(key, "r.*")
