@@ -84,3 +84,23 @@ def has_text(fields: list[str], query: str) -> Column:
     """Whether a field holds the query, whatever the case; queries under two characters match nothing."""
     needle = query.strip().lower()
     return any_of([F.coalesce(F.lower(F.col(f)).contains(needle), F.lit(False)) for f in fields]) if len(needle) >= 2 else F.lit(False)
+
+
+#: Global fuels, and the bucket of each in the sources that name it otherwise.
+FUELS = ("wind", "solar", "hydro", "pumped_storage", "nuclear", "coal", "gas", "oil", "storage", "geo", "biomass", "other")
+FUEL_NAMES = {"osm": {"storage": "battery", "geo": "geothermal"}, "eia": {}}
+#: What is shown before a user filters anything.
+DEFAULTS = {"mw_min": 0, "mw_max": 10_000, "year": 2025, "year_min": 1900, "year_max": 2031, "year_enabled": False}
+
+
+def source_fuels(active: Collection[str], source: str) -> list[str]:
+    """The buckets of a source for active global fuels; names that are no fuel are ignored."""
+    return [FUEL_NAMES[source].get(f, f) for f in FUELS if f in active]
+
+
+def by_defaults(mw: str, start: str, end: str, mw_range: tuple[float, float] | None = None, year: int | None = None, year_enabled: bool | None = None) -> Column:
+    """The global filters, each at its default unless given: rated MW, and whether a unit is alive in a year within the bounds."""
+    least, most = mw_range or (DEFAULTS["mw_min"], DEFAULTS["mw_max"])
+    enabled = DEFAULTS["year_enabled"] if year_enabled is None else year_enabled
+    at = min(max(DEFAULTS["year"] if year is None else year, DEFAULTS["year_min"]), DEFAULTS["year_max"])
+    return combined(mw_between(mw, least, most), alive_in(at, start, end) if enabled else None)

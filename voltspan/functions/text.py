@@ -185,3 +185,20 @@ def safe_link(url: Column) -> Column:
     """A url for markup, without control characters and blanks; null if it would run a script."""
     plain = F.regexp_replace(url, r"[\x00-\x20]", "")
     return F.when(~F.lower(plain).startswith("javascript:"), safe_html(plain))
+
+
+def clean_reference(reference: Column) -> Column:
+    """A short site code of letters, digits and hyphens; null for anything else."""
+    return F.when(reference.rlike(r"^[A-Za-z0-9-]{1,10}\z"), reference)
+
+
+def not_pipeline(man_made: Column) -> Column:
+    """Whether a line isn't tagged as a pipeline; an untagged one isn't."""
+    return F.coalesce(man_made != "pipeline", F.lit(True))
+
+
+def osm_link(kind: str, key: Column) -> Column:
+    """The address of an element of the open map (kind: node, way or relation); empty without a key."""
+    text = F.coalesce(key.cast("string"), F.lit(""))
+    encoded = F.replace(F.url_encode(text), F.lit("+"), F.lit("%20"))
+    return F.when(text == "", F.lit("")).otherwise(F.concat(F.lit(f"https://www.openstreetmap.org/{kind}/"), encoded))

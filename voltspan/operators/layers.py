@@ -30,6 +30,35 @@ def build(df: DataFrame, spec: LayerSpec) -> DataFrame:
     return kept.withColumns({c: F.bround(c, spec.precision) for c in ("lon", "lat") if c in kept.columns})
 
 
+@dataclass(frozen=True)
+class ShownLayer:
+    """A layer of the registry: its drawn parts, of which `heat` is the heat map, and its display modes (name: parts), if it has its own."""
+
+    name: str
+    parts: tuple[str, ...]
+    heat: str | None = None
+    modes: tuple[tuple[str, tuple[str, ...]], ...] = ()
+    default: str = "icons"
+
+
+def shown_parts(layer: ShownLayer, on: bool, mode: str | None = None) -> tuple[str, ...]:
+    """The parts that a display mode draws: those that the mode names (an unknown mode: the first's); without modes of its own, the heat map, the rest or both."""
+    mode = mode or layer.default
+    if not on:
+        return ()
+    if layer.modes:
+        own = dict(layer.modes).get(mode, layer.modes[0][1])
+        return tuple(p for p in layer.parts if p in own)
+    return tuple(p for p in layer.parts if mode == "both" or (mode == "heat") == (p == layer.heat))
+
+
+def drawn(parts: DataFrame, order: list[str], part: str) -> DataFrame:
+    """Rows of parts with their place `z` in the total draw order, sorted from the bottom up; parts that the order doesn't name go on top, by name."""
+    ranks = parts.sparkSession.createDataFrame([(p, z) for z, p in enumerate(order)], f"{part} string, z int")  # some forty rows
+    placed = parts.join(F.broadcast(ranks), part, "left")
+    return placed.withColumn("z", F.coalesce("z", F.lit(len(order)))).orderBy("z", part)
+
+
 def build_all(sources: dict[str, DataFrame], specs: list[LayerSpec]) -> dict[str, DataFrame]:
     """All layers that aren't left out and whose source is there."""
     return {s.name: build(sources[s.name], s) for s in specs if not s.skip and s.name in sources}

@@ -32,6 +32,12 @@ def probe(points: DataFrame, cells: DataFrame, grid: Grid) -> DataFrame:
     return placed.join(cells.select("row", "col", "value"), ["row", "col"], "left").drop("row", "col")
 
 
+def nearest_index(value: Column, axis: list[float]) -> Column:
+    """The place (from 0) of the axis value nearest to a value, the first of ties. axis: the fixed values of one grid axis, in any order."""
+    gaps = F.transform(F.array(*map(F.lit, axis)), lambda x: F.abs(x - value))
+    return (F.array_position(gaps, F.array_min(gaps)) - 1).cast("int")
+
+
 def bilinear(points: DataFrame, cells: DataFrame, grid: Grid, key: str) -> DataFrame:
     """(key, value): between the centres of the four cells around a point; null unless all four have data."""
     x, y = (F.col("lon") - F.lit(grid.west)) / F.lit(grid.dx) - F.lit(0.5), (F.lit(grid.north) - F.col("lat")) / F.lit(grid.dy) - F.lit(0.5)

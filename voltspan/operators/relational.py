@@ -74,10 +74,31 @@ def winners(alerts: DataFrame, key: str, severity: str, ends: str, tie: str) ->
     return alerts.groupBy(key).agg(F.min_by(F.struct(*rest), order).alias("_w"), (F.count("*") > 1).alias("multi")).select(key, "_w.*", "multi")
 
 
-def alert_lists(alerts: DataFrame, key: str, severity: str, ends: str, tie: str) -> DataFrame:
-    """All alerts of a key in the order of `winners`."""
-    order = F.struct((-severity_rank(F.col(severity))).alias("r"), F.col(ends).isNull().alias("e"), F.col(ends).alias("t"), F.col(tie).alias("id"))
-    return alerts.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(order)), lambda x: x["id"]).alias("ids"))
+def in_alert_order(alerts: DataFrame, key: str, severity: str, ends: str, tie: str) -> DataFrame:
+    """All alerts, those of a key together and in the order of `winners`; sorted by ranges, so that a frequent key isn't one task."""
+    return alerts.orderBy(key, -severity_rank(F.col(severity)), F.asc_nulls_last(ends), tie)
+
+
+def filtered_winners(alerts: DataFrame, active: Sequence[str] | None, group: str, key: str, severity: str, ends: str, tie: str) -> DataFrame:
+    """The winners among the alerts of the active groups of a legend (None: all); a key without one isn't painted and has no row."""
+    return winners(alerts if active is None else alerts.where(F.col(group).isin(list(active))), key, severity, ends, tie)
+
+
+def drop_columns(df: DataFrame, unwanted: Sequence[str]) -> DataFrame:
+    """Without these columns, where they are there; names by case."""
+    return df.select(*(F.col(f"`{c}`") for c in df.columns if c not in set(unwanted)))
+
+
+def union_layers(layers: dict[str, DataFrame], key: str, fields: Sequence[str], tag: str) -> DataFrame:
+    """The rows of several layers with the layer's name in `tag`: whole keys only, and none without a key or a place (lon, lat)."""
+    rows = [df.select(F.expr(f"try_cast({key} AS BIGINT)").alias(key), F.lit(name).alias(tag), *fields, "lon", "lat") for name, df in layers.items()]
+    return reduce(DataFrame.unionByName, rows).dropna(subset=[key, "lon", "lat"])
+
+
+def last_attributes(shapes: DataFrame, attributes: DataFrame, key: str, order: str, defaults: dict[str, str]) -> DataFrame:
+    """Shapes with the attributes of their key; of several the last in order counts, and a missing one takes its default."""
+    last = attributes.groupBy(key).agg(*(F.max_by(F.struct(c), order)[c].alias(c) for c in defaults))
+    return shapes.join(last, key, "left").fillna(defaults)
 
 
 def keyed_difference(before: DataFrame, after: DataFrame, key: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Spatial joins by grid cells: within a radius, nearest, deduplication, clusters.
 
-Points are put into cells at least as large as the radius; one side is copied to the nine cells around it, and the join is an
+Points are put into cells at least as large as the radius: bands of latitude, each with whole columns around the globe, so that the
+antimeridian and high latitudes are nothing special. One side is copied to the cells that its radius reaches, and the join is an
 equi-join on the cell with an exact distance test. Nothing is collected and no cross join is made; a crowded cell is split by
 Spark's skew handling.
 """
@@ -18,28 +19,44 @@ from voltspan.functions.geo import R_CHORD, chord_of, haversine, pixel, unit_vec
 MARGIN = 1.001
 
 
-def _cell(metres: float, lon: Column, lat: Column) -> tuple[Column, Column]:
-    """The row of a point's latitude band, and its column in that band; columns are as wide as the radius at the band's far end."""
-    size = metres * MARGIN / R_CHORD * 180 / math.pi
-    return F.floor(lat / F.lit(size)), F.floor(lon / F.lit(size))
+def _columns(row: Column, degrees: float) -> Column:
+    """The columns of a latitude band: as many as are no narrower than the radius at the band's end nearer to a pole; one around a pole."""
+    far = F.greatest(F.abs(row * F.lit(degrees)), F.abs((row + 1) * F.lit(degrees)))
+    return F.when(far >= 89.9, F.lit(1)).otherwise(F.greatest(F.lit(1), F.floor(F.cos(F.radians(far)) * F.lit(360 / degrees)))).cast("long")
 
 
-def _wide(metres: float, most_lat: float) -> int:
-    """Columns to each side that a radius spans at the greatest latitude."""
-    return math.ceil(1 / max(math.cos(math.radians(min(most_lat, 89.0))), 1e-3))
+def _east() -> Column:
+    """Degrees east of the antimeridian, below 360."""
+    return F.pmod(F.col("lon") + 180, F.lit(360.0))
 
 
-def within_radius(left: DataFrame, right: DataFrame, metres: float, left_key: str, right_key: str, most_lat: float = 75.0) -> DataFrame:
-    """(left key, right key, metres) of all pairs of points (lon, lat) nearer than `metres`, by great-circle distance.
+def _degrees(metres: float) -> float:
+    return metres * MARGIN / R_CHORD * 180 / math.pi
 
-    most_lat bounds the latitudes (absolute); longitudes are taken as they are, so the antimeridian isn't crossed.
-    """
-    reach = _wide(metres, most_lat)
-    row, column = _cell(metres, F.col("lon"), F.col("lat"))
-    a = left.select(F.col(left_key).alias("_a"), F.col("lon").alias("_alon"), F.col("lat").alias("_alat"), row.alias("_row"), column.alias("_col"))
-    steps = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in range(-reach, reach + 1))))
-    b = right.select(F.col(right_key).alias("_b"), F.col("lon").alias("_blon"), F.col("lat").alias("_blat"), row.alias("_r"), column.alias("_c"), steps.alias("_s"))
-    b = b.select("_b", "_blon", "_blat", (F.col("_r") + F.col("_s.i")).alias("_row"), (F.col("_c") + F.col("_s.j")).alias("_col"))
+
+def in_cells(df: DataFrame, metres: float) -> DataFrame:
+    """Adds the cell (_row, _col) of each point (lon, lat)."""
+    size = _degrees(metres)
+    row = F.floor(F.col("lat") / F.lit(size))
+    return df.withColumn("_row", row).withColumn("_n", _columns(F.col("_row"), size)).withColumn("_col", F.least(F.floor(_east() * F.col("_n") / 360), F.col("_n") - 1)).drop("_n")
+
+
+def in_reach(df: DataFrame, metres: float) -> DataFrame:
+    """Copies each point to the cells (_row, _col) that hold all points nearer than `metres`."""
+    size = _degrees(metres)
+    share = F.lit(math.sin(math.radians(size))) / F.cos(F.radians("lat"))
+    wide = F.when((F.abs("lat") + size >= 89.9) | (share >= 1), F.lit(180.0)).otherwise(F.degrees(F.asin(F.least(F.lit(1.0), share))) * MARGIN)
+    band = F.floor(F.col("lat") / F.lit(size))
+    rows = df.withColumn("_wide", wide).withColumn("_row", F.explode(F.array(band - 1, band, band + 1))).withColumn("_n", _columns(F.col("_row"), size))
+    first = F.floor((_east() - F.col("_wide")) * F.col("_n") / 360)
+    last = F.least(F.floor((_east() + F.col("_wide")) * F.col("_n") / 360), first + F.col("_n") - 1)
+    return rows.withColumn("_col", F.explode(F.sequence(first, last))).withColumn("_col", F.pmod("_col", "_n")).drop("_wide", "_n")
+
+
+def within_radius(left: DataFrame, right: DataFrame, metres: float, left_key: str, right_key: str) -> DataFrame:
+    """(left key, right key, metres) of all pairs of points (lon, lat) nearer than `metres`, by great-circle distance."""
+    a = in_cells(left.select(F.col(left_key).alias("_a"), "lon", "lat"), metres).withColumnsRenamed({"lon": "_alon", "lat": "_alat"})
+    b = in_reach(right.select(F.col(right_key).alias("_b"), "lon", "lat"), metres).withColumnsRenamed({"lon": "_blon", "lat": "_blat"})
     pairs = a.join(b, ["_row", "_col"]).withColumn("metres", haversine(F.col("_alon"), F.col("_alat"), F.col("_blon"), F.col("_blat")))
     return pairs.where(F.col("metres") < metres).select(F.col("_a").alias(left_key), F.col("_b").alias(right_key), "metres")
 
@@ -51,13 +68,13 @@ def nearest_within(left: DataFrame, right: DataFrame, metres: float, left_key: s
     return pairs.groupBy(left_key).agg(best.alias("_n")).select(left_key, f"_n.{right_key}", "_n.metres")
 
 
-def without_neighbours(df: DataFrame, others: DataFrame, metres: float, key: str, other_key: str) -> DataFrame:
-    """The points with none of the others nearer than `metres`, compared by chords."""
-    near = within_radius(df, others.withColumnRenamed(other_key, "_other"), metres * 1.01, key, "_other").select(key, "_other")
-    here, there = unit_vector(F.col("_alon"), F.col("_alat")), unit_vector(F.col("_blon"), F.col("_blat"))
-    placed = near.join(df.select(key, F.col("lon").alias("_alon"), F.col("lat").alias("_alat")), key).join(others.select(F.col(other_key).alias("_other"), F.col("lon").alias("_blon"), F.col("lat").alias("_blat")), "_other")
+def without_neighbours(df: DataFrame, others: DataFrame, metres: float) -> DataFrame:
+    """The points with none of the others nearer than `metres`, compared by chords; no pair is made."""
+    near = in_reach(others.select("lon", "lat"), metres).select(F.col("_row").alias("_r"), F.col("_col").alias("_c"), F.col("lon").alias("_lon"), F.col("lat").alias("_lat"))
+    here, there = unit_vector(F.col("lon"), F.col("lat")), unit_vector(F.col("_lon"), F.col("_lat"))
     square = sum(((a - b) * (a - b) for a, b in zip(here, there, strict=True)), F.lit(0.0))
-    return df.join(placed.where(square < chord_of(metres) ** 2).select(key).distinct(), key, "left_anti")
+    on = (F.col("_row") == F.col("_r")) & (F.col("_col") == F.col("_c")) & (square < chord_of(metres) ** 2)
+    return in_cells(df, metres).join(near, on, "left_anti").drop("_row", "_col")
 
 
 def enrich_nearest(df: DataFrame, facts: DataFrame, key: str, fact_key: str, field: str, metres: float) -> DataFrame:

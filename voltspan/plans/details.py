@@ -79,11 +79,11 @@ def stable_uid(spark, sf_dir):
     return view(spark, sf_dir, "tags").select("id", F.coalesce(F.when(F.col("id") % 5 != 0, F.col("id").cast("string")), made).alias("uid"))
 
 
-@register("relation_members", with_views("SELECT r, count(*) AS members, round(avg(lon), 9) AS lon, round(avg(lat), 9) AS lat FROM (SELECT o_custkey AS r, o_orderkey % 1500 AS ref FROM orders WHERE o_orderkey % 9 = 0) JOIN points_a ON ref = id GROUP BY r", "points_a"))
+@register("relation_members", with_views("SELECT r, count(*) AS members, round(avg(lon), 9) AS lon, round(avg(lat), 9) AS lat FROM (SELECT o_custkey AS r, o_orderkey % (SELECT count(*) FROM points_a) + 1 AS ref FROM orders) JOIN points_a ON ref = id GROUP BY r", "points_a"))
 def relation_members(spark, sf_dir):
-    relations = table(spark, sf_dir, "orders").where("o_orderkey % 9 = 0").groupBy(F.col("o_custkey").alias("r")).agg(F.collect_list(F.col("o_orderkey") % 1500).alias("members"))
     nodes = view(spark, sf_dir, "points_a").withColumnRenamed("id", "ref")
-    joined = relations.select("r", F.explode("members").alias("ref")).join(nodes, "ref")
+    members = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("r"), (F.col("o_orderkey") % nodes.count() + 1).alias("ref"))
+    joined = members.join(nodes, "ref")
     return joined.groupBy("r").agg(F.count("*").alias("members"), F.round(F.avg("lon"), 9).alias("lon"), F.round(F.avg("lat"), 9).alias("lat"))
 
 
@@ -111,11 +111,10 @@ def same_name_lines(spark, sf_dir):
     return part.join(part.where("p_partkey = 7").select("p_name", "p_brand"), ["p_name", "p_brand"], "left_semi").select("p_partkey")
 
 
-@register("records_by_county", with_views(r"SELECT fips, array_to_string(list(id ORDER BY coalesce(out, 0) DESC, id), ',') AS ids FROM outages WHERE regexp_matches(fips, '^\d{5}$') AND id % 50 = 0 GROUP BY fips", "outages"))
+@register("records_by_county", with_views(r"SELECT fips, id, utility, out, since FROM outages WHERE regexp_matches(fips, '^\d{5}$') ORDER BY fips, coalesce(out, 0) DESC, id", "outages"))
 def records_by_county(spark, sf_dir):
-    rows = view(spark, sf_dir, "outages").where(F.col("fips").rlike(r"^\d{5}$") & (F.col("id") % 50 == 0))
-    listed = F.transform(F.sort_array(F.collect_list(F.struct((-F.coalesce("out", F.lit(0))).alias("o"), "id"))), lambda x: x["id"])
-    return rows.groupBy("fips").agg(F.array_join(listed, ",").alias("ids"))
+    rows = view(spark, sf_dir, "outages").where(F.col("fips").rlike(r"^\d{5}$"))
+    return rows.select("fips", "id", "utility", "out", "since").orderBy("fips", F.desc(F.coalesce("out", F.lit(0))), "id")
 
 
 @register("dominant_kind", with_views("SELECT size, type AS kind FROM (SELECT size, type, count(*) AS n FROM tags GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY size ORDER BY n DESC, type) = 1", "tags"))
@@ -184,9 +183,11 @@ def address_split(spark, sf_dir):
     return view(spark, sf_dir, "tags").select("id", F.get(parts, F.lit(0)).alias("name"), F.array_join(F.slice(parts, F.lit(2), F.size(parts)), ", ").alias("place"))
 
 
-@register("ordered_distinct", with_views("SELECT zone, array_to_string(list_sort(list_distinct(list(severity))), ',') AS severities FROM alerts GROUP BY zone", "alerts"))
+@register("ordered_distinct", with_views("SELECT zone, string_agg(severity, ',' ORDER BY first) AS severities FROM (SELECT zone, severity, min(id) AS first FROM alerts GROUP BY zone, severity) GROUP BY zone", "alerts"))
 def ordered_distinct(spark, sf_dir):
-    return view(spark, sf_dir, "alerts").groupBy("zone").agg(F.array_join(F.array_sort(F.collect_set("severity")), ",").alias("severities"))
+    firsts = view(spark, sf_dir, "alerts").groupBy("zone", "severity").agg(F.min("id").alias("first"))  # each value once, in the order of its first row
+    listed = F.transform(F.sort_array(F.collect_list(F.struct("first", "severity"))), lambda x: x["severity"])
+    return firsts.groupBy("zone").agg(F.array_join(listed, ",").alias("severities"))
 
 
 @register("subset_of_tags", with_views("SELECT id, list_has_all(['economy', 'promo', 'small'], [lower(type)]) AS covered FROM tags", "tags"))

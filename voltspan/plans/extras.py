@@ -79,10 +79,10 @@ def code_classes(spark, sf_dir):
     return view(spark, sf_dir, "tags").select("id", compile_style(kind).alias("recognised"), compile_style(mine).alias("mine"), severity.alias("severity"))
 
 
-@register("mine_icons", with_views("SELECT id, CASE WHEN size * 30 >= 1000 THEN 3 WHEN size * 30 >= 300 THEN 2 ELSE 1 END AS icon_size, CASE WHEN type = 'PROMO' THEN 0 ELSE 1 END AS draw_order FROM tags ORDER BY draw_order, id LIMIT 200", "tags"))
+@register("mine_icons", with_views("SELECT id, CASE WHEN size * 30 >= 1000 THEN 3 WHEN size * 30 >= 300 THEN 2 ELSE 1 END AS icon_size, CASE WHEN type = 'PROMO' THEN 0 ELSE 1 END AS draw_order FROM tags ORDER BY draw_order, id", "tags"))
 def mine_icons(spark, sf_dir):
     icons = view(spark, sf_dir, "tags").select("id", compile_style(["step", ["*", ["get", "size"], 30], 1, 300, 2, 1000, 3]).alias("icon_size"), compile_style(["match", ["get", "type"], "PROMO", 0, 1]).alias("draw_order"))
-    return icons.orderBy("draw_order", "id").limit(200)
+    return icons.orderBy("draw_order", "id")
 
 
 @register("corridors", with_views("SELECT coalesce(CASE id % 3 WHEN 1 THEN true WHEN 2 THEN false END, false) AS corridor, count(*) AS n FROM tags GROUP BY 1", "tags"))
@@ -206,7 +206,13 @@ def manifest_check(spark, sf_dir):
     return relational.cross_check(expected, table(spark, sf_dir, "events").selectExpr("event_type AS name"), "name")
 
 
-@register("layer_build", with_views("SELECT id, kind, round_even(lon, 2) AS lon, round_even(lat, 2) AS lat FROM points_a WHERE sqft > 100", "points_a"))
+def half_even(thousandths: str) -> str:
+    """Whole thousandths to hundredths, ties to even, in whole numbers: a double has no exact tie."""
+    t = f"({thousandths} + 1000000)"  # above zero
+    return f"(({t} // 10 + CASE WHEN {t} % 10 > 5 OR ({t} % 10 = 5 AND {t} // 10 % 2 = 1) THEN 1 ELSE 0 END - 100000) / 1e2)"
+
+
+@register("layer_build", f"SELECT c_custkey AS id, c_mktsegment AS kind, {half_even('(c_custkey * 7919) % 2000 - 100000')} AS lon, {half_even('(c_custkey * 104729) % 1000 + 40000')} AS lat FROM customer WHERE c_custkey % 300 > 100")
 def layer_build(spark, sf_dir):
     spec = layers.LayerSpec("places", select=("id", "kind", "not_there"), where="sqft > 100", precision=2)
     return layers.build(view(spark, sf_dir, "points_a"), spec)

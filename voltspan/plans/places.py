@@ -25,12 +25,12 @@ PAIRS = "FROM points_a AS a JOIN points_b AS b ON abs(a.lat - b.lat) < 0.02 AND
 @register("haversine_pairs", with_views(f"SELECT id_a, id_b, round(m, 3) AS metres FROM (SELECT a.id AS id_a, b.id AS id_b, {metres('a', 'b')} AS m {PAIRS}) WHERE m < 750", "points_a", "points_b"))
 def haversine_pairs(spark, sf_dir):
     a, b = view(spark, sf_dir, "points_a").withColumnRenamed("id", "id_a"), view(spark, sf_dir, "points_b").withColumnRenamed("id", "id_b")
-    return spatial.within_radius(a, b, 750.0, "id_a", "id_b", 42.0).select("id_a", "id_b", F.round("metres", 3).alias("metres"))
+    return spatial.within_radius(a, b, 750.0, "id_a", "id_b").select("id_a", "id_b", F.round("metres", 3).alias("metres"))
 
 
 @register("radius_dedup", with_views(f"SELECT id, kind FROM points_a WHERE id NOT IN (SELECT id_a FROM (SELECT a.id AS id_a, {metres('a', 'b')} AS m {PAIRS}) WHERE m < 300)", "points_a", "points_b"))
 def radius_dedup(spark, sf_dir):
-    return spatial.without_neighbours(view(spark, sf_dir, "points_a"), view(spark, sf_dir, "points_b"), 300.0, "id", "id").select("id", "kind")
+    return spatial.without_neighbours(view(spark, sf_dir, "points_a"), view(spark, sf_dir, "points_b"), 300.0).select("id", "kind")
 
 
 @register("nearest_within", with_views(f"SELECT id_a, id_b FROM (SELECT a.id AS id_a, b.id AS id_b, {metres('a', 'b')} AS m {PAIRS}) WHERE m < 750 QUALIFY row_number() OVER (PARTITION BY id_a ORDER BY m, id_b) = 1", "points_a", "points_b"))
@@ -111,8 +111,8 @@ def explode_multi(spark, sf_dir):
 
 @register("dissolve_first", with_views("SELECT kind, count(*) AS parts, arg_min(sqft, id) AS first_sqft, min(id) AS first FROM points_a GROUP BY kind", "points_a"))
 def dissolve_first(spark, sf_dir):
-    grouped = view(spark, sf_dir, "points_a").groupBy("kind").agg(F.collect_list(F.struct("lon", "lat")).alias("parts"), F.min_by("sqft", "id").alias("first_sqft"), F.min("id").alias("first"))
-    return grouped.select("kind", F.size("parts").cast("long").alias("parts"), "first_sqft", "first")
+    grouped = view(spark, sf_dir, "points_a").groupBy("kind").agg(F.count("*").alias("parts"), F.min_by("sqft", "id").alias("first_sqft"), F.min("id").alias("first"))
+    return grouped.select("kind", "parts", "first_sqft", "first")
 
 
 WORLD = f"{512 * 2**9 / (2 * geo.MERCATOR)!r}"
@@ -167,14 +167,14 @@ def raster_combine(spark, sf_dir):
 
 
 def samples_sql(radius: str, most: int, smoothing: float) -> str:
-    return f"""WITH t AS (SELECT row, col, col * 0.04e0 AS x, row * 0.04e0 AS y FROM cells WHERE row < 25), s AS (SELECT id, lon + 100e0 AS sx, lat - 40e0 AS sy, sqft * 1e0 AS v FROM points_a),
+    return f"""WITH t AS (SELECT row, col, col * 0.04e0 AS x, row * 0.04e0 AS y FROM cells), s AS (SELECT id, lon + 100e0 AS sx, lat - 40e0 AS sy, sqft * 1e0 AS v FROM points_a),
     p AS (SELECT row, col, id, v, (x - sx) * (x - sx) + (y - sy) * (y - sy) AS d2 FROM t, s WHERE abs(x - sx) <= {radius} AND abs(y - sy) <= {radius}),
     k AS (SELECT * FROM p WHERE d2 <= {radius} * {radius} QUALIFY row_number() OVER (PARTITION BY row, col ORDER BY d2, id) <= {most})
     SELECT row, col, round(coalesce(max(CASE WHEN d2 + {smoothing} = 0 THEN v END), sum(v / (d2 + {smoothing} * {smoothing})) / sum(1e0 / (d2 + {smoothing} * {smoothing}))), 6) AS value FROM k GROUP BY row, col"""
 
 
 def targets_and_samples(spark, sf_dir):
-    targets = view(spark, sf_dir, "cells").where("row < 25").selectExpr("row", "col", "col * 0.04e0 AS x", "row * 0.04e0 AS y")
+    targets = view(spark, sf_dir, "cells").selectExpr("row", "col", "col * 0.04e0 AS x", "row * 0.04e0 AS y")
     return targets, view(spark, sf_dir, "points_a").selectExpr("id", "lon + 100e0 AS x", "lat - 40e0 AS y", "sqft * 1e0 AS value")
 
 

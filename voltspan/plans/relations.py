@@ -76,10 +76,10 @@ def anti_orphans(spark, sf_dir):
     return missing.unionByName(used.distinct().join(part.where("p_size < 40"), "key", "left_anti").withColumn("what", F.lit("orphan")))
 
 
-@register("multi_sort", with_views("SELECT id, name, kv FROM (SELECT id, CASE WHEN id % 4 = 0 THEN NULL ELSE brand END AS name, CASE WHEN id % 3 = 0 THEN NULL ELSE size END AS kv FROM tags) ORDER BY name ASC NULLS LAST, kv DESC NULLS LAST, id LIMIT 100", "tags"))
+@register("multi_sort", with_views("SELECT id, name, kv FROM (SELECT id, CASE WHEN id % 4 = 0 THEN NULL ELSE brand END AS name, CASE WHEN id % 3 = 0 THEN NULL ELSE size END AS kv FROM tags) ORDER BY name ASC NULLS LAST, kv DESC NULLS LAST, id", "tags"))
 def multi_sort(spark, sf_dir):
     rows = view(spark, sf_dir, "tags").selectExpr("id", "CASE WHEN id % 4 = 0 THEN NULL ELSE brand END AS name", "CASE WHEN id % 3 = 0 THEN NULL ELSE size END AS kv")
-    return rows.orderBy(F.asc_nulls_last("name"), F.desc_nulls_last("kv"), "id").limit(100)
+    return rows.orderBy(F.asc_nulls_last("name"), F.desc_nulls_last("kv"), "id")
 
 
 @register("topn_counts", with_views("SELECT energy_source, count(*) AS n FROM generators WHERE energy_source IS NOT NULL GROUP BY 1 ORDER BY n DESC, 1 LIMIT 3", "generators"))
@@ -159,9 +159,9 @@ def zone_winner(spark, sf_dir):
     return relational.winners(keyed_alerts(spark, sf_dir), "zone", "severity", "ends", "id")
 
 
-@register("zone_list", with_views(f"SELECT zone, array_to_string(list(id ORDER BY {RANK} DESC, ends ASC NULLS LAST, id), ',') AS ids FROM ({KEYED}) GROUP BY zone", "alerts"))
+@register("zone_list", with_views(f"SELECT zone, id, severity, ends FROM ({KEYED}) ORDER BY zone, {RANK} DESC, ends ASC NULLS LAST, id", "alerts"))
 def zone_list(spark, sf_dir):
-    return relational.alert_lists(keyed_alerts(spark, sf_dir), "zone", "severity", "ends", "id").select("zone", F.array_join("ids", ",").alias("ids"))
+    return relational.in_alert_order(keyed_alerts(spark, sf_dir), "zone", "severity", "ends", "id").select("zone", "id", "severity", "ends")
 
 
 @register("expiry_prune", with_views("SELECT id FROM alerts WHERE coalesce(coalesce(ends, expires) >= 50000, true)", "alerts"))

@@ -107,7 +107,11 @@ def bracket_codes(spark, sf_dir):
     return view(spark, sf_dir, "tags").select("id", text.bracket_code(F.col("region")).alias("code"), text.without_bracket(F.col("region")).alias("region"))
 
 
-@register("crc_colour")
+#: CRC-32 of ASCII text, a byte and a bit at a time.
+CRC = "xor(list_reduce(list_concat([4294967295], list_transform(string_split(brand, ''), lambda x: ord(x)::BIGINT)), lambda c, b: list_reduce(list_concat([xor(c, b)], range(8)), lambda v, i: CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END)), 4294967295)"
+
+
+@register("crc_colour", with_views(f"SELECT id, CAST({CRC} % 6 AS INT) AS colour FROM tags", "tags"))
 def crc_colour(spark, sf_dir):
     return view(spark, sf_dir, "tags").select("id", text.hash_bucket(F.col("brand"), 6).alias("colour"))
 

@@ -41,8 +41,8 @@ def shapes(data: bytes) -> Iterator[tuple[str | None, list[list[dict]]]]:
         at += 8 + 2 * words
 
 
-def attributes(data: bytes, encoding: str) -> Iterator[dict[str, str]]:
-    """The fields of each record of a .dbf file as trimmed text."""
+def attributes(data: bytes, encoding: str) -> Iterator[dict[str, str] | None]:
+    """The fields of each record of a .dbf file as trimmed text; None for a deleted record, which still has its number."""
     count, head, width = struct.unpack_from("<iHH", data, 4)
     fields, at, offset = [], 32, 1
     while data[at] != 0x0D:
@@ -52,7 +52,7 @@ def attributes(data: bytes, encoding: str) -> Iterator[dict[str, str]]:
         at += 32
     for i in range(count):
         row = data[head + i * width : head + (i + 1) * width]
-        yield {name: row[a:b].decode(encoding, "replace").strip() for name, a, b in fields}
+        yield None if row[:1] == b"*" else {name: row[a:b].decode(encoding, "replace").strip() for name, a, b in fields}
 
 
 def read_shapefiles(spark: SparkSession, folder: str, encoding: str = "latin-1") -> DataFrame:

@@ -38,8 +38,20 @@ def write_tiles(df: DataFrame, zoom: int, path: str) -> None:
 
 
 def write_snapshot(df: DataFrame, path: str) -> bool:
-    """Replaces a snapshot, unless the new one is empty: then the last good one stays, and this is false."""
-    if df.isEmpty():
+    """Replaces a snapshot, unless the new one is empty: then the last good one stays, and this is false.
+
+    The new one is written whole beside the old one, which then makes room; a job that fails leaves the old one as it is.
+    """
+    spark = df.sparkSession
+    df.write.mode("overwrite").parquet(beside := f"{path}.new")
+    if spark.read.parquet(beside).isEmpty():
         return False
-    df.write.mode("overwrite").parquet(path)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    new, now, old = (hadoop.Path(x) for x in (beside, path, f"{path}.old"))
+    files = now.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.delete(old, True)
+    if files.exists(now):
+        files.rename(now, old)
+    files.rename(new, now)
+    files.delete(old, True)
     return True
