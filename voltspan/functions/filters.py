@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import operator
-from collections.abc import Collection
+from collections.abc import Collection, Mapping, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column
@@ -104,3 +105,26 @@ def by_defaults(mw: str, start: str, end: str, mw_range: tuple[float, float] | N
     enabled = DEFAULTS["year_enabled"] if year_enabled is None else year_enabled
     at = min(max(DEFAULTS["year"] if year is None else year, DEFAULTS["year_min"]), DEFAULTS["year_max"])
     return combined(mw_between(mw, least, most), alive_in(at, start, end) if enabled else None)
+
+
+@dataclass(frozen=True)
+class LegendFilter:
+    """A group of a legend: its key and code in urls, the field it filters, its buckets (id: values) and those active at first (all, if none are named)."""
+
+    key: str
+    code: str
+    field: str
+    buckets: tuple[tuple[str, tuple[str, ...]], ...]
+    first: tuple[str, ...] | None = None
+
+    def condition(self, active: Collection[str] | None = None) -> Column | None:
+        """Rows of the active buckets, or of those active at first; none if all are."""
+        chosen = self.first if active is None else active
+        own = {k: list(v) for k, v in self.buckets}
+        return value_buckets(self.field, chosen, {k: v for k, v in own.items() if k != "other"}, list(own))
+
+
+def by_legend(registry: Sequence[LegendFilter], keys: Sequence[str], active: Mapping[str, Collection[str]]) -> Column:
+    """The filters of a layer, named by keys, together; active: what the user chose, by key. A key that isn't registered is an error."""
+    named = {f.key: f for f in registry}
+    return combined(*(named[k].condition(active.get(k)) for k in keys))

@@ -198,3 +198,50 @@ def near_click(lon: Column, lat: Column, at_lon: float, at_lat: float, zoom: int
     """Whether a point is in the square of so many pixels to each side of a click at a zoom."""
     (x, y), (cx, cy) = pixel(lon, lat, zoom), pixel(F.lit(at_lon), F.lit(at_lat), zoom)
     return (F.abs(x - cx) <= pixels) & (F.abs(y - cy) <= pixels)
+
+
+def rounded_nested(coordinates: Column, depth: int, places: int) -> Column:
+    """Coordinates in nested arrays, `depth` deep, each number rounded: 1 for a point, 4 for several polygons."""
+    return F.transform(coordinates, lambda c: rounded_nested(c, depth - 1, places)) if depth else F.round(coordinates, places)
+
+
+#: How deep the coordinates of each kind of geometry lie in arrays.
+DEPTHS = {"Point": 1, "LineString": 2, "MultiPoint": 2, "Polygon": 3, "MultiLineString": 3, "MultiPolygon": 4}
+
+
+def collected(geometry: Column, nested: int = 3) -> Column:
+    """All coordinates of a GeoJSON geometry (a variant) as one array of arrays of numbers, in order; those of collections too, as deep as `nested` of them.
+
+    A missing geometry, one of another kind or without coordinates has none.
+    """
+    kind, out = F.try_variant_get(geometry, "$.type", "string"), F.array().cast("array<array<double>>")
+    for name, depth in DEPTHS.items():
+        points = F.try_variant_get(geometry, "$.coordinates", "array<" * depth + "double" + ">" * depth)
+        for _ in range(depth - 2):
+            points = F.flatten(points)
+        out = F.when(kind == name, F.array(points) if depth == 1 else points).otherwise(out)
+    if nested:
+        parts = F.try_variant_get(geometry, "$.geometries", "array<variant>")
+        out = F.when(kind == "GeometryCollection", F.flatten(F.transform(parts, lambda g: collected(g, nested - 1)))).otherwise(out)
+    return F.coalesce(out, F.array().cast("array<array<double>>"))
+
+
+def inside_point(rings: Column) -> Column:
+    """A struct (lon, lat) inside a polygon given by its closed rings, holes included: the middle of the widest stretch inside it on a level line.
+
+    The line lies halfway between the vertices next above and below the middle of its height, so it meets none; of stretches equally wide the
+    westernmost counts. A polygon without height has none.
+    """
+    lats = F.transform(F.flatten(rings), lambda p: p["lat"])
+    middle = (F.array_max(lats) + F.array_min(lats)) / 2
+    level = (F.array_max(F.filter(lats, lambda y: y <= middle)) + F.array_min(F.filter(lats, lambda y: y > middle))) / 2
+    sides = F.filter(F.flatten(F.transform(rings, segments)), lambda s: (s["from_lat"] > level) != (s["to_lat"] > level))
+    met = F.array_sort(F.transform(sides, lambda s: s["from_lon"] + (level - s["from_lat"]) * (s["to_lon"] - s["from_lon"]) / (s["to_lat"] - s["from_lat"])))
+    pairs = F.filter(F.transform(met, lambda x, i: F.struct((x - F.get(met, i + 1)).alias("w"), ((x + F.get(met, i + 1)) / 2).alias("lon"), i.alias("i"))), lambda s: s["i"] % 2 == 0)
+    return F.when(level.isNotNull() & (F.size(pairs) > 0), F.struct(F.array_min(pairs)["lon"].alias("lon"), level.alias("lat")))
+
+
+def representative_point(kind: Column, points: Column, rings: Column) -> Column:
+    """A struct (lon, lat) on a geometry: a point itself, a line's middle vertex, a place inside a polygon; null for other kinds."""
+    polygon = F.when(kind == "Polygon", inside_point(rings))
+    return F.when(kind == "Point", F.get(points, F.lit(0))).when(kind == "LineString", middle_vertex(points)).otherwise(polygon)

@@ -58,9 +58,19 @@ def decode_int16(value: Column, scale: float, nodata: int) -> Column:
     return F.when(value > nodata, value / F.lit(float(scale)))
 
 
+SLIDER_TOP = 4000
+
+
 def slider_to_mw(position: Column) -> Column:
-    """A logarithmic slider: ten to the power of a thousandth of the position, rounded half up."""
-    return F.floor(F.pow(F.lit(10.0), position / F.lit(1000.0)) + F.lit(0.5))
+    """A logarithmic slider: ten to the power of a thousandth of the position, rounded half up; 0 at and below its start, its end's value beyond it."""
+    mw = F.floor(F.pow(F.lit(10.0), F.least(position, F.lit(SLIDER_TOP)) / F.lit(1000.0)) + F.lit(0.5))
+    return F.when(position <= 0, F.lit(0).cast("long")).otherwise(mw)
+
+
+def mw_to_slider(mw: Column) -> Column:
+    """The slider's position for a number of megawatts, rounded half up and kept on the slider; 0 for none."""
+    place = F.least(F.greatest(F.lit(1000.0) * F.log10(mw), F.lit(0.0)), F.lit(float(SLIDER_TOP)))
+    return F.when(mw <= 0, F.lit(0).cast("long")).otherwise(F.floor(place + F.lit(0.5)))
 
 
 def epoch_ms_text(ms: Column) -> Column:

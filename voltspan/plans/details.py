@@ -150,9 +150,14 @@ def population_log(spark, sf_dir):
     return view(spark, sf_dir, "tags").select("id", F.round(numeric.log_population(F.col("size") - 2), 9).alias("v"))
 
 
-@register("slider", with_views("SELECT id, CAST(floor(pow(10e0, size * 80 / 1000e0) + 0.5e0) AS BIGINT) AS mw FROM tags", "tags"))
+@register("slider", with_views("SELECT id, CASE WHEN p <= 0 THEN 0 ELSE CAST(floor(pow(10e0, least(p, 4000) / 1000e0) + 0.5e0) AS BIGINT) END AS mw FROM (SELECT id, size * 100 - 300 AS p FROM tags)", "tags"))
 def slider(spark, sf_dir):
-    return view(spark, sf_dir, "tags").select("id", numeric.slider_to_mw(F.col("size") * 80).alias("mw"))
+    return view(spark, sf_dir, "tags").select("id", numeric.slider_to_mw(F.col("size") * 100 - 300).alias("mw"))
+
+
+@register("slider_back", with_views("SELECT id, CASE WHEN mw <= 0 THEN 0 ELSE CAST(floor(least(greatest(1000e0 * log10(mw), 0e0), 4000e0) + 0.5e0) AS BIGINT) END AS position FROM (SELECT id, (id * 37 % 20000 - 50) / 4e0 AS mw FROM tags)", "tags"))
+def slider_back(spark, sf_dir):
+    return view(spark, sf_dir, "tags").select("id", numeric.mw_to_slider((F.col("id") * 37 % 20000 - 50) / 4.0).alias("position"))
 
 
 @register("size_factor", with_views("SELECT id, round(least(3e0, greatest(0.6e0, sqrt(sqft / 135e0))), 9) AS factor FROM points_a", "points_a"))
