@@ -72,6 +72,21 @@ def test_every_plan_finds_every_pair(spark):
         assert {*close} <= kept
 
 
+def test_nested_plan_finds_every_pair_and_little_else(spark):
+    both = np.full((64, 64), 0.25)
+    np.fill_diagonal(both, 0.5)
+    plan = S.allot(10**11, both)
+    assert all(deeper for further in plan.then for deeper in further.then)  # three levels
+    rng = np.random.default_rng(6)
+    base = [int(x) for x in rng.integers(-(2**63), 2**63, 300)]
+    close = [x ^ (1 << int(a)) ^ (1 << int(b)) for x in base[:60] for a, b in [rng.integers(0, 63, 2)]]
+    alike = [x ^ (2**12 - 1) for x in base[100:200]]  # the same but for 12 neighbouring bits
+    prints = spark.createDataFrame([(x,) for x in {*base, *close, *alike}], "fp long")
+    kept = {r[0] for r in S.probe(prints, plan).collect()}
+    assert {*close, *(x for x, y in zip(base[:60], close, strict=True) if x != y)} <= kept
+    assert len(kept) < len({*base[:60], *close}) + 2 * len(alike)
+
+
 def test_thresholds_sum_as_the_pigeonhole_needs():
     both = np.full((64, 64), 0.25)
     np.fill_diagonal(both, 0.5)

@@ -3,14 +3,17 @@
 Fingerprints of texts link if they differ in few bits. The 64 bits are grouped into partitions, correlated bits together, and a
 dynamic programme allots each partition a threshold of its own, so that the thresholds sum to distance - partitions + 1: any
 two fingerprints within the distance are within the threshold in at least one partition. Its costs are the probes and the
-estimated candidates. Fingerprints that share no bucket with another are done; the others are verified through midpoints:
-two fingerprints differ in at most 2 bits if and only if some 64-bit value is at most one bit from both. That needs no pair of
-fingerprints, so a bucket of thousands of near copies costs as much per row as any other.
+estimated candidates. Fingerprints that share no bucket with another are done. Those in a bucket agree in its bits, so there the
+same search goes on over the bits that are left, by a plan of its own, as long as that costs less than to verify. What
+still shares a bucket at the end is verified through midpoints: two fingerprints differ in at most 2 bits if and only if some
+64-bit value is at most one bit from both. That needs no pair of fingerprints, so a bucket of thousands of near copies costs as
+much per row as any other.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +28,7 @@ from voltspan.llm.components import components
 from voltspan.tables import table
 
 SHINGLE, SEED, BITS, DISTANCE = 3, 42, 64, 2
-#: Rows that verifying costs for each fingerprint that shares a bucket: its midpoints, grouped and joined. A probe is a row.
+#: Rows that verifying costs for each fingerprint that shares a bucket: its midpoints, grouped and joined. A probe is a row, and one of the index too.
 VERIFY_ROWS = 2 * (BITS + 1)
 
 
@@ -71,21 +74,22 @@ def bit_statistics(prints: DataFrame) -> tuple[int, np.ndarray]:
 
 @dataclass(frozen=True)
 class Plan:
-    """Bits of each partition and its threshold (-1: never probed)."""
+    """Bits of each partition, its threshold (-1: never probed), and the plan for the bits left to those who share its buckets (None: verify)."""
 
     partitions: tuple[tuple[int, ...], ...]
     thresholds: tuple[int, ...]
+    then: tuple[Plan | None, ...] = ()
 
 
-def group_bits(both: np.ndarray, parts: int) -> tuple[tuple[int, ...], ...]:
-    """Bits in partitions of near equal width; a partition takes the free bit that correlates most with its bits."""
+def group_bits(both: np.ndarray, parts: int, bits: tuple[int, ...] = tuple(range(BITS))) -> tuple[tuple[int, ...], ...]:
+    """These bits in partitions of near equal width; a partition takes the free bit that correlates most with its bits."""
     mean = np.diag(both)
     spread = np.sqrt(np.maximum(mean * (1 - mean), 1e-9))
     like = np.abs((both - np.outer(mean, mean)) / np.outer(spread, spread))
     np.fill_diagonal(like, 0)
-    free, out = set(range(BITS)), []
+    free, out = set(bits), []
     for i in range(parts):
-        width = BITS // parts + (i < BITS % parts)
+        width = len(bits) // parts + (i < len(bits) % parts)
         own = [max(sorted(free), key=lambda b: like[b, sorted(free)].sum())]
         free.remove(own[0])
         while len(own) < width:
@@ -107,38 +111,43 @@ def within(both: np.ndarray, bits: tuple[int, ...], limit: int) -> float:
     return float(at_most.sum())
 
 
-def unbeaten(choices: list[tuple[float, float, tuple[int, ...]]]) -> list[tuple[float, float, tuple[int, ...]]]:
-    """Those of (probes, candidates, thresholds) that no other has both less of."""
-    kept: list[tuple[float, float, tuple[int, ...]]] = []
-    for own in sorted(choices):
-        if not kept or own[1] < kept[-1][1]:
-            kept.append(own)
-    return kept
+def cheapest(n: float, both: np.ndarray, bits: tuple[int, ...], distance: int) -> tuple[float, Plan]:
+    """The rows made for each of n fingerprints that may differ in these bits, and the plan that makes the fewest.
 
-
-def allot(n: int, both: np.ndarray, distance: int = DISTANCE) -> Plan:
-    """The partitions and thresholds of least cost for n fingerprints: the rows of all probes, and of verifying those that have a candidate.
-
-    For each sum of the thresholds the programme keeps the choices that no other beats in both probes and estimated candidates of a
-    fingerprint; it has one with the probability 1 - exp(-candidates).
+    A fingerprint has a candidate in a partition with the probability 1 - exp(-candidates), and then costs what is cheaper: its
+    midpoints, or a further plan for the bits left, which is thought of where the partition's threshold is 0. Costs of partitions
+    add up, so the programme keeps the cheapest choice for each sum of thresholds.
     """
     best = None
-    for parts in range(1, 2 * distance + 2):
-        groups = group_bits(both, parts)
-        known: dict[int, list[tuple[float, float, tuple[int, ...]]]] = {0: [(0, 0.0, ())]}
-        for bits in groups:
-            probes = [1, 1 + len(bits), 1 + len(bits) + len(bits) * (len(bits) - 1) // 2]
-            options = [(-1, 0, 0.0)] + [(t, 1 + probes[t], n * within(both, bits, t)) for t in range(min(distance, 2) + 1)]
-            step: dict[int, list[tuple[float, float, tuple[int, ...]]]] = {}
-            for total, choices in known.items():
-                for t, rows, found in options:
-                    step.setdefault(total + t, []).extend((r + rows, f + found, (*chosen, t)) for r, f, chosen in choices)
-            known = {total: unbeaten(own) for total, own in step.items()}
-        for rows, found, chosen in known.get(distance - parts + 1, ()):
-            cost = rows + VERIFY_ROWS * -np.expm1(-found)
-            if best is None or cost < best[0]:
-                best = (cost, Plan(groups, chosen))
-    return best[1]
+    for parts in range(1, min(distance + 1, len(bits)) + 1):
+        groups = group_bits(both, parts, bits)
+        known: dict[int, tuple[float, tuple[int, ...], tuple[Plan | None, ...]]] = {0: (0.0, (), ())}
+        for own in groups:
+            probes = [1, 1 + len(own), 1 + len(own) + len(own) * (len(own) - 1) // 2]
+            options: list[tuple[int, float, Plan | None]] = [(-1, 0.0, None)]
+            for t in range(min(distance, 2) + 1):
+                found, rest, then = n * within(both, own, t), float(VERIFY_ROWS), None
+                some = -np.expm1(-found)
+                if t == 0 and parts > 1 and some * VERIFY_ROWS > 1:
+                    further, plan = cheapest(found, both, tuple(b for b in bits if b not in own), distance)
+                    if further < rest:
+                        rest, then = further, plan
+                options.append((t, 1 + probes[t] + some * rest, then))
+            step: dict[int, tuple[float, tuple[int, ...], tuple[Plan | None, ...]]] = {}
+            for total, (cost, chosen, plans) in known.items():
+                for t, rows, then in options:
+                    if total + t not in step or cost + rows < step[total + t][0]:
+                        step[total + t] = (cost + rows, (*chosen, t), (*plans, then))
+            known = step
+        cost, chosen, plans = known.get(distance - parts + 1, (np.inf, (), ()))
+        if best is None or cost < best[0]:
+            best = (cost, Plan(groups, chosen, plans))
+    return best
+
+
+def allot(n: int, both: np.ndarray, distance: int = DISTANCE) -> Plan:
+    """The partitions, thresholds and further plans of least cost for n fingerprints."""
+    return cheapest(n, both, tuple(range(BITS)), distance)[1]
 
 
 def _word(bits: tuple[int, ...]) -> int:
@@ -153,17 +162,32 @@ def near(value: Column, bits: tuple[int, ...], limit: int) -> Column:
 
 
 def probe(prints: DataFrame, plan: Plan) -> DataFrame:
-    """The fingerprints that share a bucket of the plan with another; no pair is made. prints: distinct fingerprints in column fp."""
-    index, probes = None, None
-    for i, (bits, limit) in enumerate(zip(plan.partitions, plan.thresholds, strict=True)):
-        if limit < 0:
-            continue
-        part = F.col("fp").bitwiseAND(F.lit(_word(bits)).cast("long"))
-        own = prints.select(F.lit(i).alias("part"), part.alias("bits"))
-        asked = prints.select("fp", F.lit(i).alias("part"), F.explode(near(part, bits, limit)).alias("bits"), part.alias("own"))
-        index, probes = (own, asked) if index is None else (index.union(own), probes.union(asked))
-    buckets = index.groupBy("part", "bits").agg(F.count("*").alias("n"))
-    return probes.join(buckets, ["part", "bits"]).where((F.col("n") > 1) | (F.col("own") != F.col("bits"))).select("fp").distinct()
+    """The fingerprints that share a bucket with another at the end of the plan; no pair is made. prints: distinct fingerprints in column fp.
+
+    A bucket is known by a hash of all its bits; a collision could only add candidates. All plans of a depth are probed together.
+    """
+    level, ends, total = [(prints.select("fp", F.lit(0).cast("long").alias("bucket")), plan)], [], prints.count()
+    while level:
+        index, probes, then = None, None, []
+        for rows, own in level:
+            for bits, limit, further in zip(own.partitions, own.thresholds, own.then or (None,) * len(own.partitions), strict=True):
+                if limit < 0:
+                    continue
+                part = F.col("fp").bitwiseAND(F.lit(_word(bits)).cast("long"))
+                to = lambda value, i=len(then): F.xxhash64("bucket", F.lit(i), value).alias("to")
+                asked = rows.select("fp", "bucket", part.alias("own"), F.explode(near(part, bits, limit)).alias("value"))
+                asked = asked.select("fp", F.lit(len(then)).alias("part"), to(F.col("value")), (F.col("own") != F.col("value")).alias("moved"))
+                index = rows.select(to(part)) if index is None else index.union(rows.select(to(part)))
+                probes = asked if probes is None else probes.union(asked)
+                then.append(further)
+        buckets = index.groupBy("to").agg(F.count("*").alias("n")).select("to", "n", (F.col("n") > 1).alias("shared"))
+        met = join_spread(probes, buckets, "to", total * len(then) // len(level)).where("shared or moved")
+        met = checkpoint(met.select("fp", "part", F.col("to").alias("bucket")))
+        last = [i for i, further in enumerate(then) if further is None]
+        ends.append(met.where(F.col("part").isin(last)).select("fp"))
+        level = [(met.where(F.col("part") == i).select("fp", "bucket"), further) for i, further in enumerate(then) if further]
+        total = met.count() if level else 0
+    return reduce(DataFrame.union, ends).distinct()
 
 
 def links(prints: DataFrame) -> DataFrame:
