@@ -83,7 +83,7 @@ def test_nested_plan_finds_every_pair_and_little_else(spark):
     alike = [x ^ (2**12 - 1) for x in base[100:200]]  # the same but for 12 neighbouring bits
     prints = spark.createDataFrame([(x,) for x in {*base, *close, *alike}], "fp long")
     kept = {r[0] for r in S.probe(prints, plan).collect()}
-    assert {*close, *(x for x, y in zip(base[:60], close, strict=True) if x != y)} <= kept
+    assert {z for pair in zip(base[:60], close, strict=True) if pair[0] != pair[1] for z in pair} <= kept
     assert len(kept) < len({*base[:60], *close}) + 2 * len(alike)
 
 

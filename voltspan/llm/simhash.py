@@ -164,32 +164,40 @@ def near(value: Column, bits: tuple[int, ...], limit: int) -> Column:
 def probe(prints: DataFrame, plan: Plan) -> DataFrame:
     """The fingerprints that share a bucket with another at the end of the plan; no pair is made. prints: distinct fingerprints in column fp.
 
-    A bucket is known by a hash of all its bits; a collision could only add candidates. All plans of a depth are probed together.
+    A bucket is known by a hash of all its bits; a collision could only add candidates. All plans of a depth are probed together,
+    in one pass and one shuffle.
     """
-    level, ends, total = [(prints.select("fp", F.lit(0).cast("long").alias("bucket")), plan)], [], prints.count()
+    rows = prints.select("fp", F.lit(0).alias("part"), F.lit(0).cast("long").alias("bucket"))
+    level, ends = {0: plan}, []
     while level:
-        index, probes, then = None, None, []
-        for rows, own in level:
+        total, then, asked = rows.count(), [], F.lit(None)
+        for node, own in level.items():
+            keys = []
             for bits, limit, further in zip(own.partitions, own.thresholds, own.then or (None,) * len(own.partitions), strict=True):
-                if limit < 0:
-                    continue
-                part = F.col("fp").bitwiseAND(F.lit(_word(bits)).cast("long"))
-                to = lambda value, i=len(then): F.xxhash64("bucket", F.lit(i), value).alias("to")
-                asked = rows.select("fp", "bucket", part.alias("own"), F.explode(near(part, bits, limit)).alias("value"))
-                asked = asked.select("fp", F.lit(len(then)).alias("part"), to(F.col("value")), (F.col("own") != F.col("value")).alias("moved"))
-                index = rows.select(to(part)) if index is None else index.union(rows.select(to(part)))
-                probes = asked if probes is None else probes.union(asked)
-                then.append(further)
-        buckets = index.groupBy("to").agg(F.count("*").alias("n")).select("to", "n", (F.col("n") > 1).alias("shared"))
+                if limit >= 0:
+                    keys.append(_keys(bits, limit, len(then)))
+                    then.append(further)
+            asked = F.when(F.col("part") == node, F.concat(*keys)).otherwise(asked)
+        probes = rows.select("fp", F.explode(asked).alias("key")).select("fp", "key.*")
+        buckets = probes.where(~F.col("moved")).groupBy("to").agg(F.count("*").alias("n")).select("to", "n", (F.col("n") > 1).alias("shared"))
         met = join_spread(probes, buckets, "to", total * len(then) // len(level)).where("shared or moved")
         met = checkpoint(met.select("fp", "part", F.col("to").alias("bucket")))
-        last = [i for i, further in enumerate(then) if further is None]
-        ends.append(met.where(F.col("part").isin(last)).select("fp"))
-        level = [(met.where(F.col("part") == i).select("fp", "bucket"), further) for i, further in enumerate(then) if further]
-        total = met.count() if level else 0
+        level = {i: further for i, further in enumerate(then) if further}
+        goes_on = F.col("part").isin(list(level))
+        ends.append(met.where(~goes_on).select("fp"))
+        rows = met.where(goes_on)
     return reduce(DataFrame.union, ends).distinct()
 
 
+def _keys(bits: tuple[int, ...], limit: int, part: int) -> Column:
+    """The buckets that a row probes in a partition, as structs of part, to and moved (not its own one); column bucket: where it comes from."""
+    own = F.col("fp").bitwiseAND(F.lit(_word(bits)).cast("long"))
+    return F.transform(
+        near(own, bits, limit),
+        lambda value: F.struct(F.lit(part).alias("part"), F.xxhash64("bucket", F.lit(part), value).alias("to"), (value != own).alias("moved")),
+    )
+
+
 def links(prints: DataFrame) -> DataFrame:
     """(fp, other) so that the fingerprints within distance 2 are connected: each to the smallest that shares a midpoint with it."""
     middle = prints.select("fp", F.explode(near(F.col("fp"), tuple(range(BITS)), 1)).alias("z"))
