@@ -31,7 +31,7 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
     edges, last = checkpoint(edges), None
     n = edges.count()
     while True:
-        edges = checkpoint(_small(_large(edges, n), n))
+        edges = checkpoint(_small(checkpoint(_large(edges, n)), n))  # _small reads its edges several times
         now = n, _ = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == last:
             # every edge goes from a node to its root by now
