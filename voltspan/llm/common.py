@@ -54,9 +54,10 @@ def join_apart(left: DataFrame, right: DataFrame, on: str, frequent: DataFrame)
 
 
 def join_spread(left: DataFrame, right: DataFrame, on: str, total: int) -> DataFrame:
-    """join_apart where right has the number n of left's rows with the value; total: of all of them. Column n goes."""
+    """join_apart where right has the number n of left's rows with the value; total: of all of them. Column n goes. Only
+    values that are frequent pass the driver: the others meet in a merge join, whatever their size."""
     frequent = F.col("n") > total / HEAVY
-    rest = left.join(F.broadcast(right.where(frequent).select(on)), on, "left_anti").join(right.where(~frequent).drop("n"), on)
+    rest = left.join(F.broadcast(right.where(frequent).select(on)), on, "left_anti").join(right.where(~frequent).drop("n").hint("merge"), on)
     return left.join(F.broadcast(right.where(frequent).drop("n")), on).unionByName(rest)
 
 
