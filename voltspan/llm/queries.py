@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from voltspan.llm import chat, decontaminate, quality, substrings
+from voltspan.llm import audit, chat, decontaminate, quality, substrings
+from voltspan.llm.audit import op13_filter_audit
 from voltspan.llm.chat import op2_chat_format
 from voltspan.llm.decontaminate import op7_decontaminate
 from voltspan.llm.language import op3_language
@@ -25,10 +26,12 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_virtual_slots": op9_virtual_slots,
     "op10_simhash": op10_simhash,
+    "op13_filter_audit": op13_filter_audit,
 }
 ORACLES: dict[str, str] = {
     "op1_quality": quality.oracle_sql(),
     "op2_chat_format": chat.ORACLE_SQL,
     "op6_substrings": substrings.ORACLE_SQL,
     "op7_decontaminate": decontaminate.ORACLE_SQL,
+    "op13_filter_audit": audit.ORACLE_SQL,
 }
