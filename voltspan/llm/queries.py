@@ -5,6 +5,7 @@ from __future__ import annotations
 from voltspan.llm import audit, chat, decontaminate, quality, substrings
 from voltspan.llm.audit import op13_filter_audit
 from voltspan.llm.chat import op2_chat_format
+from voltspan.llm.codes import op11_addressable_codes
 from voltspan.llm.decontaminate import op7_decontaminate
 from voltspan.llm.language import op3_language
 from voltspan.llm.packing import op8_packing
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_virtual_slots": op9_virtual_slots,
     "op10_simhash": op10_simhash,
+    "op11_addressable_codes": op11_addressable_codes,
     "op13_filter_audit": op13_filter_audit,
 }
 ORACLES: dict[str, str] = {
