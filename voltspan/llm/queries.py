@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from voltspan.llm import audit, chat, decontaminate, quality, substrings
+from voltspan.llm.alignment import op12_align_tokenizers
 from voltspan.llm.audit import op13_filter_audit
 from voltspan.llm.chat import op2_chat_format
 from voltspan.llm.codes import op11_addressable_codes
@@ -28,6 +29,7 @@ QUERIES = {
     "op9_virtual_slots": op9_virtual_slots,
     "op10_simhash": op10_simhash,
     "op11_addressable_codes": op11_addressable_codes,
+    "op12_align_tokenizers": op12_align_tokenizers,
     "op13_filter_audit": op13_filter_audit,
 }
 ORACLES: dict[str, str] = {
