@@ -27,8 +27,8 @@ from voltspan.llm.packing import byte_alphabet
 from voltspan.llm.segments import byte_tokenizer, cut
 from voltspan.tables import table
 
-#: Characters of text in a block (a longer text is a block of its own), and documents' segments that a block counts at once.
-BLOCK_CHARS, AT_ONCE = 16_000_000, 200_000
+#: Characters of text in a block (a longer text ends one), documents' segments that a block counts at once, and segments whose alignments a task sends on together.
+BLOCK_CHARS, AT_ONCE, SENT = 9_000_000, 200_000, 100_000
 A_ENDS, B_ENDS, BOTH = 1, 2, 3
 _BLOCK = pa.schema([("block", pa.int64()), ("keys", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32())), ("places", pa.binary()), ("segments", pa.list_(pa.string()))])
 _DONE = pa.schema(
@@ -137,20 +137,54 @@ def blocks_of(docs: DataFrame) -> DataFrame:
     return written(docs.mapInArrow(collect, ddl(_BLOCK)))
 
 
+def packed(block: np.ndarray, at: np.ndarray, found: list[bytes]) -> pa.RecordBatch:
+    """A row for each block: how many segments, their places, the sizes of their alignments, and these; compressed."""
+    order = np.argsort(block, kind="stable")
+    names, first = np.unique(block[order], return_index=True)
+    rows = []
+    for some in np.split(order, first[1:]):
+        mine = [found[i] for i in some.tolist()]
+        numbers = np.array([len(mine), *at[some], *map(len, mine)], "<u4")
+        rows.append(zlib.compress(numbers.tobytes() + b"".join(mine), 1))
+    return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(rows, pa.binary())], ["block", "packed"])
+
+
+def unpacked(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of a block's alignments, and where they begin and how long they are, by the places of their segments."""
+    at, size, data = [], [], []
+    for row in map(zlib.decompress, rows):
+        n = int.from_bytes(row[:4], "little")
+        numbers = np.frombuffer(row, "<u4", 2 * n, 4).astype(np.int64)
+        at.append(numbers[:n])
+        size.append(numbers[n:])
+        data.append(row[4 + 8 * n :])
+    at, size = (np.concatenate([*x, np.zeros(0, np.int64)]) for x in (at, size))
+    first, order = np.cumsum(size) - size, np.argsort(at)
+    return np.frombuffer(b"".join(data) + bytes(4), np.uint8), first[order], size[order]
+
+
 def aligned(blocks: DataFrame, a_path: str, b_path: str) -> DataFrame:
-    """(block, at, alignment) of each segment of each block; equal ones stand together and are tokenised once."""
+    """(block, packed): the alignments of the segments of each block, some at a time. Equal segments stand together and are tokenised once."""
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, before = vocabulary(a_path, b_path), {}
+        block, at, found = [], [], []
         for batch in batches:
             segments = batch["segment"].to_pylist()
             new = [s for s in dict.fromkeys(segments) if s not in before]
             known = before | dict(zip(new, words.alignments(new), strict=True))
-            yield pa.RecordBatch.from_arrays([batch["block"], batch["at"], pa.array([known[s] for s in segments], pa.binary())], ["block", "at", "alignment"])
+            block.append(batch["block"].to_numpy())
+            at.append(batch["at"].to_numpy())
+            found += [known[s] for s in segments]
+            if len(found) >= SENT:
+                yield packed(np.concatenate(block), np.concatenate(at), found)
+                block, at, found = [], [], []
             before = {segments[-1]: known[segments[-1]]} if segments else before
+        if found:
+            yield packed(np.concatenate(block), np.concatenate(at), found)
 
     each = blocks.select("block", F.posexplode("segments").alias("at", "segment"))
-    return each.repartition("segment").sortWithinPartitions("segment").mapInArrow(align, "block long, at int, alignment binary")
+    return each.repartition("segment").sortWithinPartitions("segment").mapInArrow(align, "block long, packed binary")
 
 
 def spans(start: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -172,10 +206,8 @@ def composed(kind: np.dtype, keep_groups: bool):
     def compose(block: pa.Table, found: pa.Table) -> pa.Table:
         counts = block["counts"].combine_chunks().flatten().to_numpy().astype(np.int64)
         places = np.frombuffer(zlib.decompress(block["places"][0].as_py()), "<u4").astype(np.int64)
-        order = np.argsort(found["at"].to_numpy())
-        parts = [x or b"" for x in found["alignment"].take(pa.array(order)).to_pylist()]
-        size, data = np.array(list(map(len, parts)), np.int64), np.frombuffer(b"".join(parts) + bytes(4), np.uint8)
-        first, good = np.cumsum(size) - size, size > 0
+        data, first, size = unpacked(found["packed"].to_pylist())
+        good = size > 0
         n_links = np.where(good, sum(data[first + i].astype(np.int64) << (8 * i) for i in range(4)), 0)
         steps = data[spans(first + 4, n_links)]
         a_end, b_end = (steps & A_ENDS) > 0, (steps & B_ENDS) > 0
@@ -187,8 +219,8 @@ def composed(kind: np.dtype, keep_groups: bool):
         texts = group_texts(a, b, steps, n_links)
         valid = (counts > 0) & (by_row(~good[places], counts) == 0)
         totals = [by_row(x[places], counts) * valid for x in (n_a, n_b, n_groups, n_links)]
-        ends, place_list = np.cumsum(counts), places.tolist()
-        groups = (";".join([texts[i] for i in place_list[e - n : e]]) if v else "" for e, n, v in zip(ends.tolist(), counts.tolist(), valid.tolist(), strict=True))
+        ends = np.cumsum(counts)
+        groups = (";".join([texts[i] for i in places[e - n : e].tolist()]) if v else "" for e, n, v in zip(ends.tolist(), counts.tolist(), valid.tolist(), strict=True))
         digests, kept = [], []
         for g in groups:
             digests.append(hashlib.sha256(g.encode()).hexdigest() if g else "")
@@ -197,7 +229,7 @@ def composed(kind: np.dtype, keep_groups: bool):
         for low, high in runs(counts):
             doc = np.repeat(np.arange(low, high), np.where(valid[low:high], counts[low:high], 0))
             place = places[spans((ends - counts)[low:high], np.where(valid[low:high], counts[low:high], 0))]
-            doc, place = np.divmod(np.unique(doc * len(parts) + place), max(len(parts), 1))  # each document's distinct segments
+            doc, place = np.divmod(np.unique(doc * len(size) + place), max(len(size), 1))  # each document's distinct segments
             linked = np.unique(np.repeat(doc, n_links[place]) * len(pairs) + link[spans(link_first[place], n_links[place])])
             docs += np.bincount(linked % max(len(pairs), 1), minlength=len(pairs))
         pack = lambda x: zlib.compress(x.astype("<u4").tobytes(), 1)
@@ -260,12 +292,12 @@ def align_tokenizers(docs: DataFrame, key: str, text: str, a_path: str, b_path:
     blocks = blocks_of(docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")))
     kind = vocabulary(a_path, b_path).kind
     found = aligned(blocks, a_path, b_path)
-    done = written(blocks.drop("segments").groupBy("block").cogroup(found.groupBy("block")).applyInArrow(composed(kind, keep_groups), ddl(_DONE)))
+    done = written(blocks.drop("segments").groupBy("block").cogroup(found.groupBy("block")).applyInArrow(composed(kind, keep_groups), ddl(_DONE)), tidy=True)
     each = done.select("block", F.posexplode(F.arrays_zip("pairs", "docs")).alias("at", "p")).select("block", "at", F.col("p.pairs").alias("pair"), F.col("p.docs").alias("docs")).where("docs > 0")
     a = F.shiftright("pair", 32)
-    counts = written(each.groupBy("pair").agg(F.sum("docs").alias("n")))
+    counts = written(each.groupBy("pair").agg(F.sum("docs").alias("n")), tidy=True)
     most = counts.groupBy(a.alias("a")).agg(F.max("n").alias("most"))  # an A id has at most as many pairs as B has ids
-    ranked = written(counts.withColumn("a", a).join(most, "a").select("pair", "n", (F.col("n") == F.col("most")).alias("best")))
+    ranked = written(counts.withColumn("a", a).join(most, "a").select("pair", "n", (F.col("n") == F.col("most")).alias("best")), tidy=True)
     back = each.join(ranked, "pair").select(F.col("block").alias("of"), "at", "n", "best")  # a pair has one row for each block
     result = done.drop("pairs", "docs").groupBy("block").cogroup(back.groupBy("of")).applyInArrow(summed, ddl(_RESULT)).withColumnRenamed("key", key)
     return result, ranked.select(a.alias("a"), F.col("pair").bitwiseAND(0xFFFFFFFF).alias("b"), "n", "best")
