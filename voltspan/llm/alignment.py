@@ -27,12 +27,12 @@ from voltspan.llm.packing import byte_alphabet
 from voltspan.llm.segments import byte_tokenizer, cut
 from voltspan.tables import table
 
-#: Characters of text in a block (a longer text ends one), documents' segments that a block counts at once, and segments whose alignments a task sends on together.
-BLOCK_CHARS, AT_ONCE, SENT = 9_000_000, 200_000, 100_000
+#: Characters of text in a block (a longer text ends one), documents' segments that a block counts at once, segments whose alignments a task sends on together, and segments whose groups are written out at once.
+BLOCK_CHARS, AT_ONCE, SENT, SLICE = 9_000_000, 50_000, 100_000, 20_000
 A_ENDS, B_ENDS, BOTH = 1, 2, 3
 _BLOCK = pa.schema([("block", pa.int64()), ("keys", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32())), ("places", pa.binary()), ("segments", pa.list_(pa.string()))])
 _DONE = pa.schema(
-    [("block", pa.int64()), ("keys", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32())), ("places", pa.binary()), ("valid", pa.list_(pa.bool_()))]
+    [("block", pa.int64()), ("keys", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32())), ("valid", pa.list_(pa.bool_()))]
     + [(n, pa.list_(pa.int64())) for n in ("n_a", "n_b", "n_groups", "n_links")]
     + [("digests", pa.list_(pa.string())), ("groups", pa.list_(pa.string())), ("pairs", pa.list_(pa.int64())), ("docs", pa.list_(pa.int32())), ("links", pa.binary()), ("link_counts", pa.binary())]
 )
@@ -106,6 +106,18 @@ def vocabulary(a_path: str, b_path: str) -> Vocabulary:
     return Vocabulary(a_path, b_path)
 
 
+def squeezed(numbers: np.ndarray) -> bytes:
+    """Numbers below 2**32, compressed: how many, then all their lowest bytes, the next, and so on."""
+    planes = np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+    return len(numbers).to_bytes(8, "little") + pa.Codec("zstd", compression_level=3).compress(planes.tobytes(), asbytes=True)
+
+
+def restored(data: bytes) -> np.ndarray:
+    n = int.from_bytes(data[:8], "little")
+    planes = pa.Codec("zstd").decompress(data[8:], 4 * n, asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, n).T).view("<u4").reshape(n).astype(np.int64)
+
+
 def block_row(number: int, keys: list, texts: list[str | None]) -> pa.RecordBatch:
     """A block: its documents' keys, how many segments each has, all places of segments, and the distinct segments."""
     known: dict[str, int] = {}
@@ -114,7 +126,10 @@ def block_row(number: int, keys: list, texts: list[str | None]) -> pa.RecordBatc
         parts = cut(f" {t}") if t else []
         places += [known.setdefault(p, len(known)) for p in parts]
         counts.append(len(parts))
-    row = [[number], [keys], [counts], [zlib.compress(np.array(places, "<u4").tobytes(), 1)], [list(known)]]
+    ordered = sorted(known)  # compresses better
+    rank = np.zeros(len(known), np.int64)
+    rank[[known[s] for s in ordered]] = np.arange(len(known))
+    row = [[number], [keys], [counts], [squeezed(rank[places])], [ordered]]
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, _BLOCK.types, strict=True)], schema=_BLOCK)
 
 
@@ -134,30 +149,30 @@ def blocks_of(docs: DataFrame) -> DataFrame:
         if keys:
             yield block_row(number, keys, texts)
 
-    return written(docs.mapInArrow(collect, ddl(_BLOCK)))
+    return written(docs.mapInArrow(collect, ddl(_BLOCK)), codec="zstd")
 
 
 def packed(block: np.ndarray, at: np.ndarray, found: list[bytes]) -> pa.RecordBatch:
-    """A row for each block: how many segments, their places, the sizes of their alignments, and these; compressed."""
-    order = np.argsort(block, kind="stable")
+    """A row for each block: the places of its segments, the sizes of their alignments, and these; compressed."""
+    order = np.lexsort((at, block))
     names, first = np.unique(block[order], return_index=True)
     rows = []
     for some in np.split(order, first[1:]):
         mine = [found[i] for i in some.tolist()]
-        numbers = np.array([len(mine), *at[some], *map(len, mine)], "<u4")
-        rows.append(zlib.compress(numbers.tobytes() + b"".join(mine), 1))
+        numbers = squeezed(np.array([*at[some], *map(len, mine)]))
+        rows.append(len(numbers).to_bytes(4, "little") + numbers + zlib.compress(b"".join(mine), 1))
     return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(rows, pa.binary())], ["block", "packed"])
 
 
 def unpacked(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The bytes of a block's alignments, and where they begin and how long they are, by the places of their segments."""
     at, size, data = [], [], []
-    for row in map(zlib.decompress, rows):
-        n = int.from_bytes(row[:4], "little")
-        numbers = np.frombuffer(row, "<u4", 2 * n, 4).astype(np.int64)
-        at.append(numbers[:n])
-        size.append(numbers[n:])
-        data.append(row[4 + 8 * n :])
+    for row in rows:
+        end = 4 + int.from_bytes(row[:4], "little")
+        numbers = restored(row[4:end])
+        at.append(numbers[: len(numbers) // 2])
+        size.append(numbers[len(numbers) // 2 :])
+        data.append(zlib.decompress(row[end:]))
     at, size = (np.concatenate([*x, np.zeros(0, np.int64)]) for x in (at, size))
     first, order = np.cumsum(size) - size, np.argsort(at)
     return np.frombuffer(b"".join(data) + bytes(4), np.uint8), first[order], size[order]
@@ -205,18 +220,18 @@ def composed(kind: np.dtype, keep_groups: bool):
 
     def compose(block: pa.Table, found: pa.Table) -> pa.Table:
         counts = block["counts"].combine_chunks().flatten().to_numpy().astype(np.int64)
-        places = np.frombuffer(zlib.decompress(block["places"][0].as_py()), "<u4").astype(np.int64)
+        places = restored(block["places"][0].as_py())
         data, first, size = unpacked(found["packed"].to_pylist())
-        good = size > 0
+        good, key = size > 0, block["block"].to_pylist()
         n_links = np.where(good, sum(data[first + i].astype(np.int64) << (8 * i) for i in range(4)), 0)
         steps = data[spans(first + 4, n_links)]
         a_end, b_end = (steps & A_ENDS) > 0, (steps & B_ENDS) > 0
         n_a, n_b, n_groups = by_row(a_end, n_links), by_row(b_end, n_links), by_row(steps == BOTH, n_links)
         ids = lambda at, n: data[spans(at, n * kind.itemsize)].view(kind).astype(np.int64)
         a, b = ids(first + 4 + n_links, n_a), ids(first + 4 + n_links + n_a * kind.itemsize, n_b)
-        link_a, link_b = a[np.cumsum(a_end) - a_end], b[np.cumsum(b_end) - b_end]
-        pairs, link = np.unique((link_a << 32) | link_b, return_inverse=True)
-        texts = group_texts(a, b, steps, n_links)
+        pairs, link = np.unique((a[np.cumsum(a_end) - a_end] << 32) | b[np.cumsum(b_end) - b_end], return_inverse=True)
+        link, texts = link.astype(np.int32), group_texts(a, b, steps, n_links)
+        del data, first, a, b, steps, a_end, b_end
         valid = (counts > 0) & (by_row(~good[places], counts) == 0)
         totals = [by_row(x[places], counts) * valid for x in (n_a, n_b, n_groups, n_links)]
         ends = np.cumsum(counts)
@@ -232,8 +247,7 @@ def composed(kind: np.dtype, keep_groups: bool):
             doc, place = np.divmod(np.unique(doc * len(size) + place), max(len(size), 1))  # each document's distinct segments
             linked = np.unique(np.repeat(doc, n_links[place]) * len(pairs) + link[spans(link_first[place], n_links[place])])
             docs += np.bincount(linked % max(len(pairs), 1), minlength=len(pairs))
-        pack = lambda x: zlib.compress(x.astype("<u4").tobytes(), 1)
-        row = [block["block"].to_pylist(), block["keys"].to_pylist(), [counts], block["places"].to_pylist(), [valid], *([t] for t in totals), [digests], [kept], [pairs], [docs.astype(np.int32)], [pack(link)], [pack(n_links)]]
+        row = [key, block["keys"].to_pylist(), [counts], [valid], *([t] for t in totals), [digests], [kept], [pairs], [docs.astype(np.int32)], [squeezed(link)], [squeezed(n_links)]]
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(row, _DONE.types, strict=True)], schema=_DONE)
 
     return compose
@@ -252,24 +266,28 @@ def runs(counts: np.ndarray) -> Iterator[tuple[int, int]]:
 
 
 def group_texts(a: np.ndarray, b: np.ndarray, steps: np.ndarray, n_links: np.ndarray) -> list[str]:
-    """The groups of each segment: `a1,a2|b1;a3|b2`."""
-    both = steps == BOTH
-    a_at, b_at = np.cumsum((steps & A_ENDS) > 0)[both].tolist(), np.cumsum((steps & B_ENDS) > 0)[both].tolist()
-    a_text, b_text = list(map(str, a.tolist())), list(map(str, b.tolist()))
-    groups, x, y = [], 0, 0
-    for i, j in zip(a_at, b_at, strict=True):
-        groups.append((a_text[x] if i == x + 1 else ",".join(a_text[x:i])) + "|" + (b_text[y] if j == y + 1 else ",".join(b_text[y:j])))
-        x, y = i, j
-    out, p = [], 0
-    for n in by_row(both, n_links).tolist():
-        out.append(groups[p] if n == 1 else ";".join(groups[p : p + n]))
-        p += n
+    """The groups of each segment: `a1,a2|b1;a3|b2`. Made for some segments at a time, as lists of ids are large."""
+    a_ends, b_ends, ends, out, x, y, z = (steps & A_ENDS) > 0, (steps & B_ENDS) > 0, np.cumsum(n_links), [], 0, 0, 0
+    for low in range(0, len(n_links), SLICE):
+        links = n_links[low : low + SLICE]
+        some = slice(z, int(ends[low + len(links) - 1]))
+        both, z = steps[some] == BOTH, some.stop
+        a_at, b_at = np.cumsum(a_ends[some])[both].tolist(), np.cumsum(b_ends[some])[both].tolist()
+        a_text, b_text = (list(map(str, ids[at : at + n[-1]].tolist())) if n else [] for ids, at, n in ((a, x, a_at), (b, y, b_at)))
+        groups, i, j = [], 0, 0
+        for p, q in zip(a_at, b_at, strict=True):
+            groups.append((a_text[i] if p == i + 1 else ",".join(a_text[i:p])) + "|" + (b_text[j] if q == j + 1 else ",".join(b_text[j:q])))
+            i, j = p, q
+        x, y, at = x + len(a_text), y + len(b_text), 0
+        for n in by_row(both, links).tolist():
+            out.append(groups[at] if n == 1 else ";".join(groups[at : at + n]))
+            at += n
     return out
 
 
 def summed(done: pa.Table, found: pa.Table) -> pa.Table:
     """The documents of a block, with the counts of their links' pairs."""
-    read = lambda c: np.frombuffer(zlib.decompress(done[c][0].as_py()), "<u4").astype(np.int64)
+    read = lambda c: restored(done[c][0].as_py())
     flat = lambda c: done[c].combine_chunks().flatten()
     counts, places, link, n_links = flat("counts").to_numpy().astype(np.int64), read("places"), read("links"), read("link_counts")
     n, best = np.zeros(int(link.max(initial=-1)) + 1, np.int64), np.zeros(int(link.max(initial=-1)) + 1, np.int64)
@@ -299,7 +317,8 @@ def align_tokenizers(docs: DataFrame, key: str, text: str, a_path: str, b_path:
     most = counts.groupBy(a.alias("a")).agg(F.max("n").alias("most"))  # an A id has at most as many pairs as B has ids
     ranked = written(counts.withColumn("a", a).join(most, "a").select("pair", "n", (F.col("n") == F.col("most")).alias("best")), tidy=True)
     back = each.join(ranked, "pair").select(F.col("block").alias("of"), "at", "n", "best")  # a pair has one row for each block
-    result = done.drop("pairs", "docs").groupBy("block").cogroup(back.groupBy("of")).applyInArrow(summed, ddl(_RESULT)).withColumnRenamed("key", key)
+    whole = done.drop("pairs", "docs").join(blocks.select("block", "places").hint("merge"), "block")
+    result = whole.groupBy("block").cogroup(back.groupBy("of")).applyInArrow(summed, ddl(_RESULT)).withColumnRenamed("key", key)
     return result, ranked.select(a.alias("a"), F.col("pair").bitwiseAND(0xFFFFFFFF).alias("b"), "n", "best")
 
 

@@ -33,14 +33,14 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def written(df: DataFrame, tidy: bool = False) -> DataFrame:
+def written(df: DataFrame, tidy: bool = False, codec: str = "snappy") -> DataFrame:
     """Cuts the lineage with a table in the shared folder; its columns are compressed, unlike a checkpoint's rows. tidy: the shuffle
     files of the job that writes it go when it has ended; df is not to be run again."""
     conf, tidies = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = conf.get(tidies)
     conf.set(tidies, "true" if tidy else before)
     try:
-        df.write.parquet(at := f"{checkpoint_folder(df.sparkSession)}/table-{uuid.uuid4().hex}")
+        df.write.option("compression", codec).parquet(at := f"{checkpoint_folder(df.sparkSession)}/table-{uuid.uuid4().hex}")
     finally:
         conf.set(tidies, before)
     return df.sparkSession.read.schema(df.schema).parquet(at)
