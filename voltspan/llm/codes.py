@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 from voltspan.llm.common import checkpoint_folder, chunks, unused
 from voltspan.llm.common import struct as row_of
-from voltspan.llm.segments import Ids
+from voltspan.llm.segments import remembered
 from voltspan.tables import table
 
 MAGIC, END_ID, BLOCK = b"VDAC", 0, 512
@@ -177,7 +177,7 @@ def write_codes(docs: DataFrame, key: str, text: str, tokenizer: str, path: str,
     ordered = placed.repartitionByRange(parts, "key", "tie", "row").sortWithinPartitions("key", "tie", "row").select("key", "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, end = Ids(tokenizer), np.array([end_id], "<u4").tobytes()
+        tokens, end = remembered(tokenizer), np.array([end_id], "<u4").tobytes()
         held, keys, size, place, part = [], [], 0, 0, TaskContext.get().partitionId()
 
         def flush() -> pa.RecordBatch:

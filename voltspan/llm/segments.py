@@ -5,19 +5,33 @@ from __future__ import annotations
 import array
 import os
 import re
-from collections.abc import Iterable
 from functools import lru_cache
+from itertools import chain
+
+import numpy as np
+import regex
+
+from voltspan.llm.packing import PATTERN, byte_alphabet
 
 #: A blank after something that isn't white space; not where it is the last character, as a tokenizer that puts a blank before its text itself has none to give.
 _CUT = re.compile(r"(?<=\S)(?= )(?! \Z)")
 _AWKWARD = re.compile(r"\s | \Z")
 
 
+def parted(text: str) -> tuple[str, list[str]]:
+    """The first segment of a text, and the others without the blank that each begins with."""
+    # where all but line ends can be printed, a blank is the only other white space
+    simple = text.replace("\n", ".").isprintable() and "  " not in text and "\n " not in text and text[-1:] != " "
+    if not simple and _AWKWARD.search(text):
+        first, *rest = _CUT.split(text)
+        return first, [s[1:] for s in rest]
+    first, *rest = text.split(" ")
+    return first, rest
+
+
 def cut(text: str) -> list[str]:
     """The segments of a text, in order: all but the first begin with a blank, and end in something that is no white space (but the last)."""
-    if _AWKWARD.search(text):
-        return _CUT.split(text)
-    first, *rest = text.split(" ")
+    first, rest = parted(text)
     return ([first] if first else []) + [f" {s}" for s in rest]
 
 
@@ -43,22 +57,83 @@ def byte_tokenizer(path: str, special: bool):
     return tokenizer
 
 
+#: The byte-level pattern over any text, and the same for texts of these characters alone, whose classes Python's own expressions know.
+_WORD = regex.compile(PATTERN)
+_PLAIN = re.compile(r"[\t\n\r!-~À-ÖØ-öø-ÿ ]*")
+_PLAIN_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+| ?[!-/:-@\[-`{-~]+|\s+(?!\S)|\s+")
+
+
+def words_of(segment: str) -> list[str]:
+    """What the byte-level pattern parts a segment into; no token has parts of two."""
+    if segment[1:].isalpha() and (segment[0] == " " or segment[0].isalpha()):
+        return [segment]
+    return (_PLAIN_WORD if _PLAIN.fullmatch(segment) else _WORD).findall(segment)
+
+
 class Ids:
-    """Ids of texts, each distinct segment tokenised once as long as it is remembered; memory is bounded by `most` characters of segments."""
+    """Ids of texts by the tokenizer: each distinct word and segment is tokenised once as long as it is remembered. Memory is bounded by
+    `most` characters of either, and one text."""
+
+    def __init__(self, path: str, special: bool = True, most: int = 6_000_000):
+        self.tokenizer, self.most, self.path = byte_tokenizer(path, special), most, path
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] if special else []
+        alphabet, words = byte_alphabet(), self.tokenizer.get_vocab(with_added_tokens=True)
+        self.size = np.zeros(max(words.values()) + 1, np.int64)  # bytes of each token
+        self.size[list(words.values())] = [len(w) if all(c in alphabet for c in w) else 0 for w in words]
+        self.words, self.first, self.rest, self.held = {}, {}, {}, [0, 0]
 
-    def __init__(self, path: str, special: bool = True, most: int = 8_000_000):
-        self.tokenizer, self.most, self.held, self.known = byte_tokenizer(path, special), most, 0, {}
+    def encode(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of words: those that begin with a blank stand one after the other in one text, as no token crosses a cut; the tokens' sizes tell them apart."""
+        lined = [w for w in words if w[:1] == " " and not w.isspace()]
+        out = {}
+        for i in range(0, len(lined), 500):
+            some = lined[i : i + 500]
+            ids = np.array(self.tokenizer.encode_batch_fast(["".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            token_ends, ends = np.cumsum(self.size[ids]), np.cumsum([len(w.encode()) for w in some])
+            at = np.searchsorted(token_ends, ends)
+            if token_ends[-1] != ends[-1] or (token_ends[at] != ends).any():
+                raise ValueError(f"tokens of {self.path} cross blanks")
+            data, low = ids.tobytes(), 0
+            for w, high in zip(some, (4 * at + 4).tolist(), strict=True):
+                out[w] = data[low:high]
+                low = high
+        others = [w for w in words if w not in out]
+        return out | dict(zip(others, self.whole(others), strict=True))
 
-    def learn(self, segments: Iterable[str]) -> None:
-        new = [s for s in segments if s not in self.known]
-        for s, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.known[s] = array.array("I", e.ids).tobytes()
-            self.held += len(s)
+    def whole(self, texts: list[str]) -> list[bytes]:
+        return [array.array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn(self, segments: list[str], special: bool) -> list[bytes]:
+        """Ids of segments: those of their words one after the other; one with a special token's string is left whole."""
+        if special:
+            odd = [s for s in segments if any(x in s for x in self.special)]
+            ids = dict(zip(odd, self.whole(odd), strict=True))
+            ids |= dict(zip(plain := [s for s in segments if s not in ids], self.learn(plain, False), strict=True))
+            return [ids[s] for s in segments]
+        parts, words = list(map(words_of, segments)), self.words
+        new = list(set(chain.from_iterable(parts)) - words.keys())
+        words |= self.encode(new)
+        self.held[0] += sum(map(len, new))
+        return [words[p[0]] if len(p) == 1 else b"".join([words[w] for w in p]) for p in parts]
 
     def of(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        if self.held > self.most:
-            self.known, self.held = {}, 0
-        parts = [cut(t) for t in texts]
-        self.learn(set().union(*parts))
-        return [b"".join([self.known[s] for s in p]) for p in parts]
+        if self.held[0] > self.most:
+            self.words, self.held[0] = {}, 0
+        if self.held[1] > self.most:
+            self.first, self.rest, self.held[1] = {}, {}, 0
+        special = any(x in t for x in self.special for t in texts)
+        parts = [parted(t) for t in texts]
+        first = list({p[0] for p in parts} - self.first.keys())
+        self.first.update(zip(first, self.learn(first, special), strict=True))
+        rest = list(set().union(*(p[1] for p in parts)) - self.rest.keys())
+        self.rest.update(zip(rest, self.learn([f" {s}" for s in rest], special), strict=True))
+        self.held[1] += sum(map(len, first)) + sum(map(len, rest))
+        get = self.rest.__getitem__
+        return [self.first[f] + b"".join(map(get, r)) for f, r in parts]
+
+
+@lru_cache(maxsize=1)
+def remembered(path: str) -> Ids:
+    """Ids that a worker keeps from task to task."""
+    return Ids(path)
