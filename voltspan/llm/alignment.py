@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from voltspan.llm.common import written
 from voltspan.llm.packing import byte_alphabet
-from voltspan.llm.segments import byte_tokenizer, cut
+from voltspan.llm.segments import by_row, byte_tokenizer, cut, spans
 from voltspan.tables import table
 
 #: Characters of text in a block (a longer text ends one), documents' segments that a block counts at once, segments whose alignments a task sends on together, and segments whose groups are written out at once.
@@ -202,19 +202,6 @@ def aligned(blocks: DataFrame, a_path: str, b_path: str) -> DataFrame:
     return each.repartition("segment").sortWithinPartitions("segment").mapInArrow(align, "block long, packed binary")
 
 
-def spans(start: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """The places start, start + 1, .. of each run, one run after the other."""
-    ends = np.cumsum(count)
-    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(start - (ends - count), count)
-
-
-def by_row(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Sums of consecutive runs of values, empty ones too."""
-    total = np.concatenate(([0], np.cumsum(values, dtype=np.int64)))
-    ends = np.cumsum(counts)
-    return total[ends] - total[ends - counts]
-
-
 def composed(kind: np.dtype, keep_groups: bool):
     """A function of a block and the alignments of its segments: one row with its documents' alignments and the pairs linked in them."""
 

@@ -19,6 +19,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -27,12 +28,12 @@ from pyspark.sql import types as T
 
 from voltspan.llm.common import checkpoint_folder, chunks, unused
 from voltspan.llm.common import struct as row_of
-from voltspan.llm.segments import remembered
+from voltspan.llm.segments import ids_by
 from voltspan.tables import table
 
 MAGIC, END_ID, BLOCK = b"VDAC", 0, 512
-#: Ids in a file, at most one document more; ids that a reader takes at once; bytes of text that a partition gets.
-FILE_IDS, RUN_IDS, PART_BYTES = 1 << 24, 1 << 20, 256_000_000
+#: Ids in a file, at most those of one more run of texts; ids that a reader takes at once; bytes of text that a partition gets, and that are tokenised at once (or one text).
+FILE_IDS, RUN_IDS, PART_BYTES, TEXT_BYTES = 1 << 24, 1 << 20, 256_000_000, 16_000_000
 HEAD, LEVEL = binary.Struct("<4sIQQ"), binary.Struct("<IQQQQ")
 MANIFEST = row_of(part="int", place="int", file="string", n_ids="long", n_docs="long", widths="string")
 _POPCOUNT = np.array([bin(i).count("1") for i in range(256)], np.uint8)
@@ -177,33 +178,42 @@ def write_codes(docs: DataFrame, key: str, text: str, tokenizer: str, path: str,
     ordered = placed.repartitionByRange(parts, "key", "tie", "row").sortWithinPartitions("key", "tie", "row").select("key", "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, end = remembered(tokenizer), np.array([end_id], "<u4").tobytes()
-        held, keys, size, place, part = [], [], 0, 0, TaskContext.get().partitionId()
-
-        def flush() -> pa.RecordBatch:
-            nonlocal held, keys, size, place
-            lengths = np.array([len(h) // 4 for h in held], np.int64)
-            content, widths = built(np.frombuffer(b"".join(held), "<u4"), np.concatenate(([0], np.cumsum(lengths))), keys)
+        tokens, part, place = ids_by(tokenizer), TaskContext.get().partitionId(), 0
+        texts, held, size = [], [], 0
+
+        def tokenised() -> None:
+            nonlocal texts, size
+            keys, some = (pa.concat_arrays([t[i] for t in texts]) for i in (0, 1))
+            ids = tokens.of(some)
+            held.append((np.insert(ids.values, np.cumsum(ids.counts), end_id), ids.counts + 1, keys.to_pylist()))
+            texts, size = [], 0
+
+        def flushed() -> pa.RecordBatch:
+            nonlocal held, place
+            ids, lengths = (np.concatenate([h[i] for h in held]) for i in (0, 1))
+            content, widths = built(ids, np.concatenate(([0], np.cumsum(lengths))), [k for h in held for k in h[2]])
             system, folder = opened(path)
             system.create_dir(folder, recursive=True)
             name = f"{part:06d}-{place:06d}-{uuid.uuid4().hex}.codes"
             with system.open_output_stream(f"{folder}/{name}") as out:
                 out.write(content)
-            row = [[part], [place], [name], [int(lengths.sum())], [len(keys)], [",".join(map(str, widths))]]
-            held, keys, size, place = [], [], 0, place + 1
+            row = [[part], [place], [name], [len(ids)], [len(lengths)], [",".join(map(str, widths))]]
+            held, place = [], place + 1
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.string()), strict=True)], MANIFEST.names)
 
         for batch in batches:
-            texts = batch["text"].to_pylist()
-            for some in chunks([len(t) for t in texts]):
-                for k, ids in zip(batch["key"].to_pylist()[some], tokens.of(texts[some]), strict=True):
-                    held.append(ids + end)
-                    keys.append(k)
-                    size += len(ids) // 4 + 1
-                    if size >= FILE_IDS:
-                        yield flush()
-        if keys:
-            yield flush()
+            for some in chunks(pc.binary_length(batch["text"]).to_pylist(), TEXT_BYTES):
+                mine = batch.slice(some.start, some.stop - some.start)
+                texts.append((mine["key"], mine["text"]))
+                size += mine["text"].nbytes
+                if size >= TEXT_BYTES:
+                    tokenised()
+                    if sum(len(h[0]) for h in held) >= FILE_IDS:
+                        yield flushed()
+        if texts:
+            tokenised()
+        if held:
+            yield flushed()
 
     ordered.mapInArrow(write, MANIFEST).write.parquet(f"{path}/manifest")
 

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-import array
 import os
 import re
 from functools import lru_cache
 from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
-import regex
+import pyarrow as pa
+import pyarrow.compute as pc
 
-from voltspan.llm.packing import PATTERN, byte_alphabet
+from voltspan.llm.packing import byte_alphabet
 
 #: A blank after something that isn't white space; not where it is the last character, as a tokenizer that puts a blank before its text itself has none to give.
 _CUT = re.compile(r"(?<=\S)(?= )(?! \Z)")
@@ -20,9 +21,7 @@ _AWKWARD = re.compile(r"\s | \Z")
 
 def parted(text: str) -> tuple[str, list[str]]:
     """The first segment of a text, and the others without the blank that each begins with."""
-    # where all but line ends can be printed, a blank is the only other white space
-    simple = text.replace("\n", ".").isprintable() and "  " not in text and "\n " not in text and text[-1:] != " "
-    if not simple and _AWKWARD.search(text):
+    if _AWKWARD.search(text):
         first, *rest = _CUT.split(text)
         return first, [s[1:] for s in rest]
     first, *rest = text.split(" ")
@@ -57,83 +56,115 @@ def byte_tokenizer(path: str, special: bool):
     return tokenizer
 
 
-#: The byte-level pattern over any text, and the same for texts of these characters alone, whose classes Python's own expressions know.
-_WORD = regex.compile(PATTERN)
+#: Segments of a word and marks after it, and all of these characters, whose classes every library knows alike; without their blank.
+_EASY = r"^(?P<word>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<marks>[!-&(-/:-@\[-`{-~]*)$"
 _PLAIN = re.compile(r"[\t\n\r!-~À-ÖØ-öø-ÿ ]*")
+#: The byte-level pattern for such characters.
 _PLAIN_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+| ?[!-/:-@\[-`{-~]+|\s+(?!\S)|\s+")
 
 
-def words_of(segment: str) -> list[str]:
-    """What the byte-level pattern parts a segment into; no token has parts of two."""
-    if segment[1:].isalpha() and (segment[0] == " " or segment[0].isalpha()):
-        return [segment]
-    return (_PLAIN_WORD if _PLAIN.fullmatch(segment) else _WORD).findall(segment)
+def spans(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The places start, start + 1, .. of each run, one run after the other."""
+    ends = np.cumsum(count)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(start - (ends - count), count)
+
+
+def by_row(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Sums of consecutive runs of values, empty ones too."""
+    total = np.concatenate(([0], np.cumsum(values, dtype=np.int64)))
+    ends = np.cumsum(counts)
+    return total[ends] - total[ends - counts]
+
+
+class Runs(NamedTuple):
+    """Rows of numbers: all of them, and how many each row has."""
+
+    values: np.ndarray
+    counts: np.ndarray
+
+    def take(self, rows: np.ndarray) -> Runs:
+        starts = np.cumsum(self.counts) - self.counts
+        return Runs(self.values[spans(starts[rows], self.counts[rows])], self.counts[rows])
+
+    def of(self, inner: Runs) -> Runs:
+        """Each row's numbers as rows of inner, one after the other."""
+        found = inner.take(self.values)
+        return Runs(found.values, by_row(found.counts, self.counts))
+
+    def then(self, other: Runs) -> Runs:
+        return Runs(np.concatenate((self.values, other.values)), np.concatenate((self.counts, other.counts)))
+
+
+#: What stands in RE2 for a text that is not cut at every blank: white space before a blank, or a blank at its end.
+_AWKWARD_RE2 = r"[\t-\r\x1c-\x20\x{85}\pZ] | \z"
 
 
 class Ids:
-    """Ids of texts by the tokenizer: each distinct word and segment is tokenised once as long as it is remembered. Memory is bounded by
-    `most` characters of either, and one text."""
+    """Ids of some texts by the tokenizer, each of their distinct words tokenised once."""
 
-    def __init__(self, path: str, special: bool = True, most: int = 6_000_000):
-        self.tokenizer, self.most, self.path = byte_tokenizer(path, special), most, path
+    def __init__(self, path: str, special: bool = True):
+        self.tokenizer, self.path = byte_tokenizer(path, special), path
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] if special else []
         alphabet, words = byte_alphabet(), self.tokenizer.get_vocab(with_added_tokens=True)
         self.size = np.zeros(max(words.values()) + 1, np.int64)  # bytes of each token
         self.size[list(words.values())] = [len(w) if all(c in alphabet for c in w) else 0 for w in words]
-        self.words, self.first, self.rest, self.held = {}, {}, {}, [0, 0]
-
-    def encode(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of words: those that begin with a blank stand one after the other in one text, as no token crosses a cut; the tokens' sizes tell them apart."""
-        lined = [w for w in words if w[:1] == " " and not w.isspace()]
-        out = {}
-        for i in range(0, len(lined), 500):
-            some = lined[i : i + 500]
-            ids = np.array(self.tokenizer.encode_batch_fast(["".join(some)], add_special_tokens=False)[0].ids, "<u4")
-            token_ends, ends = np.cumsum(self.size[ids]), np.cumsum([len(w.encode()) for w in some])
+
+    def whole(self, texts: list[str]) -> Runs:
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return Runs(np.fromiter(chain.from_iterable(found), np.uint32), np.array(list(map(len, found)), np.int64))
+
+    def lined(self, words: list[str]) -> Runs:
+        """Ids of words that begin with a blank and have no other white space: they stand in lines, one after the other, as no token crosses a
+        cut, and the tokens' sizes tell them apart."""
+        ids, counts = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for i in range(0, len(words), 1000):
+            some = words[i : i + 1000]
+            line = np.array(self.tokenizer.encode_batch_fast(["".join(some)], add_special_tokens=False)[0].ids, np.uint32)
+            token_ends, ends = np.cumsum(self.size[line]), np.cumsum([len(w.encode()) for w in some])
             at = np.searchsorted(token_ends, ends)
             if token_ends[-1] != ends[-1] or (token_ends[at] != ends).any():
                 raise ValueError(f"tokens of {self.path} cross blanks")
-            data, low = ids.tobytes(), 0
-            for w, high in zip(some, (4 * at + 4).tolist(), strict=True):
-                out[w] = data[low:high]
-                low = high
-        others = [w for w in words if w not in out]
-        return out | dict(zip(others, self.whole(others), strict=True))
-
-    def whole(self, texts: list[str]) -> list[bytes]:
-        return [array.array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def learn(self, segments: list[str], special: bool) -> list[bytes]:
-        """Ids of segments: those of their words one after the other; one with a special token's string is left whole."""
-        if special:
-            odd = [s for s in segments if any(x in s for x in self.special)]
-            ids = dict(zip(odd, self.whole(odd), strict=True))
-            ids |= dict(zip(plain := [s for s in segments if s not in ids], self.learn(plain, False), strict=True))
-            return [ids[s] for s in segments]
-        parts, words = list(map(words_of, segments)), self.words
-        new = list(set(chain.from_iterable(parts)) - words.keys())
-        words |= self.encode(new)
-        self.held[0] += sum(map(len, new))
-        return [words[p[0]] if len(p) == 1 else b"".join([words[w] for w in p]) for p in parts]
-
-    def of(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
-        if self.held[0] > self.most:
-            self.words, self.held[0] = {}, 0
-        if self.held[1] > self.most:
-            self.first, self.rest, self.held[1] = {}, {}, 0
-        special = any(x in t for x in self.special for t in texts)
-        parts = [parted(t) for t in texts]
-        first = list({p[0] for p in parts} - self.first.keys())
-        self.first.update(zip(first, self.learn(first, special), strict=True))
-        rest = list(set().union(*(p[1] for p in parts)) - self.rest.keys())
-        self.rest.update(zip(rest, self.learn([f" {s}" for s in rest], special), strict=True))
-        self.held[1] += sum(map(len, first)) + sum(map(len, rest))
-        get = self.rest.__getitem__
-        return [self.first[f] + b"".join(map(get, r)) for f, r in parts]
+            ids.append(line)
+            counts.append(np.diff(at, prepend=-1))
+        return Runs(np.concatenate(ids), np.concatenate(counts))
+
+    def encode(self, segments: pa.Array, blank: str) -> Runs:
+        """Ids of segments with `blank` before them. Most are a word and marks: their distinct words and marks are tokenised. Others of plain
+        characters are parted as the pattern parts them, and the rest, or those with a special token's string, are left whole."""
+        found = pc.extract_regex(segments, _EASY) if blank else pa.nulls(len(segments), pa.struct([("word", segments.type), ("marks", segments.type)]))
+        if self.special and pc.any(pc.match_substring(segments, self.special[0])).as_py() or len(self.special) > 1:
+            found = pc.if_else(pa.array([any(x in f"{blank}{s}" for x in self.special) for s in segments.to_pylist()]), pa.scalar(None, found.type), found)
+        easy = found.is_valid().to_numpy(zero_copy_only=False)
+        matched = found.filter(pa.array(easy))
+        word, marks = (matched.field(n).dictionary_encode() for n in ("word", "marks"))
+        words = self.lined([f" {w}" for w in word.dictionary.to_pylist()]).then(self.whole(marks.dictionary.to_pylist()))
+        places = np.stack((word.indices.to_numpy(), len(word.dictionary) + marks.indices.to_numpy()), 1).ravel()
+        simple = Runs(places, np.full(len(word), 2)).of(words)
+        rest = [f"{blank}{s}" for s in segments.filter(pa.array(~easy)).to_pylist()]
+        parts = [_PLAIN_WORD.findall(s) if _PLAIN.fullmatch(s) and not any(x in s for x in self.special) else [s] for s in rest]
+        place = {w: i for i, w in enumerate(dict.fromkeys(chain.from_iterable(parts)))}
+        inner = Runs(np.fromiter(map(place.__getitem__, chain.from_iterable(parts)), np.int64), np.array(list(map(len, parts)), np.int64))
+        others = inner.of(self.whole(list(place)))
+        return simple.then(others).take(np.where(easy, np.cumsum(easy) - 1, len(simple.counts) + np.cumsum(~easy) - 1))
+
+    def of(self, texts: pa.Array) -> Runs:
+        """The ids of each text, none of a null one."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        awkward = pc.match_substring_regex(texts, _AWKWARD_RE2)
+        parts = pc.split_pattern(texts, " ")
+        if pc.any(awkward).as_py():
+            parts = pa.array([(lambda p: [p[0], *p[1]])(parted(t)) if a else p for t, a, p in zip(texts.to_pylist(), awkward.to_pylist(), parts.to_pylist(), strict=True)], pa.large_list(pa.large_string()))
+        counts = pc.list_value_length(parts).to_numpy().astype(np.int64)
+        values = parts.flatten()
+        is_first = np.zeros(len(values), bool)
+        is_first[np.cumsum(counts) - counts] = True  # each has one at least, if an empty one
+        first, rest = values.filter(pa.array(is_first)).dictionary_encode(), values.filter(pa.array(~is_first)).dictionary_encode()
+        place = np.zeros(len(values), np.int64)
+        place[is_first], place[~is_first] = first.indices.to_numpy(), len(first.dictionary) + rest.indices.to_numpy()
+        return Runs(place, counts).of(self.encode(first.dictionary, "").then(self.encode(rest.dictionary, " ")))
 
 
 @lru_cache(maxsize=1)
-def remembered(path: str) -> Ids:
-    """Ids that a worker keeps from task to task."""
+def ids_by(path: str) -> Ids:
+    """The tokenizer that a worker keeps from task to task."""
     return Ids(path)
