@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
+from voltspan.functions import geo
+from voltspan.operators import sites
 from voltspan.plans.fixtures import view, with_views
 from voltspan.plans.places import rings
 from voltspan.plans.registry import register
@@ -27,3 +31,28 @@ def shapefile_polygons(spark, sf_dir):
     back = read_shapefiles(spark, folder, records=40, columns=["id"])
     corner = lambda axis: F.round(F.array_max(F.transform(F.col("parts")[0], lambda p: p[axis])), 6)
     return back.select(F.col("attributes")["id"].alias("id"), F.size(F.col("parts")[0]).alias("points"), corner("lon").alias("east"), corner("lat").alias("north"))
+
+
+_SITE = "CASE WHEN id % 10 = 0 THEN 'one ' || CAST(id AS STRING) WHEN id % 10 < 3 THEN 'two ' || CAST(CAST(floor(id / 10e0) AS BIGINT) AS STRING) ELSE 'many ' || CAST(id % 23 AS STRING) END"
+_METRE = f"{geo.MERCATOR / 180!r}"
+
+
+@register(
+    "site_shapes",
+    with_views(
+        f"""WITH sites AS (SELECT {_SITE} AS site, lon * {_METRE} AS x, ln(tan({math.pi / 4!r} + lat * {math.pi / 360!r})) * {geo.R_AREA!r} AS y FROM points_a)
+        SELECT site, count(*) AS members, count(*) AS inside, CASE count(*) WHEN 1 THEN round(32 * 25e4 * sin({math.pi / 32!r}), 0) WHEN 2 THEN round(32 * 1e4 * sin({math.pi / 32!r}) + 200 * sqrt(power(max(x) - min(x), 2) + power(max(y) - min(y), 2)), 0) END AS square_metres
+        FROM sites GROUP BY site""",
+        "points_a",
+    ),
+)
+def site_shapes(spark, sf_dir):
+    """Outlines of sites of one, two and many members: how many members are inside, and the area of the simple ones."""
+    members = view(spark, sf_dir, "points_a").withColumn("site", F.expr(_SITE))
+    shapes = sites.site_shapes(members, "site")
+    inside = members.join(shapes, "site").groupBy("site").agg(F.count_if(geo.in_ring(F.col("lon"), F.col("lat"), F.col("ring"))).alias("inside"))
+    flat = F.transform("ring", lambda p: F.struct(*(c.alias(n) for c, n in zip(geo.mercator(p["lon"], p["lat"]), ("x", "y"), strict=True))))
+    first = F.get(F.col("flat"), F.lit(0))
+    terms = F.zip_with(F.col("flat"), F.slice(F.col("flat"), F.lit(2), F.size("flat")), lambda a, b: F.coalesce((a["x"] - first["x"]) * (b["y"] - first["y"]) - (b["x"] - first["x"]) * (a["y"] - first["y"]), F.lit(0.0)))
+    area = F.abs(F.aggregate(terms, F.lit(0.0), lambda total, x: total + x)) / 2
+    return shapes.withColumn("flat", flat).join(inside, "site").select("site", "members", "inside", F.when(F.col("members") < 3, F.round(area, 0)).alias("square_metres"))
