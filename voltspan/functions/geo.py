@@ -162,20 +162,20 @@ def albers_length(line: Column) -> Column:
     return F.aggregate(F.transform(segments(line), length), F.lit(0.0), lambda total, x: total + x)
 
 
-def clipped_segment(side: Column, box: tuple[float, float, float, float]) -> Column:
-    """The part of a side inside a box (west, south, east, north), by the share of it at which it enters and leaves; else null."""
-    west, south, east, north = map(float, box)
+def clipped_segment(side: Column, box: tuple) -> Column:
+    """The part of a side inside a box (west, south, east, north; numbers or columns), by the share of it at which it enters and leaves; else null."""
+    west, south, east, north = (b if isinstance(b, Column) else float(b) for b in box)
     x, y = side["from_lon"], side["from_lat"]
     dx, dy = side["to_lon"] - x, side["to_lat"] - y
 
-    def share(edge: float, start: Column, step: Column) -> Column:
+    def share(edge: float | Column, start: Column, step: Column) -> Column:
         return (F.lit(edge) - start) / F.nullif(step, F.lit(0.0))
 
-    def enters(start: Column, step: Column, low: float, high: float) -> Column:
+    def enters(start: Column, step: Column, low: float | Column, high: float | Column) -> Column:
         beside = F.when(start.between(low, high), 0.0).otherwise(2.0)
         return F.when(step > 0, share(low, start, step)).when(step < 0, share(high, start, step)).otherwise(beside)
 
-    def leaves(start: Column, step: Column, low: float, high: float) -> Column:
+    def leaves(start: Column, step: Column, low: float | Column, high: float | Column) -> Column:
         return F.when(step > 0, share(high, start, step)).when(step < 0, share(low, start, step)).otherwise(1.0)
 
     first = F.greatest(F.lit(0.0), enters(x, dx, west, east), enters(y, dy, south, north))
