@@ -6,11 +6,12 @@ import math
 
 from pyspark.sql import functions as F
 
-from voltspan.functions import geo
+from voltspan.functions import geo, wkb
 from voltspan.operators import sites
 from voltspan.plans.fixtures import view, with_views
 from voltspan.plans.places import rings
 from voltspan.plans.registry import register
+from voltspan.sources.geoparquet import read_geoparquet, write_geoparquet
 from voltspan.sources.shapefile import read_shapefiles, write_shapefiles
 from voltspan.tables import scratch
 
@@ -56,3 +57,13 @@ def site_shapes(spark, sf_dir):
     terms = F.zip_with(F.col("flat"), F.slice(F.col("flat"), F.lit(2), F.size("flat")), lambda a, b: F.coalesce((a["x"] - first["x"]) * (b["y"] - first["y"]) - (b["x"] - first["x"]) * (a["y"] - first["y"]), F.lit(0.0)))
     area = F.abs(F.aggregate(terms, F.lit(0.0), lambda total, x: total + x)) / 2
     return shapes.withColumn("flat", flat).join(inside, "site").select("site", "members", "inside", F.when(F.col("members") < 3, F.round(area, 0)).alias("square_metres"))
+
+
+@register("geoparquet_box", with_views("SELECT id, kind, 'Polygon' AS shape, 5 AS points, round(lon + 0.01e0, 6) AS east FROM points_a WHERE lon <= -98.9e0 AND lon + 0.01e0 >= -99.3e0 AND lat <= 40.6e0 AND lat + 0.02e0 >= 40.2e0", "points_a"))
+def geoparquet_box(spark, sf_dir):
+    """Polygons through GeoParquet; a box is read."""
+    shapes = rings(spark, sf_dir).select("id", "kind", wkb.geometry("Polygon", F.array("ring")).alias("geometry"), "lon")
+    write_geoparquet(shapes.repartitionByRange(4, "lon").sortWithinPartitions("lon").drop("lon"), folder := scratch(spark))
+    found = read_geoparquet(spark, folder, (-99.3, 40.2, -98.9, 40.6))
+    points = wkb.points_of(F.col("geometry"))
+    return found.select("id", "kind", F.col("geometry.kind").alias("shape"), F.size(points).alias("points"), F.round(F.array_max(F.transform(points, lambda p: p["lon"])), 6).alias("east"))
