@@ -99,6 +99,12 @@ def source_fuels(active: Collection[str], source: str) -> list[str]:
     return [FUEL_NAMES[source].get(f, f) for f in FUELS if f in active]
 
 
+def source_bucket(fuel: Column, source: Column) -> Column:
+    """The bucket of a source (a key of FUEL_NAMES) for a global fuel; null for what is no fuel, the fuel itself for other sources."""
+    own = F.create_map(*(F.lit(x) for s, names in FUEL_NAMES.items() for f, name in names.items() for x in (f"{s} {f}", name)))
+    return F.when(fuel.isin(*FUELS), F.coalesce(own[F.concat_ws(" ", source, fuel)], fuel))
+
+
 def by_defaults(mw: str, start: str, end: str, mw_range: tuple[float, float] | None = None, year: int | None = None, year_enabled: bool | None = None) -> Column:
     """The global filters, each at its default unless given: rated MW, and whether a unit is alive in a year within the bounds."""
     least, most = mw_range or (DEFAULTS["mw_min"], DEFAULTS["mw_max"])

@@ -42,3 +42,9 @@ def last_ok(status: DataFrame, before: DataFrame, feed: str, now: Column) -> Dat
 def freshness(age_hours: Column, limit: Column) -> Column:
     """ok to half the limit, warn to the limit, fail beyond; skip if there is no snapshot."""
     return F.when(age_hours.isNull(), "skip").when(age_hours > limit, "fail").when(age_hours > limit / 2, "warn").otherwise("ok")
+
+
+def issue(status: Column, hours: Column) -> Column:
+    """What is wrong with a feed, in words: down for so many hours, or data some days old (status `fallback-Nd`); another status but ok is said as it is."""
+    days = F.regexp_extract(status, "fallback-([0-9]+)d", 1)
+    return F.when(status == "failed", F.concat(F.lit("down "), hours.cast("string"), F.lit("h"))).when(days != "", F.concat(F.lit("data "), days, F.lit("d old"))).when(status != "ok", status)

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voltspan.operators.relational import keep_columns
@@ -52,6 +53,20 @@ def shown_parts(layer: ShownLayer, on: bool, mode: str | None = None) -> tuple[s
     return tuple(p for p in layer.parts if mode == "both" or (mode == "heat") == (p == layer.heat))
 
 
+def shown(layer: Column, mode: Column, known: Sequence[ShownLayer], off: str) -> Column:
+    """shown_parts on columns: the parts of each row's layer in its mode (null: the layer's own first; `off`: none); null for an unknown layer."""
+    modes = lambda x: dict.fromkeys([m for m, _ in x.modes] + ["both", "heat"])
+    parts = lambda x, m: F.array(*map(F.lit, shown_parts(x, True, m))).cast("array<string>")
+    out = F.lit(None).cast("array<string>")
+    for x in known:
+        chosen = parts(x, "-")  # a mode that no layer names
+        for m in modes(x):
+            chosen = F.when(mode == m, parts(x, m)).otherwise(chosen)
+        chosen = F.when(mode == off, F.array().cast("array<string>")).when(mode.isNull(), parts(x, None)).otherwise(chosen)
+        out = F.when(layer == x.name, chosen).otherwise(out)
+    return out
+
+
 def drawn(parts: DataFrame, order: list[str], part: str) -> DataFrame:
     """Rows of parts with their place `z` in the total draw order, sorted from the bottom up; parts that the order doesn't name go on top, by name."""
     ranks = parts.sparkSession.createDataFrame([(p, z) for z, p in enumerate(order)], f"{part} string, z int")  # some forty rows

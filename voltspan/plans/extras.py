@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from voltspan.functions import geo, numeric, text
 from voltspan.functions.style import compile_style
-from voltspan.operators import layers, raster, relational
+from voltspan.operators import feeds, layers, raster, relational
 from voltspan.plans.fixtures import view, with_views
 from voltspan.plans.places import WORLD, lines, rings
 from voltspan.plans.registry import register
@@ -131,12 +131,11 @@ def junk_dates(spark, sf_dir):
     return relational.real_dates(rows, ["validated", "junk"]).select("event_id", F.col("validated").cast("timestamp_ntz").alias("validated"), F.col("junk").cast("timestamp_ntz").alias("junk"))
 
 
-@register("feed_issues", "SELECT feed, CASE WHEN status = 'failed' THEN 'down ' || hours::VARCHAR || 'h' WHEN status LIKE 'fallback-%' THEN 'data ' || regexp_extract(status, '([0-9]+)d', 1) || 'd old' WHEN status = 'ok' THEN NULL ELSE status END AS issue FROM (VALUES ('alerts', 'ok', 1), ('wildfire', 'failed', 3), ('outages', 'fallback-2d', 30), ('radar', 'degraded', 0)) AS s(feed, status, hours)")
+@register("feed_issues", "SELECT event_id, CASE event_id % 4 WHEN 1 THEN 'down ' || (event_id % 50)::VARCHAR || 'h' WHEN 2 THEN 'data ' || (event_id % 9)::VARCHAR || 'd old' WHEN 3 THEN 'degraded' END AS issue FROM events")
 def feed_issues(spark, sf_dir):
-    rows = spark.createDataFrame([("alerts", "ok", 1), ("wildfire", "failed", 3), ("outages", "fallback-2d", 30), ("radar", "degraded", 0)], "feed string, status string, hours int")
-    days = F.regexp_extract("status", "fallback-([0-9]+)d", 1)
-    issue = F.when(F.col("status") == "failed", F.concat(F.lit("down "), F.col("hours").cast("string"), F.lit("h"))).when(days != "", F.concat(F.lit("data "), days, F.lit("d old"))).when(F.col("status") != "ok", F.col("status"))
-    return rows.select("feed", issue.alias("issue"))
+    days = F.concat(F.lit("fallback-"), (F.col("event_id") % 9).cast("string"), F.lit("d"))
+    status = F.when(F.col("event_id") % 4 == 0, "ok").when(F.col("event_id") % 4 == 1, "failed").when(F.col("event_id") % 4 == 2, days).otherwise("degraded")
+    return table(spark, sf_dir, "events").select("event_id", feeds.issue(status, F.col("event_id") % 50).alias("issue"))
 
 
 @register("card_times", "SELECT event_id, CASE WHEN m < 0 THEN '(' || floor(-m / 60e0 + 0.5e0)::BIGINT::VARCHAR || 'h ago)' ELSE '(in ' || floor(m / 60e0 + 0.5e0)::BIGINT::VARCHAR || 'h)' END AS said FROM (SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) * 10 - 300 AS m FROM events)")
@@ -146,9 +145,11 @@ def card_times(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.when(m < 0, F.concat(F.lit("("), hours, F.lit("h ago)"))).otherwise(F.concat(F.lit("(in "), hours, F.lit("h)"))).alias("said"))
 
 
-@register("model_cycles", "SELECT TIMESTAMP '2024-01-05 12:00:00' - to_hours(CAST(6 * i AS INT)) AS cycle FROM range(0, 17) AS r(i)")
+@register("model_cycles", "SELECT event_id, to_timestamp(floor(epoch(ts) / 21600) * 21600 - 21600 * i)::TIMESTAMP AS cycle FROM events, range(0, 4) AS r(i)")
 def model_cycles(spark, sf_dir):
-    return spark.range(1).select(F.explode(numeric.cycles(F.lit("2024-01-05 14:20:00").cast("timestamp"), 16)).alias("cycle")).select(F.col("cycle").cast("timestamp_ntz").alias("cycle"))
+    """The cycle that each event falls in, and the three before it."""
+    found = table(spark, sf_dir, "events").select("event_id", F.explode(numeric.cycles(F.col("ts").cast("timestamp"), 3)).alias("cycle"))
+    return found.select("event_id", F.col("cycle").cast("timestamp_ntz").alias("cycle"))
 
 
 @register("path_elements", "SELECT event_id, CASE event_id % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 0 END AS n FROM events")

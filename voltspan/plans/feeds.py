@@ -1,10 +1,14 @@
-"""Queries of live feeds as streams."""
+"""Queries of live feeds: as streams, as graphs of variables, as published versions."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from voltspan.operators import variables
+from voltspan.operators.variables import Variable
+from voltspan.plans.fixtures import view, with_views
 from voltspan.plans.registry import register
+from voltspan.sources import publication
 from voltspan.streaming import live
 from voltspan.tables import scratch, table
 
@@ -31,3 +35,41 @@ def live_state(spark, sf_dir):
     folder = scratch(spark)
     live.run_live(live.live_changes(polls, ["event_id", "value"], buckets=4), f"{folder}/changes", f"{folder}/checkpoint").awaitTermination()
     return live.live_rows(spark, f"{folder}/changes").select("feed", "key", "event_id", "value", F.col("carried"))
+
+
+#: Derived from the readings that types of events stand for; `view` can't be had on every seventh day.
+VARIABLES = (
+    Variable("feels", ("temperature", "wind"), lambda t, w: t - w / 10),
+    Variable("wind", ("u", "v"), lambda u, v: F.sqrt(u * u + v * v)),
+    Variable("spread", ("temperature", "dew"), lambda t, d: t - d),
+    Variable("hot", ("spread", "temperature"), lambda s, t: F.when((s > 5) & (t > 20), 1.0).otherwise(0.0)),
+)
+RAWS = {"click": "u", "view": "v", "purchase": "temperature", "signup": "dew"}
+_RAWS_SQL = ", ".join(f"max(value) FILTER (event_type = '{e}') AS {r}" for e, r in RAWS.items())
+
+
+@register(
+    "variable_graph",
+    f"""WITH cells AS (SELECT day(ts)::INT AS step, CAST(user_id % 10 AS INT) AS cell, {_RAWS_SQL} FROM events GROUP BY ALL),
+    winds AS (SELECT *, sqrt(u * u + v * v) AS wind, temperature - dew AS spread, step % 7 = 0 AS bad FROM cells)
+    SELECT step, cell, 'wind' AS variable, round(CASE WHEN NOT bad THEN wind END, 6) AS value, CASE WHEN bad THEN 'failed' ELSE 'ok' END AS status FROM winds
+    UNION ALL SELECT step, cell, 'feels', round(CASE WHEN NOT bad THEN temperature - wind / 10 END, 6), CASE WHEN bad THEN 'failed' ELSE 'ok' END FROM winds
+    UNION ALL SELECT step, cell, 'spread', round(spread, 6), 'ok' FROM winds
+    UNION ALL SELECT step, cell, 'hot', CASE WHEN spread > 5 AND temperature > 20 THEN 1e0 ELSE 0e0 END, 'ok' FROM winds""",
+)
+def variable_graph(spark, sf_dir):
+    """Four variables, two of them of others, over one scan of the events; one reading fails on some days."""
+    events = table(spark, sf_dir, "events").selectExpr("CAST(day(ts) AS INT) AS step", "CAST(user_id % 10 AS INT) AS cell", "event_type", "value")
+    named = events.withColumn("raw", F.create_map(*(F.lit(x) for pair in RAWS.items() for x in pair))[F.col("event_type")])
+    cells = variables.readings(named, ["step", "cell"], "raw", "value", list(RAWS.values()))
+    failed = events.where("step % 7 = 0").select("step", F.lit("v").alias("raw")).distinct()
+    return variables.evaluate(cells, ["step", "cell"], VARIABLES, "step", failed).withColumn("value", F.round("value", 6))
+
+
+@register("stats_envelope", with_views("SELECT count(*) AS rows, count(*) FILTER (length(fips) <> 5) AS bad_fips, count(*) FILTER (out >= 500) AS large, count(*) FILTER (out IS NULL) AS unknown, (SELECT count(*) FROM outages WHERE fips <= '00012') AS published FROM outages", "outages"))
+def stats_envelope(spark, sf_dir):
+    """The statistics of outages as they were written, with the rows of a second publication read back."""
+    rows, folder = view(spark, sf_dir, "outages"), scratch(spark)
+    stats = publication.publish(rows, folder, {"bad_fips": F.length("fips") != 5, "large": F.col("out") >= 500, "unknown": F.col("out").isNull()})
+    publication.publish(rows.where("fips <= '00012'"), folder)
+    return publication.read_live(spark, folder).agg(F.count("*").alias("published")).select(*(F.lit(v).cast("long").alias(k) for k, v in stats.items()), "published")

@@ -53,14 +53,17 @@ SHOWN = (
 )
 
 
-@register(
-    "display_modes",
-    """SELECT * FROM (VALUES ('centres', 'icons', 'points'), ('centres', 'clusters', 'circles,clusters,counts'), ('centres', 'heat', 'heat,heat-points'), ('centres', 'both', 'points'), ('centres', 'off', ''),
-    ('plants', 'icons', 'plants-icons,plants-labels'), ('plants', 'clusters', 'plants-icons,plants-labels'), ('plants', 'heat', 'plants-heat'), ('plants', 'both', 'plants-heat,plants-icons,plants-labels'), ('plants', 'off', '')) AS t(layer, mode, parts)""",
-)
+_MODES = """(VALUES ('centres', 'icons', 'points'), ('centres', 'clusters', 'circles,clusters,counts'), ('centres', 'heat', 'heat,heat-points'), ('centres', 'both', 'points'), ('centres', 'off', ''),
+    ('plants', 'icons', 'plants-icons,plants-labels'), ('plants', 'clusters', 'plants-icons,plants-labels'), ('plants', 'heat', 'plants-heat'), ('plants', 'both', 'plants-heat,plants-icons,plants-labels'), ('plants', 'off', '')) AS t(layer, mode, parts)"""
+
+
+@register("display_modes", with_views(f"SELECT id, layer, mode, parts FROM (SELECT id, CASE WHEN id % 2 = 0 THEN 'centres' WHEN id % 3 > 0 THEN 'plants' ELSE 'nowhere' END AS layer, CASE size % 5 WHEN 0 THEN 'icons' WHEN 1 THEN 'clusters' WHEN 2 THEN 'heat' WHEN 3 THEN 'both' ELSE 'off' END AS mode FROM tags) LEFT JOIN {_MODES} USING (layer, mode)", "tags"))
 def display_modes(spark, sf_dir):
-    rows = [(x.name, mode, ",".join(layers.shown_parts(x, mode != "off", mode))) for x in SHOWN for mode in ("icons", "clusters", "heat", "both", "off")]
-    return spark.createDataFrame(rows, "layer string, mode string, parts string")
+    """What each feature's layer draws in the mode that is chosen for it."""
+    layer = F.when(F.col("id") % 2 == 0, "centres").when(F.col("id") % 3 > 0, "plants").otherwise("nowhere")
+    mode = F.get(F.array(*map(F.lit, ("icons", "clusters", "heat", "both", "off"))), F.col("size") % 5)
+    chosen = view(spark, sf_dir, "tags").select("id", layer.alias("layer"), mode.alias("mode"))
+    return chosen.withColumn("parts", F.array_join(layers.shown(F.col("layer"), F.col("mode"), SHOWN, off="off"), ","))
 
 
 @register("legend_winner", with_views(f"SELECT zone, id, severity, ends, count(*) OVER (PARTITION BY zone) > 1 AS multi FROM ({KEYED}) WHERE id % 4 IN (1, 3) QUALIFY row_number() OVER (PARTITION BY zone ORDER BY {RANK} DESC, ends ASC NULLS LAST, id) = 1", "alerts"))
@@ -69,10 +72,12 @@ def legend_winner(spark, sf_dir):
     return relational.filtered_winners(grouped, ["g1", "g3"], "group", "zone", "severity", "ends", "id").drop("group")
 
 
-@register("source_fuels", "SELECT * FROM (VALUES ('osm', 'wind,battery,geothermal,other'), ('eia', 'wind,storage,geo,other')) AS t(source, buckets)")
+@register("source_fuels", with_views("SELECT plant_code, generator_id, origin, CASE WHEN fuel IN ('wind', 'solar', 'hydro', 'gas', 'other') THEN fuel WHEN fuel IN ('storage', 'geo') THEN CASE WHEN origin = 'eia' THEN fuel WHEN fuel = 'geo' THEN 'geothermal' ELSE 'battery' END END AS bucket FROM (SELECT plant_code, generator_id, CASE part % 2 WHEN 0 THEN 'osm' ELSE 'eia' END AS origin, CASE energy_source WHEN 'WAT' THEN 'hydro' WHEN 'NG' THEN 'storage' WHEN 'SUN' THEN 'solar' WHEN 'WND' THEN 'geo' WHEN 'ZZZ' THEN 'other' ELSE 'unknown' END AS fuel FROM generators)", "generators"))
 def source_fuels(spark, sf_dir):
-    rows = [(s, ",".join(filters.source_fuels({"other", "geo", "storage", "wind", "unknown"}, s))) for s in ("osm", "eia")]
-    return spark.createDataFrame(rows, "source string, buckets string")
+    """Each generator's global fuel as the bucket that its source files it under; what is no fuel has none."""
+    fuel = F.coalesce(F.create_map(*map(F.lit, ("WAT", "hydro", "NG", "storage", "SUN", "solar", "WND", "geo", "ZZZ", "other")))[F.col("energy_source")], F.lit("unknown"))
+    origin = F.when(F.col("part") % 2 == 0, "osm").otherwise("eia")
+    return view(spark, sf_dir, "generators").select("plant_code", "generator_id", origin.alias("origin"), filters.source_bucket(fuel, origin).alias("bucket"))
 
 
 @register("clean_references", with_views(r"SELECT id, CASE WHEN regexp_full_match(ref, '[A-Za-z0-9-]{1,10}') THEN ref END AS ref FROM (SELECT id, CASE id % 4 WHEN 0 THEN brand WHEN 1 THEN 'IAD-' || CAST(id AS STRING) WHEN 2 THEN 'a' || chr(10) ELSE type END AS ref FROM tags)", "tags"))
