@@ -96,3 +96,17 @@ def test_no_task_gets_a_whole_site(spark):
     (row,) = sites.site_shapes(df, "site").collect()
     assert row["members"] == 200_000 and len(row["ring"]) < 3000
     assert df.join(spark.createDataFrame([row]), "site").where(~geo.in_ring(F.col("lon"), F.col("lat"), F.col("ring"))).count() == 0
+
+
+def test_dissolved_keys_have_each_polygon_once(spark):
+    from voltspan.functions import wkb
+
+    square = lambda x: [[(float(x), 0.0), (float(x), 1.0), (x + 1.0, 1.0), (float(x), 0.0)]]
+    poly = lambda *xs: ("MultiPolygon" if len(xs) != 1 else "Polygon", [("Polygon", square(x)) for x in xs])
+    rows = [("a", 2, "later", poly(1, 2)), ("a", 1, "first", poly(2)), ("b", 1, "bare", None), ("c", 1, "point", ("Point", [("Point", [[(0.0, 0.0)]])]))] + [("hot", i, f"n{i}", poly(i % 50)) for i in range(500)]
+    df = spark.createDataFrame(rows, f"k string, o int, name string, g {wkb.GEOMETRY.simpleString()}")
+    got = sites.dissolve(df, "k", "g", "o", ["name"], most=100).collect()
+    parts = lambda k: sorted(m["parts"][0][0]["lon"] for r in got if r["k"] == k for m in r["g"]["members"])
+    assert parts("a") == [1.0, 2.0] and parts("b") == parts("c") == [] and parts("hot") == [float(i) for i in range(50)]
+    assert {r["k"]: (r["name"], r["shares"]) for r in got} == {"a": ("first", 1), "b": ("bare", 1), "c": ("point", 1), "hot": ("n0", 5)}
+    assert sum(r["k"] == "hot" for r in got) > 1 and all(r["members"] == len(r["g"]["members"]) for r in got)

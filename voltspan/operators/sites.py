@@ -69,3 +69,25 @@ def site_shapes(members: DataFrame, site: str, ratio: float = RATIO) -> DataFram
     sites = cells.groupBy("site").agg(F.collect_list(F.struct("cell", "all", "points")).alias("cells")).withColumn("cells", F.sort_array("cells")).join(extent.select("site", "members"), "site")
     back = lambda p: F.struct(*(c.alias(n) for c, n in zip(from_mercator(p["x"], p["y"]), ("lon", "lat"), strict=True)))
     return sites.select("site", "members", drawn(ratio)("members", "cells").alias("ring")).select(F.col("site").alias(site), "members", F.transform("ring", back).alias("ring"))
+
+
+def convex_corners(points: DataFrame, keys: list[str], cell: list[Column]) -> DataFrame:
+    """(keys, points): the corners of the convex hull of each group's points (x, y), of the corners of the hulls of its cells. What a task gathers
+    is a cell's distinct points, then the corners of a group's cells."""
+    cells = [f"_cell{i}" for i in range(len(cell))]
+    parts = points.withColumns(dict(zip(cells, cell, strict=True))).groupBy(*keys, *cells).agg(F.collect_set(F.struct("x", "y")).alias("points")).withColumn("points", corners("points"))
+    return parts.groupBy(*keys).agg(F.flatten(F.collect_list("points")).alias("points")).withColumn("points", corners("points"))
+
+
+def dissolve(rows: DataFrame, key: str, geometry: str, order: str, first: list[str], most: int = 10_000) -> DataFrame:
+    """(key, share, shares, members, geometry, first): the multipolygon of all of a key's polygons, each once, with other columns of the key's first row by `order`.
+
+    A key with more than `most` polygons comes in several shares, dealt by a hash of the polygon, so that no row holds a frequent key whole; `members` counts the
+    polygons of the share. Rows without a geometry count for the first row only; a key without polygons has one share with none.
+    """
+    each = rows.withColumn("_member", F.explode_outer(F.filter(F.col(geometry)["members"], lambda m: m["kind"] == "Polygon")))
+    known = each.groupBy(key).agg(F.min_by(F.struct(*first), order).alias("_first"), F.greatest(F.lit(1), F.ceil(F.count("_member") / most)).cast("int").alias("shares"))
+    dealt = each.select(key, "_member").join(known, key).withColumn("share", F.coalesce(F.pmod(F.xxhash64("_member"), F.col("shares")), F.lit(0)).cast("int"))
+    united = dealt.groupBy(key, "share").agg(F.collect_set("_member").alias("members"), F.first("shares").alias("shares"), F.first("_first").alias("_first"))
+    shape = F.struct(F.lit("MultiPolygon").alias("kind"), F.col("members"))
+    return united.select(key, "share", "shares", F.size("members").alias("n"), shape.alias(geometry), "_first.*").withColumnRenamed("n", "members")

@@ -6,9 +6,10 @@ import math
 
 from pyspark.sql import functions as F
 
-from voltspan.functions import geo, numeric, text
+from voltspan.functions import geo, numeric, text, wkb
+from voltspan.functions.shapes import hull
 from voltspan.functions.style import compile_style
-from voltspan.operators import feeds, layers, raster, relational
+from voltspan.operators import feeds, layers, raster, relational, sites
 from voltspan.plans.fixtures import view, with_views
 from voltspan.plans.places import WORLD, lines, rings
 from voltspan.plans.registry import register
@@ -326,7 +327,32 @@ def simplified_lines(spark, sf_dir):
 
 @register("hulls")
 def hulls(spark, sf_dir):
-    from voltspan.functions.shapes import hull
+    """Rings around the points of a kind in strips of a fifth of a degree."""
+    points = view(spark, sf_dir, "points_a").select("kind", F.floor(F.col("lon") * 5).alias("cell"), F.col("lon").cast("double").alias("x"), F.col("lat").cast("double").alias("y"))
+    found = sites.convex_corners(points, ["kind", "cell"], [F.floor(F.col("y") * 50)])
+    return found.select("kind", "cell", hull(F.transform("points", lambda p: F.struct(p["x"].alias("lon"), p["y"].alias("lat")))).alias("ring"))
 
-    grouped = view(spark, sf_dir, "points_a").groupBy("kind", F.floor(F.col("lon") * 5).alias("cell")).agg(F.collect_list(F.struct("lon", "lat")).alias("points"))
-    return grouped.select("kind", "cell", hull(F.col("points")).alias("ring"))
+
+@register(
+    "hull_corners",
+    """WITH p AS (SELECT DISTINCT c_mktsegment AS kind, CAST(floor((c_custkey * 7919) % 2000 / 200e0) AS BIGINT) AS cell, (c_custkey * 7919) % 2000 AS x, (c_custkey * 104729) % 1000 AS y FROM customer),
+    turns AS (SELECT a.kind, a.cell, a.x, a.y, atan2(b.y - a.y, b.x - a.x) AS t FROM p a JOIN p b ON a.kind = b.kind AND a.cell = b.cell AND (a.x <> b.x OR a.y <> b.y)),
+    gaps AS (SELECT kind, cell, x, y, coalesce(lead(t) OVER w, min(t) OVER (PARTITION BY kind, cell, x, y) + 2 * pi()) - t AS gap FROM turns WINDOW w AS (PARTITION BY kind, cell, x, y ORDER BY t))
+    SELECT kind, cell, x * 1e0 AS x, y * 1e0 AS y FROM gaps GROUP BY ALL HAVING max(gap) > pi() + 1e-9
+    UNION ALL SELECT kind, cell, x * 1e0, y * 1e0 FROM p QUALIFY count(*) OVER (PARTITION BY kind, cell) = 1""",
+)
+def hull_corners(spark, sf_dir):
+    """The corners of the hulls of a kind's points in strips, merged from those of squares."""
+    points = table(spark, sf_dir, "customer").selectExpr("c_mktsegment AS kind", "CAST(floor((c_custkey * 7919) % 2000 / 200e0) AS BIGINT) AS cell", "(c_custkey * 7919) % 2000 * 1e0 AS x", "(c_custkey * 104729) % 1000 * 1e0 AS y")
+    found = sites.convex_corners(points, ["kind", "cell"], [F.floor(F.col("y") / 100)])
+    return found.select("kind", "cell", F.inline("points"))
+
+
+@register("dissolved", with_views("SELECT kind, count(*) OVER (PARTITION BY kind) AS parts, (SELECT arg_min(sqft, id) FROM points_a b WHERE b.kind = a.kind) AS first_sqft, west, south FROM (SELECT DISTINCT kind, round(lon + 0e0, 6) AS west, round(lat + 0e0, 6) AS south FROM points_a) a", "points_a"))
+def dissolved(spark, sf_dir):
+    """The polygons of each kind united, each once, in shares of at most some hundred; where each part lies."""
+    shapes = rings(spark, sf_dir).select("id", "kind", "sqft", wkb.geometry("Polygon", F.array("ring")).alias("geometry"))
+    united = sites.dissolve(shapes, "kind", "geometry", "id", ["sqft"], most=100)
+    whole = united.groupBy("kind").agg(F.sum("members").alias("parts"))
+    low = lambda axis: F.round(F.array_min(F.transform(F.col("m.parts")[0], lambda p: p[axis])), 6)
+    return united.select("kind", "sqft", F.explode("geometry.members").alias("m")).join(whole, "kind").select("kind", "parts", F.col("sqft").alias("first_sqft"), low("lon").alias("west"), low("lat").alias("south"))
