@@ -12,6 +12,7 @@ from voltspan.plans.fixtures import view, with_views
 from voltspan.plans.places import rings
 from voltspan.plans.registry import register
 from voltspan.sources.geoparquet import read_geoparquet, write_geoparquet
+from voltspan.sources.kml import read_kml, write_kml
 from voltspan.sources.shapefile import read_shapefiles, write_shapefiles
 from voltspan.tables import scratch
 
@@ -67,3 +68,13 @@ def geoparquet_box(spark, sf_dir):
     found = read_geoparquet(spark, folder, (-99.3, 40.2, -98.9, 40.6))
     points = wkb.points_of(F.col("geometry"))
     return found.select("id", "kind", F.col("geometry.kind").alias("shape"), F.size(points).alias("points"), F.round(F.array_max(F.transform(points, lambda p: p["lon"])), 6).alias("east"))
+
+
+@register("kmz_polygons", with_views("SELECT CAST(id AS VARCHAR) AS id, kind AS folder, kind || ' <' || id::VARCHAR || '> & co' AS name, CASE WHEN id % 2 = 0 THEN '#ff8000' ELSE '#0080ff' END AS fill, 0.5e0 AS opacity, round(lon + 0.01e0, 6) AS east FROM points_a", "points_a"))
+def kmz_polygons(spark, sf_dir):
+    """Polygons in folders, with names, styles and attributes, through zipped KML."""
+    fill = F.when(F.col("id") % 2 == 0, "#ff8000").otherwise("#0080ff")
+    rows = rings(spark, sf_dir).select("id", "kind", F.concat("kind", F.lit(" <"), F.col("id").cast("string"), F.lit("> & co")).alias("name"), fill.alias("fill"), F.lit(0.5).alias("fill_opacity"), wkb.geometry("Polygon", F.array("ring")).alias("geometry"))
+    write_kml(rows.repartition(3, "id"), folder := scratch(spark), ["id"], folder="kind", zipped=True)
+    east = F.round(F.array_max(F.transform(wkb.points_of(F.col("geometry")), lambda p: p["lon"])), 6)
+    return read_kml(spark, folder).select(F.col("attributes")["id"].alias("id"), F.array_join("folders", "/").alias("folder"), "name", "fill", F.col("fill_opacity").alias("opacity"), east.alias("east"))
