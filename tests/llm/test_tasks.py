@@ -328,4 +328,11 @@ def test_stored_slot_maps(spark, tmp_path):
     assert two.edits == tuple((s, a, b) for s, (a, b) in enumerate(zip(one.shard_of, two.shard_of, strict=True)) if a != b)
     assert {(r.virtual_slot, r.shard) for r in dealt.collect()} <= set(enumerate(two.shard_of))
     (tmp_path / "maps" / "version=3").mkdir()  # a job that died while it wrote
+    (tmp_path / "maps" / "version=3" / "part-0").write_text("half")
     assert maps.latest() == two
+    _, three = sharding.assign(frame(3300), "id", "size", 8, 256, at)  # and it isn't in the way
+    assert maps.versions() == [0, 1, 2, 3] and maps.latest() == three and three.version == 3
+    with pytest.raises(Exception, match=r"(?i)exist"):
+        maps.write(three)  # another writer was first
+    (tmp_path / "maps" / "making-x").mkdir()  # one that died before its name
+    assert maps.latest() == three and sharding.assign(frame(3300), "id", "size", 8, 256, at)[1].version == 4

@@ -85,7 +85,7 @@ class SlotMaps:
         hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs
         at = hadoop.Path(self.folder)
         files = at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        whole = [x.getPath().getName() for x in files.listStatus(at) if files.exists(hadoop.Path(x.getPath(), "_SUCCESS"))] if files.exists(at) else []
+        whole = [x.getPath().getName() for x in files.listStatus(at) if x.getPath().getName().startswith("version=") and files.exists(hadoop.Path(x.getPath(), "_SUCCESS"))] if files.exists(at) else []
         return sorted(int(x.partition("=")[2]) for x in whole)
 
     def read(self, version: int) -> SlotMap:
@@ -98,8 +98,20 @@ class SlotMaps:
         return self.read(known[-1]) if known else None
 
     def write(self, made: SlotMap) -> DataFrame:
-        """Stores a new version and reads it back; one that is there already is an error, so two writers can't both make it."""
-        made.frame(self.spark).coalesce(1).write.parquet(self.path(made.version))
+        """Stores a new version and reads it back; one that is there already is an error, so two writers can't both make it.
+
+        It is written under a name of its own and then renamed, so a job that dies leaves nothing under the version's name. What is there without the
+        mark of a whole table is no version, and goes.
+        """
+        beside = f"{self.folder}/making-{uuid.uuid4().hex}"
+        made.frame(self.spark).coalesce(1).write.parquet(beside)
+        hadoop, conf = self.spark.sparkContext._jvm.org.apache.hadoop.fs, self.spark.sparkContext._jsc.hadoopConfiguration()
+        source, target = hadoop.Path(beside), hadoop.Path(self.path(made.version))
+        system = target.getFileSystem(conf)
+        if system.exists(target) and not system.exists(hadoop.Path(target, "_SUCCESS")):
+            system.delete(target, True)
+        files = hadoop.FileContext.getFileContext(system.makeQualified(target).toUri(), conf)
+        files.rename(source, target, self.spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 0))  # raises if it is there
         return self.spark.read.parquet(self.path(made.version))
 
 
