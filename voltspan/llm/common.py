@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -88,6 +90,22 @@ def chunks(sizes: list[int], limit: int = CHUNK_BYTES) -> Iterator[slice]:
         yield slice(start, len(sizes))
 
 
+def lists(values: list[np.ndarray]) -> pa.ListArray:
+    """An array of lists of 64-bit numbers; the numbers are copied once."""
+    ends = np.cumsum([0, *map(len, values)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *values])))
+
+
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+
+
+def give_back() -> None:
+    """Returns freed memory to the system: a Python worker stays for a while when its task has ended, beside the tasks of the next stage."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
 def struct(**fields: str) -> T.StructType:
     """A struct type from names and simple type names; needs no session, so that a module can use it while it is imported."""
     kinds = {"string": T.StringType(), "binary": T.BinaryType(), "boolean": T.BooleanType(), "int": T.IntegerType(), "long": T.LongType(), "double": T.DoubleType()}
