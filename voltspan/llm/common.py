@@ -35,14 +35,26 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def written(df: DataFrame, tidy: bool = False, codec: str = "snappy") -> DataFrame:
-    """Cuts the lineage with a table in the shared folder; its columns are compressed, unlike a checkpoint's rows. tidy: the shuffle
-    files of the job that writes it go when it has ended; df is not to be run again."""
+def fresh(spark: SparkSession) -> str:
+    """The path of a new table in the shared folder."""
+    return f"{checkpoint_folder(spark)}/table-{uuid.uuid4().hex}"
+
+
+def discard(spark: SparkSession, at: str) -> None:
+    """Deletes a table that `fresh` named; what was made from it must have been written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def written(df: DataFrame, tidy: bool = False, codec: str = "snappy", at: str | None = None) -> DataFrame:
+    """Cuts the lineage with a table in the shared folder, at a path of `fresh`; its columns are compressed, unlike a checkpoint's
+    rows. tidy: the shuffle files of the job that writes it go when it has ended; df is not to be run again."""
+    at = at or fresh(df.sparkSession)
     conf, tidies = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = conf.get(tidies)
     conf.set(tidies, "true" if tidy else before)
     try:
-        df.write.option("compression", codec).parquet(at := f"{checkpoint_folder(df.sparkSession)}/table-{uuid.uuid4().hex}")
+        df.write.option("compression", codec).parquet(at)
     finally:
         conf.set(tidies, before)
     return df.sparkSession.read.schema(df.schema).parquet(at)

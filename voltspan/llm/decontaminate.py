@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from voltspan.llm.common import unused, written
+from voltspan.llm.common import discard, fresh, unused, written
 from voltspan.tables import table
 
 #: Words of a phrase, and how many words more a proximity match may spread over.
@@ -38,7 +38,7 @@ def lowered(word: Column) -> Column:
     return F.when(F.octet_length(word) == F.length(word), F.lower(word)).otherwise(F.translate(word, UPPER, LOWER))
 
 
-def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
+def postings(docs: DataFrame, key: str, text: str, at: str | None = None) -> DataFrame:
     """The index, written: a row (term, key, print, pos) for each word of the documents; in each file rows are in the order of the
     terms' hashes, which sort much faster than strings.
 
@@ -49,7 +49,7 @@ def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
     own = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("print"), parts.alias("parts"))
     own = own.select("key", "print", F.expr("cast(parts[0] = '' as int)").alias("shift"), F.posexplode("parts").alias("pos", "term")).where("pos > 0 or term != ''")
     own = own.select(lowered(F.col("term")).alias("term"), "key", "print", (F.col("pos") - F.col("shift")).alias("pos"))
-    return written(own.withColumn("code", F.xxhash64("term")).sortWithinPartitions("code").drop("code"))
+    return written(own.withColumn("code", F.xxhash64("term")).sortWithinPartitions("code").drop("code"), at=at)
 
 
 def phrases(tests: DataFrame, item: str, text: str, width: int = WIDTH) -> DataFrame:
@@ -146,9 +146,11 @@ def contamination(docs: DataFrame, tests: DataFrame, key: str = "doc_id", item:
 
 def decontaminated(docs: DataFrame, tests: DataFrame, key: str = "doc_id", item: str = "item_id", text: str = "text") -> DataFrame:
     """The documents without an exact match of any phrase of the tests; all columns stay as they are, whatever their names."""
-    marked = hits(search(postings(docs, key, text), phrases(tests, item, text)).where("exact"))
+    index = postings(docs, key, text, at := fresh(docs.sparkSession))
     k, p = unused(docs, "k"), unused(docs, "p")
-    marked = marked.select(F.col("key").alias(k), F.col("print").alias(p))
+    found = search(index, phrases(tests, item, text)).where("exact")
+    marked = written(found.select(F.col("key").alias(k), F.col("print").alias(p)).distinct(), tidy=True)
+    discard(docs.sparkSession, at)
     return docs.join(marked, F.col(key).eqNullSafe(F.col(k)) & (F.xxhash64(text) == F.col(p)), "left_anti")
 
 
