@@ -1,3 +1,4 @@
+import math
 import zlib
 
 import pytest
@@ -128,3 +129,11 @@ def test_query_state_round_trip():
     found = querystate.decode(querystate.encode(state), {"lines"}, {"<100", "550+"})
     assert found == querystate.QueryState(5.0, 41.5, -99.25, frozenset({"lines"}), frozenset({"<100"}), (5, 500), 2001)
     assert querystate.decode("#bad", set(), set()) == querystate.QueryState()
+
+
+def test_a_point_inside_is_computed_once(spark):
+    """Its parts were named in functions of arrays in functions of arrays, and computed anew for each element of each."""
+    ring = [(math.cos(i / 30 * math.pi), math.sin(i / 30 * math.pi)) for i in range(60)]
+    df = spark.createDataFrame([([[*ring, ring[0]]],)] * 200, "rings array<array<struct<lon:double,lat:double>>>").select(geo.inside_point(F.col("rings")).alias("p"))
+    assert df._jdf.queryExecution().analyzed().toString().count("flatten") <= 8
+    assert all(abs(r.p.lon) < 1e-9 and abs(r.p.lat) < 0.06 for r in df.collect())

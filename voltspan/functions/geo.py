@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -226,6 +227,11 @@ def collected(geometry: Column, nested: int = 3) -> Column:
     return F.coalesce(out, F.array().cast("array<array<double>>"))
 
 
+def bound(value: Column, then: Callable[[Column], Column]) -> Column:
+    """`then` of a value that is computed once for a row, however often `then` names it: a column named several times in functions of arrays is computed anew for each, and each element."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def inside_point(rings: Column) -> Column:
     """A struct (lon, lat) inside a polygon given by its closed rings, holes included: the middle of the widest stretch inside it on a level line.
 
@@ -233,12 +239,19 @@ def inside_point(rings: Column) -> Column:
     westernmost counts. A polygon without height has none.
     """
     lats = F.transform(F.flatten(rings), lambda p: p["lat"])
-    middle = (F.array_max(lats) + F.array_min(lats)) / 2
-    level = (F.array_max(F.filter(lats, lambda y: y <= middle)) + F.array_min(F.filter(lats, lambda y: y > middle))) / 2
-    sides = F.filter(F.flatten(F.transform(rings, segments)), lambda s: (s["from_lat"] > level) != (s["to_lat"] > level))
-    met = F.array_sort(F.transform(sides, lambda s: s["from_lon"] + (level - s["from_lat"]) * (s["to_lon"] - s["from_lon"]) / (s["to_lat"] - s["from_lat"])))
-    pairs = F.filter(F.transform(met, lambda x, i: F.struct((x - F.get(met, i + 1)).alias("w"), ((x + F.get(met, i + 1)) / 2).alias("lon"), i.alias("i"))), lambda s: s["i"] % 2 == 0)
-    return F.when(level.isNotNull() & (F.size(pairs) > 0), F.struct(F.array_min(pairs)["lon"].alias("lon"), level.alias("lat")))
+
+    def halfway(y: Column) -> Column:
+        return bound((F.array_max(y) + F.array_min(y)) / 2, lambda middle: (F.array_max(F.filter(y, lambda v: v <= middle)) + F.array_min(F.filter(y, lambda v: v > middle))) / 2)
+
+    def widest(level: Column) -> Column:
+        sides = F.filter(F.flatten(F.transform(rings, segments)), lambda s: (s["from_lat"] > level) != (s["to_lat"] > level))
+        met = F.array_sort(F.transform(sides, lambda s: s["from_lon"] + (level - s["from_lat"]) * (s["to_lon"] - s["from_lon"]) / (s["to_lat"] - s["from_lat"])))
+        return bound(met, lambda m: bound(stretches(m), lambda pairs: F.when(level.isNotNull() & (F.size(pairs) > 0), F.struct(F.array_min(pairs)["lon"].alias("lon"), level.alias("lat")))))
+
+    def stretches(met: Column) -> Column:
+        return F.filter(F.transform(met, lambda x, i: F.struct((x - F.get(met, i + 1)).alias("w"), ((x + F.get(met, i + 1)) / 2).alias("lon"), i.alias("i"))), lambda s: s["i"] % 2 == 0)
+
+    return bound(bound(lats, halfway), widest)
 
 
 def representative_point(kind: Column, points: Column, rings: Column) -> Column:
