@@ -26,3 +26,15 @@ def test_pairs_like_brute_force(spark, lon, lat, spread):
     alone = {r.i for r in spatial.without_neighbours(left, right, 1000.0).collect()}
     least = [min(metres(p, q) for q in b) for p in a]  # of chords, on a sphere a little smaller
     assert {i for i, m in enumerate(least) if m > 1001} <= alone <= {i for i, m in enumerate(least) if m > 999}
+
+
+def test_copies_of_places_make_no_pairs_and_no_broadcast(spark):
+    """400 x 400 points of one place: the copies in reach were broadcast whole, and each point met each."""
+    points = spark.range(400).selectExpr("id AS i", "id % 1 + 10.0D AS lon", "id % 1 + 50.0D AS lat")
+    others = spark.range(400).selectExpr("id + 7 AS j", "id % 1 + 10.0D AS lon", "id % 1 + 50.0D AS lat")
+    near, alone = spatial.nearest_within(points, others, 500.0, "i", "j"), spatial.without_neighbours(points, others.limit(0), 500.0)
+    for df in (near, alone, spatial.without_neighbours(points, others, 500.0), spatial.within_radius(points, others, 500.0, "i", "j")):
+        assert "BroadcastExchange" not in df._jdf.queryExecution().executedPlan().toString()
+    assert {(r.i, r.j) for r in near.collect()} == {(i, 7) for i in range(400)} and alone.count() == 400
+    assert spatial.without_neighbours(points, others, 500.0).count() == 0
+    assert spatial.within_radius(points, others, 500.0, "i", "j").count() == 160_000

@@ -53,28 +53,52 @@ def in_reach(df: DataFrame, metres: float) -> DataFrame:
     return rows.withColumn("_col", F.explode(F.sequence(first, last))).withColumn("_col", F.pmod("_col", "_n")).drop("_wide", "_n")
 
 
+def _places(df: DataFrame, *more: Column) -> DataFrame:
+    """Each place (lon, lat) once, with aggregates of its points."""
+    return df.where("lon IS NOT NULL AND lat IS NOT NULL").groupBy("lon", "lat").agg(*more) if more else df.select("lon", "lat").where("lon IS NOT NULL AND lat IS NOT NULL").distinct()
+
+
+def _near_places(left: DataFrame, right: DataFrame, metres: float) -> DataFrame:
+    """Pairs of places (_alon, _alat, and of the right _blon, _blat and its other columns) nearer than `metres`, and how far. Merge joins: Spark takes copies in
+    reach for no more than the points, and would broadcast them."""
+    a = in_cells(left, metres).withColumnsRenamed({"lon": "_alon", "lat": "_alat"})
+    b = in_reach(right, metres).withColumnsRenamed({"lon": "_blon", "lat": "_blat"})
+    pairs = a.join(b.hint("merge"), ["_row", "_col"]).drop("_row", "_col").withColumn("metres", haversine(F.col("_alon"), F.col("_alat"), F.col("_blon"), F.col("_blat")))
+    return pairs.where(F.col("metres") < metres)
+
+
+def _at(df: DataFrame, prefix: str) -> DataFrame:
+    return df.withColumnsRenamed({"lon": f"{prefix}lon", "lat": f"{prefix}lat"})
+
+
 def within_radius(left: DataFrame, right: DataFrame, metres: float, left_key: str, right_key: str) -> DataFrame:
-    """(left key, right key, metres) of all pairs of points (lon, lat) nearer than `metres`, by great-circle distance."""
-    a = in_cells(left.select(F.col(left_key).alias("_a"), "lon", "lat"), metres).withColumnsRenamed({"lon": "_alon", "lat": "_alat"})
-    b = in_reach(right.select(F.col(right_key).alias("_b"), "lon", "lat"), metres).withColumnsRenamed({"lon": "_blon", "lat": "_blat"})
-    pairs = a.join(b, ["_row", "_col"]).withColumn("metres", haversine(F.col("_alon"), F.col("_alat"), F.col("_blon"), F.col("_blat")))
-    return pairs.where(F.col("metres") < metres).select(F.col("_a").alias(left_key), F.col("_b").alias(right_key), "metres")
+    """(left key, right key, metres) of all pairs of points (lon, lat) nearer than `metres`, by great-circle distance. Distances are of places; points of a place
+    join its pairs."""
+    near = _near_places(_places(left), _places(right), metres)
+    a = _at(left.select(F.col(left_key).alias("_a"), "lon", "lat"), "_a")
+    b = _at(right.select(F.col(right_key).alias("_b"), "lon", "lat"), "_b")
+    pairs = near.join(a.hint("merge"), ["_alon", "_alat"]).join(b.hint("merge"), ["_blon", "_blat"])
+    return pairs.select(F.col("_a").alias(left_key), F.col("_b").alias(right_key), "metres")
 
 
 def nearest_within(left: DataFrame, right: DataFrame, metres: float, left_key: str, right_key: str) -> DataFrame:
-    """(left key, right key, metres) of the nearest right point of each left point within a radius, ties by key."""
-    pairs = within_radius(left, right, metres, left_key, right_key)
-    best = F.min(F.struct("metres", right_key))
-    return pairs.groupBy(left_key).agg(best.alias("_n")).select(left_key, f"_n.{right_key}", "_n.metres")
+    """(left key, right key, metres) of the nearest right point of each left point within a radius, ties by key. Of the right points of a place only that with the
+    least key can be it, and left points of a place share theirs, so no pair of points is made."""
+    near = _near_places(_places(left), _places(right, F.min(F.struct(F.col(right_key).alias("k")))["k"].alias("_b")), metres)
+    best = near.groupBy("_alon", "_alat").agg(F.min(F.struct("metres", "_b")).alias("_n"))
+    a = _at(left.select(F.col(left_key).alias("_a"), "lon", "lat"), "_a")
+    found = a.join(best.hint("merge"), ["_alon", "_alat"]).select("_a", "_n.*")
+    return found.groupBy("_a").agg(F.min(F.struct("metres", "_b")).alias("_n")).select(F.col("_a").alias(left_key), F.col("_n._b").alias(right_key), "_n.metres")
 
 
 def without_neighbours(df: DataFrame, others: DataFrame, metres: float) -> DataFrame:
-    """The points with none of the others nearer than `metres`, compared by chords; no pair is made."""
-    near = in_reach(others.select("lon", "lat"), metres).select(F.col("_row").alias("_r"), F.col("_col").alias("_c"), F.col("lon").alias("_lon"), F.col("lat").alias("_lat"))
+    """The points with none of the others nearer than `metres`, compared by chords; no pair of points is made, and a place is compared once."""
+    near = in_reach(_places(others), metres).select(F.col("_row").alias("_r"), F.col("_col").alias("_c"), F.col("lon").alias("_lon"), F.col("lat").alias("_lat"))
     here, there = unit_vector(F.col("lon"), F.col("lat")), unit_vector(F.col("_lon"), F.col("_lat"))
     square = sum(((a - b) * (a - b) for a, b in zip(here, there, strict=True)), F.lit(0.0))
     on = (F.col("_row") == F.col("_r")) & (F.col("_col") == F.col("_c")) & (square < chord_of(metres) ** 2)
-    return in_cells(df, metres).join(near, on, "left_anti").drop("_row", "_col")
+    taken = in_cells(_places(df), metres).join(near.hint("merge"), on, "left_semi").select(F.col("lon").alias("_lon"), F.col("lat").alias("_lat"))
+    return df.join(taken.hint("merge"), (F.col("lon") == F.col("_lon")) & (F.col("lat") == F.col("_lat")), "left_anti")
 
 
 def enrich_nearest(df: DataFrame, facts: DataFrame, key: str, fact_key: str, field: str, metres: float) -> DataFrame:
