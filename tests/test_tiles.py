@@ -48,3 +48,12 @@ def test_a_viewport_reads_its_own_files(spark, tmp_path):
     assert 0 < len(files) < sum(1 for _ in (tmp_path / "p").rglob("*.parquet")) / 10
     assert {r["id"] for r in shown.where("px >= 0").collect()} >= {r["id"] for r in points.where("lon BETWEEN -97 AND -95 AND lat BETWEEN 33 AND 35").collect()}
     assert shown.count() < 500
+
+
+def test_a_pyramid_without_pieces_is_read(spark, tmp_path):
+    """Where no tile has room for anything, no file was there to tell the schema, and the viewport raised."""
+    points = spark.range(10).select("id", (F.col("id") - 100.0).alias("lon"), F.lit(40.0).alias("lat"), F.lit(1).alias("rank"), F.lit(1).alias("tie"))
+    pieces = tiles.within_budget(tiles.point_pieces(points, 3, 5), "rank", "tie", 1)
+    tiles.write_pyramid(pieces, str(tmp_path / "p"))
+    shown = tiles.viewport(spark, str(tmp_path / "p"), 4, -100.0, 30.0, -90.0, 50.0)
+    assert shown.count() == 0 and {"id", "x", "y", "px", "py"} <= set(shown.columns)

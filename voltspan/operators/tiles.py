@@ -7,10 +7,12 @@ world: a histogram of bytes by rank and tie says which groups of features fit a
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from voltspan.functions.geo import clipped_segment, pixel
 
@@ -63,10 +65,12 @@ def within_budget(pieces: DataFrame, rank: str, tie: str, budget: int, size: str
 
 
 def write_pyramid(pieces: DataFrame, path: str) -> None:
-    """Writes pieces in folders by zoom and block of tiles. A block is as large as its tiles' budgets allow, so it is a task's work."""
+    """Writes pieces in folders by zoom and block of tiles. A block is as large as its tiles' budgets allow, so it is a task's work. The schema is written
+    beside them, as a pyramid without pieces has no file that could tell it."""
     block = lambda c: F.floor(F.col(c) / BLOCK).cast("int")
     blocks = pieces.withColumns({"block_x": block("x"), "block_y": block("y")})
     blocks.repartition("zoom", "block_x", "block_y").sortWithinPartitions("zoom", "block_x", "block_y", "x", "y").write.mode("overwrite").partitionBy("zoom", "block_x", "block_y").parquet(path)
+    pieces.sparkSession.range(1).select(F.lit(blocks.schema.json())).write.text(f"{path}/_schema")
 
 
 def viewport(spark: SparkSession, path: str, zoom: int, west: float, south: float, east: float, north: float) -> DataFrame:
@@ -75,4 +79,5 @@ def viewport(spark: SparkSession, path: str, zoom: int, west: float, south: floa
     x0, y0, x1, y1 = (int(c // 1) for c in corners)
     shown = F.col("x").between(x0, x1) & F.col("y").between(y0, y1)
     blocks = F.col("block_x").between(x0 // BLOCK, x1 // BLOCK) & F.col("block_y").between(y0 // BLOCK, y1 // BLOCK)
-    return spark.read.parquet(path).where((F.col("zoom") == zoom) & blocks & shown).drop("block_x", "block_y")
+    schema = T.StructType.fromJson(json.loads(spark.read.text(f"{path}/_schema").first()[0]))
+    return spark.read.schema(schema).parquet(path).where((F.col("zoom") == zoom) & blocks & shown).drop("block_x", "block_y")
