@@ -67,3 +67,25 @@ def test_stage_drops_copies_with_a_few_changed_words(spark):
 def test_width_and_similarity_are_parameters(spark):
     docs = spark.createDataFrame([(1, "a b c d e f g h i j"), (2, "a b c d e f g h i k")], "doc_id long, text string")
     assert [N.deduplicated(docs, width=w, similarity=s).count() for w, s in ((5, 0.8), (1, 0.8), (5, 0.7))] == [2, 1, 1]
+
+
+def test_stage_links_by_simhash_too(spark):
+    """Two texts within 2 bits whose shingles have little in common, and a third that is a near copy of one of them: the stage only had the shingles' links."""
+    import corpus_pipeline as P
+    from voltspan.llm.simhash import fingerprint
+
+    # one long run of a word decides the bits; what is around it differs
+    a, b = " ".join(["same"] * 400 + [f"x{i}" for i in range(8)]), " ".join(["same"] * 400 + [f"y{i}" for i in range(8)])
+    assert bin((fingerprint(a) ^ fingerprint(b)) & (2**64 - 1)).count("1") <= 2 and len(sets_of(a) & sets_of(b)) < 0.8 * len(sets_of(a) | sets_of(b))
+    rows = documents([f"{' '.join(f'alone{i}w{j}' for j in range(30))}" for i in range(20)] + [a, b])
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in P.near_dedup(spark, docs, "").collect()) == list(range(21))
+    assert N.deduplicated(docs).count() == 22
+
+
+def test_components_of_two_searches_together(spark):
+    schema = "doc_id long, row long, fp long, component_id long"
+    one = spark.createDataFrame([(1, 11, 0, 1), (2, 12, 0, 1), (3, 13, 0, 3), (4, 14, 0, 4), (None, 15, 5, 4), (None, 16, 6, None), (9, 17, 7, 9)], schema)
+    other = spark.createDataFrame([(1, 11, 0, 1), (2, 12, 0, 2), (3, 13, 0, 2), (4, 14, 0, 4), (None, 15, 0, 3), (None, 16, 0, None), (9, 17, 0, 9)], schema)
+    got = {r.row: (r.doc_id, r.component_id) for r in N.united(one, other, "doc_id").collect()}
+    assert got == {11: (1, 1), 12: (2, 1), 13: (3, 1), 14: (4, 1), 15: (None, 1), 16: (None, None), 17: (9, 9)}

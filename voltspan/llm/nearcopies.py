@@ -117,3 +117,16 @@ def near_copies(docs: DataFrame, key: str, text: str, width: int = SHINGLE, simi
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """One document of each component, that with its key; all columns stay as they are, whatever their names."""
     return first_of_each(docs, near_copies(docs, key, text, width, similarity), key, text)
+
+
+def united(one: DataFrame, other: DataFrame, key: str) -> DataFrame:
+    """(key, row, fp, component_id): each row once, by the components of two searches together. one, other: what near_copies or simhash.near_duplicates found for
+    the same rows, with whole numbers as keys. A row without a key is where its components' smallest keys are."""
+    second = other.select("row", F.col("component_id").alias("_other")).dropDuplicates(["row"])
+    both = one.dropDuplicates(["row"]).join(second.hint("merge"), "row")
+    both = written(both.select("row", key, "fp", F.coalesce(key, "component_id", "_other").alias("_node"), "component_id", "_other"), tidy=True)
+    ends = F.explode(F.array(F.col("component_id"), F.col("_other")))
+    edges = both.select(F.col("_node").alias("a"), ends.alias("b")).where("a != b").distinct()
+    roots = components(written(edges, tidy=True), "a", "b")
+    named_by = both.join(roots.hint("merge"), F.col("_node") == F.col("node"), "left")
+    return named_by.select(key, "row", "fp", F.coalesce("root", "_node").alias("component_id"))
