@@ -110,3 +110,11 @@ def test_dissolved_keys_have_each_polygon_once(spark):
     assert parts("a") == [1.0, 2.0] and parts("b") == parts("c") == [] and parts("hot") == [float(i) for i in range(50)]
     assert {r["k"]: (r["name"], r["shares"]) for r in got} == {"a": ("first", 1), "b": ("bare", 1), "c": ("point", 1), "hot": ("n0", 5)}
     assert sum(r["k"] == "hot" for r in got) > 1 and all(r["members"] == len(r["g"]["members"]) for r in got)
+
+
+def test_sites_are_not_broadcast(spark):
+    """There may be as many sites as members; their extents and outlines were sent through the driver."""
+    members = spark.range(60).selectExpr("CAST(id AS string) AS site", "id / 10D AS lon", "40D AS lat")
+    shapes = sites.site_shapes(members, "site")
+    assert "BroadcastExchange" not in shapes._jdf.queryExecution().executedPlan().toString()
+    assert {r.site for r in shapes.where("members = 1").collect()} == {str(i) for i in range(60)}

@@ -56,17 +56,17 @@ def site_shapes(members: DataFrame, site: str, ratio: float = RATIO) -> DataFram
     """(site, members, ring): the outline of each site from its members (lon, lat), as a closed ring (lon, lat).
 
     One member: a disc of 500 m; two: 100 m around their line; more: 10 m around a hull that follows them, all in Mercator metres. Members
-    without a place are left out; a site without any has no row.
+    without a place are left out; a site without any has no row. There may be as many sites as members, so their joins are merges, not broadcasts.
     """
     x, y = mercator(F.col("lon"), F.col("lat"))
     placed = members.select(F.col(site).alias("site"), x.alias("x"), y.alias("y")).where("x IS NOT NULL AND y IS NOT NULL")
     extent = placed.groupBy("site").agg(F.count("*").alias("members"), *(f(c).alias(f"{n}_{c}") for n, f in (("low", F.min), ("high", F.max)) for c in "xy"))
     place = lambda c: F.least(F.floor((F.col(c) - F.col(f"low_{c}")) / F.greatest(F.col(f"high_{c}") - F.col(f"low_{c}"), F.lit(1e-9)) * GRID), F.lit(GRID - 1))
-    dealt = placed.join(extent, "site").withColumns({"cell": place("x") * GRID + place("y"), "share": F.pmod(F.xxhash64("x", "y"), F.ceil(F.col("members") / SHARE))})
+    dealt = placed.join(extent.hint("merge"), "site").withColumns({"cell": place("x") * GRID + place("y"), "share": F.pmod(F.xxhash64("x", "y"), F.ceil(F.col("members") / SHARE))})
     point = F.struct("x", "y")
     shares = dealt.groupBy("site", "cell", "share").agg(F.collect_set(point).alias("points")).select("site", "cell", F.size("points").alias("all"), corners("points").alias("points"))
     cells = shares.groupBy("site", "cell").agg(F.sum("all").alias("all"), F.flatten(F.collect_list("points")).alias("points")).withColumn("points", corners("points"))
-    sites = cells.groupBy("site").agg(F.collect_list(F.struct("cell", "all", "points")).alias("cells")).withColumn("cells", F.sort_array("cells")).join(extent.select("site", "members"), "site")
+    sites = cells.groupBy("site").agg(F.collect_list(F.struct("cell", "all", "points")).alias("cells")).withColumn("cells", F.sort_array("cells")).join(extent.select("site", "members").hint("merge"), "site")
     back = lambda p: F.struct(*(c.alias(n) for c, n in zip(from_mercator(p["x"], p["y"]), ("lon", "lat"), strict=True)))
     return sites.select("site", "members", drawn(ratio)("members", "cells").alias("ring")).select(F.col("site").alias(site), "members", F.transform("ring", back).alias("ring"))
 

@@ -52,12 +52,12 @@ def site_shapes(spark, sf_dir):
     """Outlines of sites of one, two and many members: how many members are inside, and the area of the simple ones."""
     members = view(spark, sf_dir, "points_a").withColumn("site", F.expr(_SITE))
     shapes = sites.site_shapes(members, "site")
-    inside = members.join(shapes, "site").groupBy("site").agg(F.count_if(geo.in_ring(F.col("lon"), F.col("lat"), F.col("ring"))).alias("inside"))
+    inside = members.join(shapes.hint("merge"), "site").groupBy("site").agg(F.count_if(geo.in_ring(F.col("lon"), F.col("lat"), F.col("ring"))).alias("inside"))
     flat = F.transform("ring", lambda p: F.struct(*(c.alias(n) for c, n in zip(geo.mercator(p["lon"], p["lat"]), ("x", "y"), strict=True))))
     first = F.get(F.col("flat"), F.lit(0))
     terms = F.zip_with(F.col("flat"), F.slice(F.col("flat"), F.lit(2), F.size("flat")), lambda a, b: F.coalesce((a["x"] - first["x"]) * (b["y"] - first["y"]) - (b["x"] - first["x"]) * (a["y"] - first["y"]), F.lit(0.0)))
     area = F.abs(F.aggregate(terms, F.lit(0.0), lambda total, x: total + x)) / 2
-    return shapes.withColumn("flat", flat).join(inside, "site").select("site", "members", "inside", F.when(F.col("members") < 3, F.round(area, 0)).alias("square_metres"))
+    return shapes.withColumn("flat", flat).join(inside.hint("merge"), "site").select("site", "members", "inside", F.when(F.col("members") < 3, F.round(area, 0)).alias("square_metres"))
 
 
 @register("geoparquet_box", with_views("SELECT id, kind, 'Polygon' AS shape, 5 AS points, round(lon + 0.01e0, 6) AS east FROM points_a WHERE lon <= -98.9e0 AND lon + 0.01e0 >= -99.3e0 AND lat <= 40.6e0 AND lat + 0.02e0 >= 40.2e0", "points_a"))
