@@ -37,6 +37,14 @@ def test_what_is_written_is_read_by_ranges(spark, written):
     assert back.select("file", "number").distinct().count() == 100
 
 
+def test_a_large_file_has_no_task_for_each_few_records():
+    """Small ranges made a task for each few records of a file, however large."""
+    ranges = ShapefileReader({"path": "x", "records": "40"}).ranges(100 + 8 * 1_000_003)
+    assert 200 < len(ranges) <= 256 and ranges[0][0] == 0 and ranges[-1][1] == 1_000_003
+    assert all(a[1] == b[0] for a, b in zip(ranges[:-1], ranges[1:], strict=True))
+    assert len(ShapefileReader({"path": "x", "records": "40"}).ranges(100 + 8 * 400)) == 10
+
+
 def test_members_of_zips(spark, written):
     folder, rows = written
     (zips := folder / "zips").mkdir()

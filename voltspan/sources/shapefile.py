@@ -25,8 +25,10 @@ from voltspan.sources.files import listed, opened
 #: Shape codes; codes 10 and 20 higher have z and m values too.
 KINDS = {1: "Point", 3: "LineString", 5: "Polygon", 8: "MultiPoint"}
 SCHEMA = "file string, number int, kind string, parts array<array<struct<lon:double,lat:double>>>, attributes map<string,string>"
-#: Records that a task reads, unless the option `records` says otherwise, and those that it decodes at once.
+#: Records that a task reads (more where a file would need more than TASKS), unless the option `records` says otherwise, and those that it decodes at once.
 RECORDS, AT_ONCE = 100_000, 10_000
+#: Tasks that a file is read by at most. Its index counts places in a file in 31 bits of 16-bit words, so a task has 16 MB of shapes at most.
+TASKS = 256
 
 
 @dataclass
@@ -122,7 +124,8 @@ class ShapefileReader(DataSourceReader):
         if size is None:
             return [(0, None)]
         n = (size - 100) // 8
-        return [(a, min(n, a + self.records)) for a in range(0, n, self.records)]
+        step = max(self.records, -(-n // TASKS))
+        return [(a, min(n, a + step)) for a in range(0, n, step)]
 
     def read(self, part: Records) -> Iterator[pa.RecordBatch]:
         if not part.endings:
@@ -168,7 +171,7 @@ class ShapefileReader(DataSourceReader):
 
 
 class ShapefileSource(DataSource):
-    """Options: `records` to a task, `encoding` of the attributes, `columns` (names of the attributes to read; all by default)."""
+    """Options: `records` to a task (at least; a file has TASKS tasks at most), `encoding` of the attributes, `columns` (names of the attributes to read; all by default)."""
 
     @classmethod
     def name(cls) -> str:
