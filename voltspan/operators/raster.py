@@ -88,14 +88,16 @@ def combined(bands: dict[str, DataFrame]) -> DataFrame:
 def interpolated(targets: DataFrame, samples: DataFrame, radius: float, most: int, smoothing: float = 0.0) -> DataFrame:
     """(row, col, value): inverse squared distances of up to `most` samples (x, y, value, id) within a radius of a target (row, col, x, y).
 
-    Targets and samples meet in square cells as large as the radius; of equal distances the smaller id counts first.
+    Targets and samples meet in square cells as large as the radius; of equal distances the smaller id counts first, so of the samples of one place no more
+    than `most` can count, and only these are copied to cells.
     """
     cell = lambda c: F.floor(F.col(c) / F.lit(radius))
     around = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
-    near = samples.select("id", F.col("x").alias("sx"), F.col("y").alias("sy"), "value", around.alias("k"), cell("x").alias("_x"), cell("y").alias("_y"))
+    place = F.row_number().over(Window.partitionBy("x", "y").orderBy("id"))
+    near = samples.withColumn("_place", place).where(F.col("_place") <= most).select("id", F.col("x").alias("sx"), F.col("y").alias("sy"), "value", around.alias("k"), cell("x").alias("_x"), cell("y").alias("_y"))
     near = near.select("id", "sx", "sy", "value", (F.col("_x") + F.col("k.i")).alias("cx"), (F.col("_y") + F.col("k.j")).alias("cy"))
     square = (F.col("x") - F.col("sx")) * (F.col("x") - F.col("sx")) + (F.col("y") - F.col("sy")) * (F.col("y") - F.col("sy"))
-    pairs = targets.withColumns({"cx": cell("x"), "cy": cell("y")}).join(near, ["cx", "cy"]).withColumn("d2", square).where(F.col("d2") <= radius * radius)
+    pairs = targets.withColumns({"cx": cell("x"), "cy": cell("y")}).join(near.hint("merge"), ["cx", "cy"]).withColumn("d2", square).where(F.col("d2") <= radius * radius)
     ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("row", "col").orderBy("d2", "id"))).where(F.col("rank") <= most)
     weight = F.lit(1.0) / (F.col("d2") + F.lit(smoothing * smoothing))
     exact = F.max(F.when(F.col("d2") + F.lit(smoothing) == 0, F.col("value")))
