@@ -57,3 +57,21 @@ def test_what_is_written_comes_back(spark, tmp_path, zipped):
 def test_colours():
     assert kml.colour("80ff8000") == ("#0080ff", 0.5) and kml.colour("#ff0000ff") == ("#ff0000", 1.0)
     assert kml.colour("red") == kml.colour(None) == kml.colour("ff00") == (None, None)
+
+
+def test_a_partition_becomes_files_of_bounded_size(spark, tmp_path):
+    """A partition was one file, however large, and a reader held all its elements."""
+    df = spark.range(3000).selectExpr("CAST(id AS string) AS id", "concat('n', id) AS name", "concat('f', id % 3) AS folder").coalesce(1)
+    assert kml.write_kml(df, str(tmp_path / "k"), ["id"], folder="folder", most=20_000) > 10
+    assert max(f.stat().st_size for f in (tmp_path / "k").glob("*.kml")) < 25_000
+    back = kml.read_kml(spark, str(tmp_path / "k")).collect()
+    assert sorted((int(r["attributes"]["id"]), r["name"], r["folders"]) for r in back) == [(i, f"n{i}", [f"f{i % 3}"]) for i in range(3000)]
+    last = "<Style id='s'><LineStyle><color>7f0000ff</color></LineStyle></Style>"
+    marks = "".join(f"<Placemark><name>{i}</name><styleUrl>#s</styleUrl></Placemark>" for i in range(5000))
+    some, held = kml.placemarks(f"<kml><Document><Folder>{marks}<name>a</name></Folder>{last}</Document></kml>".encode()), []
+    for p in some:
+        if len(held) % 1000 == 0:
+            around = some.gi_frame.f_locals["around"]
+            assert sum(len(n) for n in around) < 1000
+        held.append((p["name"], p["folders"], p["stroke"]))
+    assert held == [(str(i), ["a"], "#ff0000") for i in range(5000)]
