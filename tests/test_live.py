@@ -52,3 +52,30 @@ def test_state_does_not_grow(spark, tmp_path):
     assert {r["key"] for r in live.live_rows(spark, str(tmp_path / "out")).collect()} == {f"k7-{j}" for j in range(20)}
     held = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
     assert len(held) >= 8 and held[-1] <= 2 * held[1]
+
+
+def test_polls_that_can_not_count_do_not_reach_the_state(spark):
+    """Each poll went to the state, row by row, and a header to all buckets."""
+    import random
+
+    rng = random.Random(3)
+    stamp = lambda m: datetime.datetime(2024, 1, 1) + datetime.timedelta(minutes=m)
+    rows = []
+    for i in range(4000):
+        feed, key = rng.choice("ab"), rng.choice([None, "x", "y", "z"])
+        rows.append((feed, key, rng.randrange(20), stamp(rng.randrange(500)), rng.choice([None, 5, 9]), None if key else rng.choice([live.GOOD, live.FAILED]), rng.choice([None, "m", "n"])))
+    polls = spark.createDataFrame(rows, "feed string, key string, generated long, pulled timestamp, ends long, status string, note string").coalesce(1)
+    kept = [tuple(r) for r in live.needed(polls, ["note"]).collect()]
+    assert len(kept) < 200 and len(set(kept)) == len(kept)
+    value = lambda r: (r[2], r[4], r[6])
+    for since in range(0, 500, 7):  # whatever the watermark, the same row is the newest
+        for group in {(r[0], r[1], r[5]) for r in rows}:
+            newest = []
+            for some in (rows, kept):
+                best = None
+                for r in some:
+                    if (r[0], r[1], r[5]) == group and r[3].replace(tzinfo=None) >= stamp(since) and (best is None or live.LiveKeys.later(value(r), best)):
+                        best = value(r)
+                newest.append(best)
+            assert newest[0] == newest[1]
+    assert max(r[3] for r in kept) == max(r[3] for r in rows)

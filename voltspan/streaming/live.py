@@ -11,6 +11,9 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 from typing import Any
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -91,17 +94,66 @@ class LiveKeys(StatefulProcessor):
         return T.Row("feed", "key", "change", "carried", "generated", "ends", *self.payload.names)(group[0], key, what, carried, *value)
 
 
+#: Rows that a task gathers before it leaves out those that can't count.
+GATHERED = 500_000
+_PLAIN = (T.BooleanType, T.NumericType, T.StringType, T.DateType, T.TimestampType, T.TimestampNTZType)
+
+
+def _frontier(rows: pa.Table, order: list[str]) -> pa.Table:
+    """The rows that no other of their feed, key and status beats, by being as late or later in this order and pulled at the same time or after it."""
+    group = np.zeros(len(rows), np.int64)
+    for c in ("feed", "key", "status"):
+        own = rows[c].combine_chunks().dictionary_encode()
+        group = group * (len(own.dictionary) + 1) + np.asarray(own.indices.fill_null(len(own.dictionary)))
+        group = np.unique(group, return_inverse=True)[1]
+    table = rows.append_column("_group", pa.array(group))
+    keys = [("_group", "ascending"), *((c, "descending") for c in order), ("pulled", "descending")]
+    at = np.asarray(pc.sort_indices(table, sort_keys=keys, null_placement="at_end"))
+    group, pulled = group[at], np.asarray(rows["pulled"].combine_chunks().cast(pa.int64()).fill_null(np.iinfo(np.int64).min))[at]
+    # the greatest time so far within the group: groups lie one after the other, so ranks of times with the group's number before them only grow from group to group
+    rank = np.unique(pulled, return_inverse=True)[1] + group * (len(pulled) + 1)
+    before = np.concatenate(([-1], np.maximum.accumulate(rank)[:-1])) if len(rank) else rank
+    first = np.concatenate(([True], group[1:] != group[:-1])) if len(rank) else np.zeros(0, bool)
+    return rows.take(pa.array(np.sort(at[first | (rank > before)])))
+
+
+def needed(polls: DataFrame, payload: Sequence[str]) -> DataFrame:
+    """The polls without rows and headers that can't count, whatever the watermark: a row for whose key the same task has a later one (as LiveKeys orders them)
+    that was pulled no earlier, and a header with such a one of its status. So what reaches the state, row by row, is in proportion to keys and not to polls. A
+    payload that has columns other than plain ones is left as it is."""
+    if not all(isinstance(polls.schema[c].dataType, _PLAIN) for c in payload):
+        return polls
+    order = ["generated", *payload, "ends"]
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.num_rows
+            if size >= GATHERED:
+                held = _frontier(pa.Table.from_batches(held), order).combine_chunks().to_batches()
+                size = sum(b.num_rows for b in held)
+                if 2 * size > GATHERED:  # mostly different keys
+                    yield from held
+                    held, size = [], 0
+        if held:
+            yield from _frontier(pa.Table.from_batches(held), order).combine_chunks().to_batches()
+
+    return polls.mapInArrow(kept, polls.schema)
+
+
 def live_changes(polls: DataFrame, payload: Sequence[str], buckets: int = 16) -> DataFrame:
     """The changes of live rows, from a stream of polls.
 
     polls: feed, key (string; null in a header), generated and pulled (timestamps), ends (timestamp or null), status (of a header: ok or failed),
     and the payload's columns. Returns feed, key, change, carried (whether the feed has failed since its last good snapshot), generated, ends and
-    the payload. A row that isn't newer than its key's is ignored, as is one older than the last good snapshot or past its end. A key that a newer
+    the payload. Before polls are dealt to buckets, a task leaves out those of its own that can't count (`needed`). A row that isn't newer than its key's is ignored, as is one older than the last good snapshot or past its end. A key that a newer
     good snapshot doesn't have goes; while the feed fails its keys stay. State holds the live rows and two times for each bucket.
     """
     kinds = T.StructType([polls.schema[c] for c in payload])
     places = F.when(F.col("key").isNull(), F.sequence(F.lit(0), F.lit(buckets - 1))).otherwise(F.array(F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int")))
-    dealt = polls.select("feed", "key", F.unix_micros("generated").alias("generated"), "pulled", F.unix_micros("ends").alias("ends"), "status", *payload, F.explode(places).alias("bucket")).withWatermark("pulled", "0 seconds")
+    own = polls.select("feed", "key", F.unix_micros("generated").alias("generated"), "pulled", F.unix_micros("ends").alias("ends"), "status", *payload)
+    dealt = needed(own, payload).withColumn("bucket", F.explode(places)).withWatermark("pulled", "0 seconds")
     fields = [("feed", T.StringType()), ("key", T.StringType()), ("change", T.StringType()), ("carried", T.BooleanType()), ("generated", T.LongType()), ("ends", T.LongType())]
     output = T.StructType([*(T.StructField(n, t) for n, t in fields), *kinds.fields])
     changes = dealt.groupBy("feed", "bucket").transformWithState(statefulProcessor=LiveKeys(kinds), outputStructType=output, outputMode="Update", timeMode="eventTime")
