@@ -57,3 +57,14 @@ def test_a_pyramid_without_pieces_is_read(spark, tmp_path):
     tiles.write_pyramid(pieces, str(tmp_path / "p"))
     shown = tiles.viewport(spark, str(tmp_path / "p"), 4, -100.0, 30.0, -90.0, 50.0)
     assert shown.count() == 0 and {"id", "x", "y", "px", "py"} <= set(shown.columns)
+
+
+def test_lines_are_cut_in_their_rows(spark):
+    """Sides were shuffled one by one and gathered again, and each was asked of all tiles of its box: 67 million at zoom 13 here."""
+    rows = [(1, [(-179.0, 80.0), (179.0, -80.0)]), (2, None), (3, [(0.0, 0.0), (None, 1.0), (0.2, 0.0), (0.4, 0.0)])]
+    pieces = tiles.line_pieces(spark.createDataFrame(rows, "id int, line array<struct<lon:double,lat:double>>"), "id", "line", 13, 13)
+    assert "Exchange" not in pieces._jdf.queryExecution().executedPlan().toString()
+    got = pieces.collect()
+    assert {r["id"] for r in got} == {1, 3} and 8000 < sum(r["id"] == 1 for r in got) < 20_000
+    length = sum(math.hypot(s["x1"] - s["x0"], s["y1"] - s["y0"]) for r in got if r["id"] == 3 for s in r["sides"])
+    assert abs(length - 0.2 / 360 * 2**13 * tiles.EXTENT) < 2

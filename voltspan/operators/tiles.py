@@ -8,13 +8,17 @@ world: a histogram of bytes by rank and tie says which groups of features fit a
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.functions import arrow_udf
 
-from voltspan.functions.geo import clipped_segment, pixel
+from voltspan.functions.geo import pixel
 
 #: Steps to a tile's side; tiles to a side of a block of files; bytes of a feature in a tile besides its coordinates, and of a pair of these.
 EXTENT, BLOCK, FEATURE_BYTES, POINT_BYTES = 4096, 8, 40, 8
@@ -37,19 +41,84 @@ def line_pieces(lines: DataFrame, key: str, line: str, low: int, high: int) -> D
     A line whose points all fall on one step of a zoom isn't there. A row has only sides of one line in one tile.
     """
     flat = F.transform(line, lambda p: F.struct(*(c.alias(n) for c, n in zip(pixel(p["lon"], p["lat"], 0, 1), "xy", strict=True))))
-    each = lines.select(key, flat.alias("_flat"), F.explode(F.sequence(F.lit(low), F.lit(high))).alias("zoom"))
-    scale = F.pow(F.lit(2.0), F.col("zoom")) * EXTENT
-    steps = each.select(key, "zoom", F.transform("_flat", lambda p: F.struct(F.floor(p["x"] * scale).cast("double").alias("x"), F.floor(p["y"] * scale).cast("double").alias("y"))).alias("_steps"))
-    thin = steps.withColumn("_steps", F.filter("_steps", lambda p, i: (i == 0) | (p != F.get(F.col("_steps"), i - 1))))
-    sides = F.zip_with("_steps", F.slice("_steps", F.lit(2), F.greatest(F.size("_steps") - 1, F.lit(0))), lambda a, b: F.struct(a["x"].alias("from_lon"), a["y"].alias("from_lat"), b["x"].alias("to_lon"), b["y"].alias("to_lat")))
-    cut = thin.select(key, "zoom", F.posexplode(F.filter(sides, lambda s: s["to_lon"].isNotNull())).alias("seq", "side"))
-    reach = lambda a, b: F.explode(F.sequence(F.floor(F.least(a, b) / EXTENT), F.floor(F.greatest(a, b) / EXTENT)))
-    tiles = cut.withColumn("x", reach(F.col("side.from_lon"), F.col("side.to_lon"))).withColumn("y", reach(F.col("side.from_lat"), F.col("side.to_lat")))
-    west, north = F.col("x") * EXTENT, F.col("y") * EXTENT
-    inside = tiles.withColumn("side", clipped_segment(F.col("side"), (west, north, west + EXTENT, north + EXTENT))).where("side IS NOT NULL")
-    local = F.struct("seq", (F.col("side.from_lon") - west).alias("x0"), (F.col("side.from_lat") - north).alias("y0"), (F.col("side.to_lon") - west).alias("x1"), (F.col("side.to_lat") - north).alias("y1"))
-    parts = inside.select(key, *TILE, local.alias("part")).groupBy(key, *TILE).agg(F.sort_array(F.collect_list("part")).alias("sides"))
-    return parts.withColumn("sides", F.transform("sides", lambda s: s.dropFields("seq"))).withColumn("bytes", FEATURE_BYTES + POINT_BYTES * (F.size("sides") + 1))
+    pieces = lines.select(key, F.explode(cut_by_tiles(low, high)(flat)).alias("piece")).select(key, "piece.*")
+    return pieces.withColumn("bytes", FEATURE_BYTES + POINT_BYTES * (F.size("sides") + 1))
+
+
+_PIECES = "array<struct<zoom:int,x:bigint,y:bigint,sides:array<struct<x0:double,y0:double,x1:double,y1:double>>>>"
+#: Lines that are cut at once.
+AT_ONCE = 2_000
+
+
+def _counted(n: np.ndarray) -> np.ndarray:
+    """0 to n - 1 for each n, one after the other."""
+    return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+
+
+def _shares(start: np.ndarray, step: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The shares of sides at which they enter and leave a band, as clipped_segment has them."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        to_low, to_high = (low - start) / step, (high - start) / step
+    beside = np.where((start >= low) & (start <= high), 0.0, 2.0)
+    return np.where(step > 0, to_low, np.where(step < 0, to_high, beside)), np.where(step > 0, to_high, np.where(step < 0, to_low, 1.0))
+
+
+def _cut(line: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The sides of lines by tile: line, tile x, tile y, and the four coordinates in the tile; by line and tile, then in the line's order. line: the number of
+    each point's line; x, y: its steps."""
+    again = np.concatenate(([False], (line[1:] == line[:-1]) & (x[1:] == x[:-1]) & (y[1:] == y[:-1])))[: len(line)]
+    line, x, y = line[~again], x[~again], y[~again]
+    side = np.flatnonzero((line[1:] == line[:-1]) & np.isfinite(x[1:] + x[:-1] + y[1:] + y[:-1]))
+    line, x, y, dx, dy = line[side], x[side], y[side], x[side + 1] - x[side], y[side + 1] - y[side]
+    # first the rows of tiles that a side crosses, then in each the tiles that its part there can reach
+    low = np.floor(np.minimum(y, y + dy) / EXTENT)
+    n = (np.floor(np.maximum(y, y + dy) / EXTENT) - low).astype(np.int64) + 1
+    of = np.repeat(np.arange(len(side)), n)
+    row = low[of] + _counted(n)
+    first, last = _shares(y[of], dy[of], row * EXTENT, (row + 1) * EXTENT)
+    ends = x[of] + np.clip(first, 0, 1) * dx[of], x[of] + np.clip(last, 0, 1) * dx[of]
+    west, east = np.floor(np.minimum(x, x + dx) / EXTENT)[of], np.floor(np.maximum(x, x + dx) / EXTENT)[of]
+    low = np.maximum(west, np.floor(np.minimum(*ends) / EXTENT) - 1)
+    n = np.maximum(np.minimum(east, np.floor(np.maximum(*ends) / EXTENT) + 1) - low, -1).astype(np.int64) + 1
+    at = np.repeat(np.arange(len(of)), n)
+    column, row, of = low[at] + _counted(n), row[at], of[at]
+    x, y, dx, dy = x[of], y[of], dx[of], dy[of]
+    (in_x, out_x), (in_y, out_y) = _shares(x, dx, column * EXTENT, (column + 1) * EXTENT), _shares(y, dy, row * EXTENT, (row + 1) * EXTENT)
+    first, last = np.maximum(0.0, np.maximum(in_x, in_y)), np.minimum(1.0, np.minimum(out_x, out_y))
+    kept = np.flatnonzero(first < last)
+    kept = kept[np.lexsort((of[kept], row[kept], column[kept], line[of[kept]]))]
+    column, row, of, first, last = column[kept], row[kept], of[kept], first[kept], last[kept]
+    x, y, dx, dy = x[kept], y[kept], dx[kept], dy[kept]
+    west, north = column * EXTENT, row * EXTENT
+    return line[of], column.astype(np.int64), row.astype(np.int64), x + first * dx - west, y + first * dy - north, x + last * dx - west, y + last * dy - north
+
+
+def cut_by_tiles(low: int, high: int) -> Callable[[Column], Column]:
+    """A function of lines (x, y in the world from 0 to 1): their pieces at each zoom, in one array. A line's tiles lie in its own row, so nothing is shuffled."""
+
+    def one(flat: pa.Array) -> pa.Array:
+        sizes = np.asarray(pc.list_value_length(flat).fill_null(0))
+        points, line = flat.flatten(), np.repeat(np.arange(len(flat)), sizes)
+        world = [np.asarray(points.field(c).fill_null(np.nan), float) for c in "xy"]
+        parts = []
+        for zoom in range(low, high + 1):
+            cut = _cut(line, *(np.floor(w * (2.0**zoom * EXTENT)) for w in world))
+            parts.append((cut[0], np.full(len(cut[0]), zoom), *cut[1:]))
+        all_of = [np.concatenate(c) for c in zip(*parts, strict=True)]
+        order = np.argsort(all_of[0], kind="stable")
+        own, zoom, x, y, *sides = (c[order] for c in all_of)
+        new = np.flatnonzero(np.concatenate(([True], (own[1:] != own[:-1]) | (zoom[1:] != zoom[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])))) if len(own) else np.zeros(0, np.int64)
+        offsets = lambda places, end: pa.array(np.append(places, end).astype(np.int32))
+        listed = pa.ListArray.from_arrays(offsets(new, len(own)), pa.StructArray.from_arrays([pa.array(c) for c in sides], ["x0", "y0", "x1", "y1"]))
+        pieces = pa.StructArray.from_arrays([pa.array(zoom[new].astype(np.int32)), pa.array(x[new]), pa.array(y[new]), listed], ["zoom", "x", "y", "sides"])
+        return pa.ListArray.from_arrays(offsets(np.searchsorted(own[new], np.arange(len(flat))), len(new)), pieces)
+
+    @arrow_udf(_PIECES)
+    def cut(flat: pa.Array) -> pa.Array:
+        flat = flat.combine_chunks() if isinstance(flat, pa.ChunkedArray) else flat
+        return pa.concat_arrays([one(flat.slice(at, AT_ONCE)) for at in range(0, max(1, len(flat)), AT_ONCE)])
+
+    return cut
 
 
 def within_budget(pieces: DataFrame, rank: str, tie: str, budget: int, size: str = "bytes", tile: Sequence[str] = TILE) -> DataFrame:
