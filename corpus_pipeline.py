@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 from voltspan.llm.common import checkpoint_folder
 from voltspan.llm.decontaminate import decontaminated
 from voltspan.llm.language import accepted
-from voltspan.llm.nearcopies import near_copies, united
+from voltspan.llm.nearcopies import copies_by_both
 from voltspan.llm.packing import default_tokenizer, pack
 from voltspan.llm.secrets import redact_secrets
-from voltspan.llm.simhash import first_of_each, near_duplicates
+from voltspan.llm.simhash import first_of_each
 from voltspan.tables import table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -28,8 +28,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays, that with the smallest doc_id. Copies are linked by SimHash (op10: 2 bits, found by its pigeonhole), and by
     a similarity of 0.8 of five-word shingles, which SimHash alone would miss."""
-    found = united(near_duplicates(docs, "doc_id", "text"), near_copies(docs, "doc_id", "text"), "doc_id")
-    return first_of_each(docs, found, "doc_id", "text").select(*COLUMNS)
+    return first_of_each(docs, copies_by_both(docs, "doc_id", "text"), "doc_id", "text").select(*COLUMNS)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

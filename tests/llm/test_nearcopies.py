@@ -89,3 +89,25 @@ def test_components_of_two_searches_together(spark):
     other = spark.createDataFrame([(1, 11, 0, 1), (2, 12, 0, 2), (3, 13, 0, 2), (4, 14, 0, 4), (None, 15, 0, 3), (None, 16, 0, None), (9, 17, 0, 9)], schema)
     got = {r.row: (r.doc_id, r.component_id) for r in N.united(one, other, "doc_id").collect()}
     assert got == {11: (1, 1), 12: (2, 1), 13: (3, 1), 14: (4, 1), 15: (None, 1), 16: (None, None), 17: (9, 9)}
+
+
+def test_both_searches_in_one_as_two_united(spark, write):
+    """Links of SimHash and of shingles in one search for components, with no more jobs than twice those of one (before, a search for each and a third for both)."""
+    from voltspan.llm.simhash import near_duplicates
+
+    same = ["a b c d e f g a b c d e f g", "a b c d e f g a b c d e f g a b c d e f g"]  # equal sets of five-word shingles
+    rows = [*documents([*edited(), *same, *["same " * n + " ".join(f"{x}{i}" for i in range(8)) for n, x in ((400, "x"), (400, "y"), (390, "y"))]]), *((k if k is None else k + 1000, *r) for k, *r in ODD)]
+    docs, context = spark.read.parquet(f"{write('documents', rows)}/documents.parquet"), spark.sparkContext
+    jobs = {}
+
+    def found(name, search):
+        context.setJobGroup(name, name)
+        out = search().dropDuplicates(["row"]).collect()
+        jobs[name] = len(context.statusTracker().getJobIdsForGroup(name))
+        context.setLocalProperty("spark.jobGroup.id", None)
+        return {r.row: (r.doc_id, r.component_id) for r in out}
+
+    got = found("one", lambda: N.copies_by_both(docs, "doc_id", "text"))
+    assert got == found("two", lambda: N.united(near_duplicates(docs, "doc_id", "text"), N.near_copies(docs, "doc_id", "text"), "doc_id"))
+    assert len({c for _, c in got.values()}) < len({c for _, c in found("sets", lambda: N.near_copies(docs, "doc_id", "text")).values()})
+    assert jobs["one"] < 0.67 * jobs["two"], jobs

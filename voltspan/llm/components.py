@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voltspan.llm.common import checkpoint, join_spread
+from voltspan.llm.common import discard, fresh, join_spread, written
 
 
 def _large(edges: DataFrame, n: int) -> DataFrame:
@@ -25,13 +25,19 @@ def _small(edges: DataFrame, n: int) -> DataFrame:
 def components(links: DataFrame, a: str, b: str) -> DataFrame:
     """(node, root) for each node that has a link to another: the smallest node that it reaches. Links need no order; nulls, loops and repeats are left out.
 
-    Each round is a few joins on the nodes and ends in a checkpoint; their number grows with the logarithm of the graph's diameter.
+    Each round is a few joins on the nodes and ends in a written table: small ones are read in few tasks, however many partitions wrote them. The number of
+    rounds grows with the logarithm of the graph's diameter.
     """
+    spark = links.sparkSession
     edges = links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct()
-    edges, last = checkpoint(edges), None
+    edges, last = written(edges, at=(at := fresh(spark))), None
     n = edges.count()
     while True:
-        edges = checkpoint(_small(checkpoint(_large(edges, n)), n))  # _small reads its edges several times
+        large = written(_large(edges, n), at=(between := fresh(spark)))  # _small reads its edges several times
+        edges = written(_small(large, n), at=(after := fresh(spark)))
+        for old in (at, between):
+            discard(spark, old)
+        at = after
         now = n, _ = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == last:
             # every edge goes from a node to its root by now

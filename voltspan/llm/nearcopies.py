@@ -19,7 +19,7 @@ from pyspark.sql.functions import arrow_udf
 
 from voltspan.llm.common import checkpoint, discard, fresh, give_back, lists, mix, window_hashes, word_hashes, word_spans, written
 from voltspan.llm.components import components
-from voltspan.llm.simhash import first_of_each, named
+from voltspan.llm.simhash import fingerprint, first_of_each, named, print_links
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: At similarity 0.8 a pair shares a band with probability 0.8**5, and none of 32 with probability 3e-6.
@@ -53,18 +53,23 @@ def bands(own: np.ndarray) -> np.ndarray:
     return z.view(np.int64)
 
 
-def sketch(width: int):
-    """A function of a text column: fp, a hash of the set of shingles; the set; its bands (none for an empty set)."""
+def sketch(width: int, simhash: bool = False):
+    """A function of a text column: fp, a hash of the set of shingles; the set; its bands (none for an empty set); and, if asked for, the text's SimHash."""
     kind = T.StructType([T.StructField("fp", T.LongType()), T.StructField("shingles", T.ArrayType(T.LongType())), T.StructField("bands", T.ArrayType(T.LongType()))])
+    if simhash:
+        kind = kind.add("simhash", T.LongType())
 
     def one(texts: pa.Array) -> pa.Array:
-        fps, sets, keys = [], [], []
+        fps, sets, keys, prints = [], [], [], []
         for text in texts:
-            own = shingles(text.as_py(), width)
+            own = shingles(text := text.as_py(), width)
+            if simhash:
+                prints.append(fingerprint(text))
             fps.append(int(window_hashes(own, len(own)).view(np.int64)[0]) if len(own) else 0)
             sets.append(own.view(np.int64))
             keys.append(bands(own) if len(own) else np.zeros(0, np.int64))
-        return pa.StructArray.from_arrays([pa.array(fps, pa.int64()), lists(sets), lists(keys)], [f.name for f in kind])
+        more = [pa.array(prints, pa.int64())] if simhash else []
+        return pa.StructArray.from_arrays([pa.array(fps, pa.int64()), lists(sets), lists(keys), *more], [f.name for f in kind])
 
     @arrow_udf(kind)
     def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -94,26 +99,56 @@ def links(sets: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
     return both.where(shared >= similarity * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
 
 
-def near_copies(docs: DataFrame, key: str, text: str, width: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """(key, row, fp, component_id) of each row: row is a hash of key and text, component_id the smallest key that its text reaches over links.
+def sketched(docs: DataFrame, key: str, text: str, width: int, at: str, simhash: bool = False) -> DataFrame:
+    """key, row (a hash of key and text) and the sketch of each text, in a table written at a path."""
+    return written(docs.select(F.col(key).alias("key"), F.xxhash64(key, text).alias("row"), sketch(width, simhash)(F.col(text)).alias("s")).select("key", "row", "s.*"), at=at)
 
-    Texts with the same set of shingles share fp, as do null, empty and blank ones. A null key is never a component's smallest unless all are.
-    """
-    spark = docs.sparkSession
-    rows = written(docs.select(F.col(key).alias("key"), F.xxhash64(key, text).alias("row"), sketch(width)(F.col(text)).alias("s")).select("key", "row", "s.*"), at=(at := fresh(spark)))
-    prints = checkpoint(rows.groupBy("fp").agg(F.min("key").alias("least"), F.count("*").alias("n")))
+
+def set_links(rows: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): the fp of candidates whose sets have the similarity. rows: fp, shingles and bands, repeats too."""
     pairs = written(candidates(rows.select("fp", "bands").dropDuplicates(["fp"])), tidy=True)
     ends = pairs.select(F.col("a").alias("fp")).union(pairs.select(F.col("b").alias("fp"))).distinct()
     # most sets are in no pair: they are left out where they are, by FILTER hashes at most, before the others are shuffled
     sieve = F.pmod(F.xxhash64("fp"), F.lit(FILTER)).alias("h")
     near = rows.select("fp", "shingles", sieve).join(F.broadcast(ends.select(sieve).distinct()), "h", "left_semi").drop("h")
     sets = near.join(ends, "fp", "left_semi").dropDuplicates(["fp"])
-    roots = components(written(links(sets, pairs, similarity), tidy=True), "a", "b")
+    return written(links(sets, pairs, similarity), tidy=True)
+
+
+def near_copies(docs: DataFrame, key: str, text: str, width: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """(key, row, fp, component_id) of each row: row is a hash of key and text, component_id the smallest key that its text reaches over links.
+
+    Texts with the same set of shingles share fp, as do null, empty and blank ones. A null key is never a component's smallest unless all are.
+    """
+    spark = docs.sparkSession
+    rows = sketched(docs, key, text, width, at := fresh(spark))
+    prints = checkpoint(rows.groupBy("fp").agg(F.min("key").alias("least"), F.count("*").alias("n")))
+    roots = components(set_links(rows, similarity), "a", "b")
     found = written(named(rows.select("key", "row", "fp"), prints, roots).select(F.col("key").alias(key), "row", "fp", "component_id"), tidy=True)
     discard(spark, at)  # the sets are larger than the texts
     return found
 
 
+def copies_by_both(docs: DataFrame, key: str, text: str, width: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """(key, row, fp, component_id) of each row, as by near_copies, over the links of near_copies and of simhash.near_duplicates together; fp is the SimHash.
+
+    The nodes are SimHashes, so that one search for components has all links: a set of shingles stands at the least SimHash of its texts, which the
+    others of its texts (the same runs of words, but not as often) are linked to.
+    """
+    spark = docs.sparkSession
+    rows = sketched(docs, key, text, width, at := fresh(spark), simhash=True)
+    prints = written(rows.groupBy(F.col("simhash").alias("fp")).agg(F.min("key").alias("least"), F.count("*").alias("n")), tidy=True)
+    sets = written(rows.groupBy("fp").agg(F.min("simhash").alias("at"), F.max("simhash").alias("last")), tidy=True)
+    a, b = (sets.select(F.col("fp").alias(k), F.col("at").alias(f"at_{k}")) for k in "ab")
+    alike = set_links(rows, similarity).join(a.hint("merge"), "a").join(b.hint("merge"), "b").select(F.col("at_a").alias("a"), F.col("at_b").alias("b"))
+    same = rows.select("fp", "simhash").distinct().join(sets.where("at != last").hint("merge"), "fp").select(F.col("simhash").alias("a"), F.col("at").alias("b"))
+    edges = print_links(prints).toDF("a", "b").union(alike).union(same)
+    roots = components(written(edges, tidy=True), "a", "b")
+    found = written(named(rows.select("key", "row", F.col("simhash").alias("fp")), prints, roots).select(F.col("key").alias(key), "row", "fp", "component_id"), tidy=True)
+    discard(spark, at)
+    return found
+
+
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """One document of each component, that with its key; all columns stay as they are, whatever their names."""
     return first_of_each(docs, near_copies(docs, key, text, width, similarity), key, text)

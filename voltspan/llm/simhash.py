@@ -205,6 +205,12 @@ def links(prints: DataFrame) -> DataFrame:
     return middle.join(shared, "z").where("fp != other").select("fp", "other").distinct()
 
 
+def print_links(prints: DataFrame) -> DataFrame:
+    """(fp, other) so that the distinct fingerprints in column fp that are within distance 2 are connected, by the plan of least cost for them."""
+    n, both = bit_statistics(prints)
+    return links(probe(prints.select("fp"), allot(n, both)))
+
+
 def near_duplicates(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(key, row, fp, component_id) of each row: row is a hash of key and text, component_id is the smallest key that its fingerprint reaches over links.
 
@@ -214,9 +220,7 @@ def near_duplicates(docs: DataFrame, key: str, text: str) -> DataFrame:
     """
     rows = checkpoint(docs.select(F.col(key).alias("key"), F.xxhash64(key, text).alias("row"), simhash(text).alias("fp")))
     prints = checkpoint(rows.groupBy("fp").agg(F.min("key").alias("least"), F.count("*").alias("n")))
-    n, both = bit_statistics(prints)
-    linked = links(probe(prints.select("fp"), allot(n, both)))
-    return named(rows, prints, components(linked, "fp", "other")).select(F.col("key").alias(key), "row", "fp", "component_id")
+    return named(rows, prints, components(print_links(prints), "fp", "other")).select(F.col("key").alias(key), "row", "fp", "component_id")
 
 
 def named(rows: DataFrame, prints: DataFrame, roots: DataFrame) -> DataFrame:
