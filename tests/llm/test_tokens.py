@@ -187,3 +187,28 @@ def test_a_model_with_inner_blanks_is_refused():
 
     with pytest.raises(ValueError):
         alignment.verified(Fake())
+
+
+def test_words_are_remembered_from_run_to_run(monkeypatch):
+    """Words of an earlier run were tokenised again; whatever is remembered, ids are those of whole texts."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    runs = [[f"so {' '.join(f'word{a}{b}' for a in 'abcdef' for b in 'uvwxyz')}, and été{i}! x", None, "", f"only here{i} abcdefg" * 3] for i in range(3)]
+    for limit in (1 << 20, 600, 0):
+        monkeypatch.setattr(segments, "REMEMBERED", limit)
+        tokens, asked = segments.Ids(path), []
+        monkeypatch.setattr(tokens, "lined", lambda words, f=tokens.lined, asked=asked: (asked.append(set(words)), f(words))[1])
+        for texts in [*runs, runs[0]]:
+            found = tokens.of(pa.array(texts, pa.string()))
+            want = [tokens.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+            assert [x.tolist() for x in np.split(found.values, np.cumsum(found.counts)[:-1])] == want
+            assert tokens.words.nbytes + tokens.known.values.nbytes + tokens.known.counts.nbytes <= limit + 100
+        assert (limit < 1 << 20) or not any(a & b for i, a in enumerate(asked) for b in asked[:i])
+
+
+def test_packed_codes_are_bits_lowest_first():
+    rng = np.random.default_rng(5)
+    for width in range(1, 33):
+        for n in (0, 1, 7, 8, 9, 1000):
+            own = rng.integers(0, 1 << width, n, dtype=np.uint64).astype(np.uint32)
+            bits = np.packbits(((own[:, None].astype(np.uint64) >> np.arange(width, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8), bitorder="little")
+            assert codes.packed(own, width) == bits.tobytes() + bytes(8)

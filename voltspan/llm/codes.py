@@ -26,14 +26,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from voltspan.llm.common import checkpoint_folder, chunks, unused
+from voltspan.llm.common import checkpoint_folder, chunks, give_back, unused
 from voltspan.llm.common import struct as row_of
 from voltspan.llm.segments import ids_by
 from voltspan.tables import table
 
 MAGIC, END_ID, BLOCK = b"VDAC", 0, 512
 #: Ids in a file, at most those of one more run of texts; ids that a reader takes at once; bytes of text that a partition gets, and that are tokenised at once (or one text).
-FILE_IDS, RUN_IDS, PART_BYTES, TEXT_BYTES = 1 << 24, 1 << 20, 256_000_000, 16_000_000
+FILE_IDS, RUN_IDS, PART_BYTES, TEXT_BYTES = 1 << 24, 1 << 20, 256_000_000, 20_000_000
 HEAD, LEVEL = binary.Struct("<4sIQQ"), binary.Struct("<IQQQQ")
 MANIFEST = row_of(part="int", place="int", file="string", n_ids="long", n_docs="long", widths="string")
 _POPCOUNT = np.array([bin(i).count("1") for i in range(256)], np.uint8)
@@ -41,9 +41,8 @@ _POPCOUNT = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
 def level_widths(ids: np.ndarray) -> list[int]:
     """The widths of the levels with the fewest bits in all: codes, bitmap and directory."""
-    bits = np.frexp(ids.astype(np.float64))[1].astype(np.int64).clip(1)  # exact: ids have 32 bits at most
-    top = int(bits.max(initial=1))
-    over = np.concatenate((np.cumsum(np.bincount(bits, minlength=top + 1)[::-1])[::-1], [0]))  # over[t]: ids of t bits or more
+    top = max(1, int(ids.max(initial=0)).bit_length())
+    over = [len(ids)] * 2 + [np.count_nonzero(ids >= 1 << (t - 1)) for t in range(2, top + 1)] + [0]  # over[t]: ids of t bits or more
     best, choice = {top: 0.0}, {}
     for t in range(top - 1, -1, -1):
         cost = {u: float(over[t + 1]) * (u - t + (1 + 64 / BLOCK if u < top else 0)) + best[u] for u in range(t + 1, top + 1)}
@@ -60,6 +59,13 @@ def packed(codes: np.ndarray, width: int) -> bytes:
     """Codes of `width` bits each, lowest bit first, and eight bytes more so that any code can be read as one word."""
     parts = []
     for at in range(0, len(codes), 1 << 20):  # a multiple of eight codes: parts end at whole bytes
+        if width < 16:  # eight codes are `width` bytes: two words of four codes each, put together
+            some = codes[at : at + (1 << 20)]
+            some = np.concatenate((some, np.zeros(-len(some) % 8, some.dtype))).reshape(-1, 2, 4).astype(np.uint64)
+            four = (some << (np.arange(4) * width).astype(np.uint64)).sum(axis=2, dtype=np.uint64)
+            eight = np.stack((four[:, 0] | four[:, 1] << np.uint64(4 * width), four[:, 1] >> np.uint64(64 - 4 * width)), 1).astype("<u8")
+            parts.append(eight.view(np.uint8)[:, :width].tobytes()[: (min(len(codes) - at, 1 << 20) * width + 7) // 8])
+            continue
         bits = (codes[at : at + (1 << 20), None] >> np.arange(width, dtype=np.uint32)) & 1
         parts.append(np.packbits(bits.astype(np.uint8), bitorder="little").tobytes())
     return b"".join(parts) + bytes(8)
@@ -187,6 +193,8 @@ def write_codes(docs: DataFrame, key: str, text: str, tokenizer: str, path: str,
             ids = tokens.of(some)
             held.append((np.insert(ids.values, np.cumsum(ids.counts), end_id), ids.counts + 1, keys.to_pylist()))
             texts, size = [], 0
+            del some, ids
+            give_back()
 
         def flushed() -> pa.RecordBatch:
             nonlocal held, place

@@ -95,12 +95,14 @@ class Runs(NamedTuple):
         return Runs(np.concatenate((self.values, other.values)), np.concatenate((self.counts, other.counts)))
 
 
+#: Bytes of words and their ids that a worker remembers from run to run at most.
+REMEMBERED = 16_000_000
 #: What stands in RE2 for a text that is not cut at every blank: white space before a blank, or a blank at its end.
 _AWKWARD_RE2 = r"[\t-\r\x1c-\x20\x{85}\pZ] | \z"
 
 
 class Ids:
-    """Ids of some texts by the tokenizer, each of their distinct words tokenised once."""
+    """Ids of some texts by the tokenizer, each of their distinct words tokenised once, and not again while it is remembered."""
 
     def __init__(self, path: str, special: bool = True):
         self.tokenizer, self.path = byte_tokenizer(path, special), path
@@ -108,6 +110,7 @@ class Ids:
         alphabet, words = byte_alphabet(), self.tokenizer.get_vocab(with_added_tokens=True)
         self.size = np.zeros(max(words.values()) + 1, np.int64)  # bytes of each token
         self.size[list(words.values())] = [len(w) if all(c in alphabet for c in w) else 0 for w in words]
+        self.words, self.known = pa.array([], pa.large_string()), Runs(np.zeros(0, np.uint32), np.zeros(0, np.int64))
 
     def whole(self, texts: list[str]) -> Runs:
         found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -128,6 +131,21 @@ class Ids:
             counts.append(np.diff(at, prepend=-1))
         return Runs(np.concatenate(ids), np.concatenate(counts))
 
+    def recalled(self, words: pa.Array) -> Runs:
+        """Ids of distinct words, a blank before each; only those that aren't remembered are tokenised. Beyond REMEMBERED bytes, only the latest call's stay, as far as they fit."""
+        words = words.cast(pa.large_string())
+        at = pc.index_in(words, value_set=self.words)
+        new = at.is_null().to_numpy(zero_copy_only=False)
+        others = words.filter(pa.array(new))
+        every, known = pa.concat_arrays([self.words, others]), self.known.then(self.lined([f" {w}" for w in others.to_pylist()]))
+        place = pc.fill_null(at, 0).to_numpy().astype(np.int64)
+        place[new] = len(self.words) + np.arange(len(others))
+        found = known.take(place)
+        for self.words, self.known in ((every, known), (words, found), (words[:0], found.take(place[:0]))):
+            if self.words.nbytes + self.known.values.nbytes + self.known.counts.nbytes <= REMEMBERED:
+                break
+        return found
+
     def encode(self, segments: pa.Array, blank: str) -> Runs:
         """Ids of segments with `blank` before them. Most are a word and marks: their distinct words and marks are tokenised. Others of plain
         characters are parted as the pattern parts them, and the rest, or those with a special token's string, are left whole."""
@@ -137,7 +155,7 @@ class Ids:
         easy = found.is_valid().to_numpy(zero_copy_only=False)
         matched = found.filter(pa.array(easy))
         word, marks = (matched.field(n).dictionary_encode() for n in ("word", "marks"))
-        words = self.lined([f" {w}" for w in word.dictionary.to_pylist()]).then(self.whole(marks.dictionary.to_pylist()))
+        words = self.recalled(word.dictionary).then(self.whole(marks.dictionary.to_pylist()))
         places = np.stack((word.indices.to_numpy(), len(word.dictionary) + marks.indices.to_numpy()), 1).ravel()
         simple = Runs(places, np.full(len(word), 2)).of(words)
         rest = [f"{blank}{s}" for s in segments.filter(pa.array(~easy)).to_pylist()]
@@ -161,7 +179,9 @@ class Ids:
         first, rest = values.filter(pa.array(is_first)).dictionary_encode(), values.filter(pa.array(~is_first)).dictionary_encode()
         place = np.zeros(len(values), np.int64)
         place[is_first], place[~is_first] = first.indices.to_numpy(), len(first.dictionary) + rest.indices.to_numpy()
-        return Runs(place, counts).of(self.encode(first.dictionary, "").then(self.encode(rest.dictionary, " ")))
+        first, rest = first.dictionary, rest.dictionary
+        del texts, parts, values, awkward, is_first  # as large as the texts
+        return Runs(place, counts).of(self.encode(first, "").then(self.encode(rest, " ")))
 
 
 @lru_cache(maxsize=1)
