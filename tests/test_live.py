@@ -79,3 +79,127 @@ def test_polls_that_can_not_count_do_not_reach_the_state(spark):
                 newest.append(best)
             assert newest[0] == newest[1]
     assert max(r[3] for r in kept) == max(r[3] for r in rows)
+
+
+class State:
+    """A bucket's state in a dictionary, with what was read of it and its timers."""
+
+    def __init__(self):
+        self.rows, self.feed, self.timers, self.read = {}, None, set(), 0
+
+    getMapState = lambda self, *_: Rows(self)
+    getValueState = lambda self, *_: Feed(self)
+    registerTimer = lambda self, t: self.timers.add(t)
+    deleteTimer = lambda self, t: self.timers.discard(t)
+    listTimers = lambda self: iter(sorted(self.timers))
+
+
+class Feed:
+    def __init__(self, state):
+        self.state = state
+
+    exists = lambda self: self.state.feed is not None
+    get = lambda self: self.state.feed
+    update = lambda self, value: setattr(self.state, "feed", value)
+
+
+class Rows:
+    def __init__(self, state):
+        self.state = state
+
+    def one(self, found):
+        self.state.read += 1
+        return found
+
+    containsKey = lambda self, k: self.one(k in self.state.rows)
+    getValue = lambda self, k: self.one(self.state.rows[k])
+    updateValue = lambda self, k, value: self.state.rows.__setitem__(k, value)
+    removeKey = lambda self, k: self.state.rows.pop(k)
+    iterator = lambda self: map(self.one, list(self.state.rows.items()))
+
+
+class Bucket:
+    """Batches of one bucket as Spark gives them: rows first, then the timers that the watermark has reached."""
+
+    def __init__(self):
+        from pyspark.sql import types as T
+
+        self.state, self.processor = State(), live.LiveKeys(T.StructType([T.StructField("note", T.StringType())]))
+        self.processor.init(self.state)
+
+    def batch(self, rows, watermark):
+        from types import SimpleNamespace
+
+        times = SimpleNamespace(getCurrentWatermarkInMs=lambda: watermark)
+        names = ("key", "generated", "ends", "status", "note")
+        changes = list(self.processor.handleInputRows(("fire", 0), (dict(zip(names, r)) for r in rows), times)) if rows else []
+        for t in sorted(t for t in self.state.timers if t <= watermark):
+            changes += self.processor.handleExpiredTimer(("fire", 0), times, SimpleNamespace(getExpiryTimeInMs=lambda t=t: t))
+            self.state.timers.discard(t)
+        return sorted((r["key"], r["change"], r["carried"]) for r in changes)
+
+
+def test_rows_of_a_bucket_are_not_read_for_each_end():
+    """Each row had a timer of its own, and each timer read all rows of the bucket."""
+    bucket, n = Bucket(), 300
+    header = lambda generated, status=live.GOOD: (None, generated, None, status, None)
+    assert len(bucket.batch([header(1), *((f"k{i}", 1, 1000 * (i + 1), None, "x") for i in range(n))], 0)) == n
+    assert bucket.batch([], n // 2) == sorted((f"k{i}", live.EXPIRED, False) for i in range(n // 2))
+    assert bucket.state.read <= 3 * n and len(bucket.state.timers) == 1
+    assert bucket.batch([("k299", 2, 151_000, None, "x")], n // 2) == [("k299", live.RENEWED, False)]  # now the second to end
+    assert bucket.batch([], n // 2 + 1) == [("k150", live.EXPIRED, False), ("k299", live.EXPIRED, False)]
+    assert bucket.batch([], n) == sorted((f"k{i}", live.EXPIRED, False) for i in range(n // 2 + 1, n - 1))
+    assert not bucket.state.rows and bucket.state.read <= 5 * n
+
+
+def test_an_ignored_row_does_not_keep_its_key_from_being_carried():
+    bucket = Bucket()
+    assert bucket.batch([(None, 10, None, live.GOOD, None), ("a", 10, None, None, "a0"), ("b", 10, None, None, "b0")], 0) == [("a", live.NEW, False), ("b", live.NEW, False)]
+    assert bucket.batch([(None, 20, None, live.FAILED, None), ("a", 5, None, None, "old"), ("c", 5, None, None, "old")], 0) == [("a", live.CARRIED, True), ("b", live.CARRIED, True)]
+    assert bucket.batch([(None, 30, None, live.GOOD, None), ("b", 30, None, None, "b1"), ("a", 5, None, None, "old")], 0) == [("a", live.DROPPED, False), ("b", live.RENEWED, False)]
+
+
+def test_rows_older_than_a_good_snapshot_do_not_reach_the_state(spark, monkeypatch):
+    """All that a task had of a key's newest rows went to the state, of snapshots long replaced too; and a row with its snapshot's status had to be two."""
+    import random
+
+    monkeypatch.setattr(live, "GATHERED", 700)
+    rng = random.Random(5)
+    stamp = lambda m: datetime.datetime(2024, 1, 1) + datetime.timedelta(minutes=m)
+    rows = []
+    for _ in range(4000):
+        feed, key, generated = rng.choice(["a", "b", None]), rng.choice([None, *range(60)]), rng.randrange(400)
+        status = rng.choice([live.GOOD, live.FAILED]) if key is None else rng.choice([None, live.GOOD])
+        rows.append((feed, None if key is None else f"k{key}", generated, stamp(generated + rng.randrange(40)), rng.choice([None, 5, 9]), status, rng.choice([None, "m", "n"])))
+    polls = spark.createDataFrame(rows, "feed string, key string, generated long, pulled timestamp, ends long, status string, note string").coalesce(1)
+    kept = [tuple(r) for r in live.needed(polls, ["note"], snapshots=True).collect()]
+    assert len(kept) < 250 and all(r[1] is None or r[5] is None for r in kept)
+
+    def outcome(polls, since):
+        polls, newest = [r for r in polls if r[3].replace(tzinfo=None) >= since], {}
+        last = {(f, s): max((r[2] for r in polls if r[0] == f and r[5] == s), default=-1) for f in ("a", "b", None) for s in (live.GOOD, live.FAILED)}
+        for r in polls:
+            if r[1] is not None and r[2] >= last[r[0], live.GOOD] and (r[:2] not in newest or live.LiveKeys.later((r[2], r[4], r[6]), newest[r[:2]])):
+                newest[r[:2]] = (r[2], r[4], r[6])
+        return last, newest
+
+    for since in range(0, 440, 7):  # whatever the watermark, the same is live
+        assert outcome(rows, stamp(since)) == outcome(kept, stamp(since))
+    assert max(r[3] for r in kept) == max(r[3] for r in rows)
+    plain = spark.createDataFrame([("a", "k", 1, stamp(1), None, live.GOOD, None)], polls.schema)
+    as_given = plain.withColumn("status", plain["key"].isNotNull().cast("string"))  # a column that is never null
+    assert [tuple(r)[1:6:4] for r in live.needed(as_given, ["note"], snapshots=True).collect()] == [(None, "true"), ("k", None)]
+
+
+def test_a_row_with_a_status_is_its_snapshots_header(spark, tmp_path):
+    (folder := tmp_path / "polls").mkdir()
+    schema = SCHEMA.replace("note string", "note array<string>")  # not a plain payload: rows aren't left out before the state
+    for i, (generated, keys) in enumerate([(0, "ab"), (10, "bc")]):
+        lines = [{"feed": "fire", "key": k, "generated": at(generated), "pulled": at(generated + 1), "status": "ok", "note": [k], "value": generated} for k in keys]
+        (file := folder / f"{i}.json").write_text("".join(json.dumps(x) + "\n" for x in lines))
+        os.utime(file, (1_700_000_000 + i, 1_700_000_000 + i))
+    for payload in (["note"], ["value"]):
+        stream = spark.readStream.schema(schema + ", value long").option("maxFilesPerTrigger", 1).json(str(folder))
+        out = str(tmp_path / payload[0])
+        live.run_live(live.live_changes(stream, payload, buckets=3), out, f"{out}-check").awaitTermination()
+        assert {(r["key"], r["carried"]) for r in live.live_rows(spark, out).collect()} == {("b", False), ("c", False)}

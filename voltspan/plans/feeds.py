@@ -29,9 +29,7 @@ def live_state(spark, sf_dir):
     """Streams all events through the keyed state; a row for each key that is live at the end."""
     events = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/event[s].parquet")  # a stream takes folders and patterns, not the path of a file
     events = events.withColumn("ts", F.col("ts").cast("timestamp")).selectExpr("event_type AS feed", "date_trunc('day', ts) AS generated", "ts AS pulled", f"{_FAILED} AS failed", "CAST(user_id AS STRING) AS key", f"{_ENDS} AS ends", "event_id", "value")
-    header = F.struct(F.lit(None).cast("string").alias("key"), F.lit(None).cast("timestamp").alias("ends"), F.when(F.col("failed"), live.FAILED).otherwise(live.GOOD).alias("status"), F.lit(None).cast("long").alias("event_id"), F.lit(None).cast("double").alias("value"))
-    row = F.struct("key", "ends", F.lit(None).cast("string").alias("status"), "event_id", "value")
-    polls = events.select("feed", "generated", "pulled", F.inline(F.when(F.col("failed"), F.array(header)).otherwise(F.array(header, row))))
+    polls = events.withColumns({"key": F.when(~F.col("failed"), F.col("key")), "status": F.when(F.col("failed"), live.FAILED).otherwise(live.GOOD)}).drop("failed")
     folder = scratch(spark)
     live.run_live(live.live_changes(polls, ["event_id", "value"], buckets=4), f"{folder}/changes", f"{folder}/checkpoint").awaitTermination()
     return live.live_rows(spark, f"{folder}/changes").select("feed", "key", "event_id", "value", F.col("carried"))

@@ -39,7 +39,8 @@ class LiveKeys(StatefulProcessor):
 
     def handleInputRows(self, key: Any, rows: Iterator[Any], timerValues: Any) -> Iterator[tuple]:
         """Net changes: of several rows of a key the newest counts (of one time, that with the greatest payload), of several headers the newest good and failed ones."""
-        good, failed = self.feed.get() if self.feed.exists() else (None, None)
+        seen = self.feed.exists()  # a bucket that has had no polls has no rows
+        good, failed = self.feed.get() if seen else (None, None)
         before, was_carried, newest = good, failed is not None and (good is None or failed > good), {}
         for r in rows:
             if r["key"] is None:
@@ -54,37 +55,60 @@ class LiveKeys(StatefulProcessor):
         carried = failed is not None and (good is None or failed > good)
         self.feed.update((good, failed))
         now = timerValues.getCurrentWatermarkInMs()
-        past = lambda value: value[1] is not None and value[1] // 1000 <= now
+        turned = good != before or carried != was_carried
+        held = None if seen and not turned else {k: value for (k,), value in self.rows.iterator()} if seen else {}  # a header concerns all rows: they are read at once, not key by key
+        changed, due = set(), []
         for k, value in newest.items():
-            known = self.rows.containsKey((k,))
-            if good is not None and value[0] < good or known and not self.later(value, self.rows.getValue((k,))) or past(value) and not known:
+            if good is not None and value[0] < good:
                 continue
-            if past(value):
+            known = held.get(k) if held is not None else self.rows.getValue((k,)) if self.rows.containsKey((k,)) else None
+            if known is not None and not self.later(value, known) or known is None and self.past(value, now):
+                continue
+            changed.add(k)
+            if self.past(value, now):
                 self.rows.removeKey((k,))
+                yield self.change(key, k, EXPIRED, carried, value)
             else:
                 self.rows.updateValue((k,), value)
-                if value[1] is not None:
-                    self.handle.registerTimer(value[1] // 1000)
-            yield self.change(key, k, EXPIRED if past(value) else RENEWED if known else NEW, carried, value)
-        if good != before or carried != was_carried:
-            for (k,), value in list(self.rows.iterator()):
-                if past(value) or good is not None and value[0] < good:
+                due.append(value[1])
+                yield self.change(key, k, NEW if known is None else RENEWED, carried, value)
+        if turned:
+            for k, value in held.items():
+                if k in changed:
+                    continue
+                if self.past(value, now) or good is not None and value[0] < good:
                     self.rows.removeKey((k,))
-                    yield self.change(key, k, EXPIRED if past(value) else DROPPED, carried, value)
-                elif carried != was_carried and k not in newest:
+                    yield self.change(key, k, EXPIRED if self.past(value, now) else DROPPED, carried, value)
+                elif carried != was_carried:
                     yield self.change(key, k, CARRIED if carried else RENEWED, carried, value)
+        self.remind(due, list(self.handle.listTimers()))
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[tuple]:
-        """Rows whose end has passed go; a timer of a row that was renewed since finds none."""
-        now = expiredTimerInfo.getExpiryTimeInMs()
+        """All rows whose end has passed go, in one pass; the timer of the first of the others is the bucket's next."""
+        now, due = timerValues.getCurrentWatermarkInMs(), []
         for (k,), value in list(self.rows.iterator()):
-            if value[1] is not None and value[1] // 1000 <= now:
+            if self.past(value, now):
                 self.rows.removeKey((k,))
                 yield self.change(key, k, EXPIRED, False, value)
+            else:
+                due.append(value[1])
+        self.remind(due, [])
+
+    def remind(self, ends: Sequence[int | None], timers: Sequence[int]) -> None:
+        """Keeps one timer for a bucket, for the first end of its rows: with one for each row, a bucket's rows would be read as often as there are timers."""
+        first = min((e // 1000 for e in ends if e is not None), default=None)
+        if first is not None and all(first < t for t in timers):
+            for t in timers:
+                self.handle.deleteTimer(t)
+            self.handle.registerTimer(first)
 
     def close(self) -> None:
         pass
 
+    @staticmethod
+    def past(value: tuple, now: int) -> bool:
+        return value[1] is not None and value[1] // 1000 <= now
+
     @staticmethod
     def later(value: tuple, than: tuple) -> bool:
         order = lambda v: (v[0], [(x is not None, x) for x in (*v[2:], v[1])])
@@ -117,43 +141,90 @@ def _frontier(rows: pa.Table, order: list[str]) -> pa.Table:
     return rows.take(pa.array(np.sort(at[first | (rank > before)])))
 
 
-def needed(polls: DataFrame, payload: Sequence[str]) -> DataFrame:
+def _superseded(rows: pa.Table) -> np.ndarray:
+    """Whether a row is older than a good snapshot of its feed whose header was pulled at the same time or after it."""
+    feed = rows["feed"].combine_chunks().dictionary_encode()
+    feed = np.asarray(feed.indices.fill_null(len(feed.dictionary))).astype(np.int64)
+    generated, pulled = (np.asarray(rows[c].combine_chunks().cast(pa.int64()).fill_null(np.iinfo(np.int64).min)) for c in ("generated", "pulled"))
+    keyed = np.asarray(rows["key"].combine_chunks().is_valid())
+    good = np.flatnonzero(~keyed & np.asarray(pc.equal(rows["status"], GOOD).combine_chunks().fill_null(False)))
+    if not len(good):
+        return np.zeros(len(rows), bool)
+    times, rank = np.unique(pulled, return_inverse=True)
+    at = feed * len(times) + rank
+    good = good[np.argsort(at[good], kind="stable")]
+    # of each feed, the newest time of headers that were pulled at a time or after it: from the last to the first, ranks of times with the feed's number before them
+    news, newness = np.unique(generated[good], return_inverse=True)
+    newest = np.maximum.accumulate(((feed[good].max() - feed[good]) * len(news) + newness)[::-1])[::-1] % len(news)
+    next_ = np.minimum(np.searchsorted(at[good], at), len(good) - 1)
+    return keyed & (at[good][next_] >= at) & (feed[good][next_] == feed) & (generated < news[newest[next_]])
+
+
+def _blank(rows: pa.Table, columns: Sequence[str]) -> pa.Table:
+    for c in columns:
+        at = rows.column_names.index(c)
+        rows = rows.set_column(at, rows.schema.field(at), pa.nulls(len(rows), rows.schema.field(at).type))
+    return rows
+
+
+def needed(polls: DataFrame, payload: Sequence[str], snapshots: bool = False) -> DataFrame:
     """The polls without rows and headers that can't count, whatever the watermark: a row for whose key the same task has a later one (as LiveKeys orders them)
-    that was pulled no earlier, and a header with such a one of its status. So what reaches the state, row by row, is in proportion to keys and not to polls. A
+    that was pulled no earlier, and a header with such a one of its status; with `snapshots` also a row that is older than a good header of its feed in the same
+    task that was pulled no earlier. A row with a status comes out as a row and a header. So what reaches the state, row by row, is in proportion to keys, or to the last good snapshots, and not to polls. A
     payload that has columns other than plain ones is left as it is."""
     if not all(isinstance(polls.schema[c].dataType, _PLAIN) for c in payload):
         return polls
     order = ["generated", *payload, "ends"]
+    same = [c for c in polls.columns if c != "pulled"]
+
+    def left(gathered: list[pa.RecordBatch]) -> tuple[pa.Table, pa.Table]:
+        polls = pa.Table.from_batches(gathered)
+        keyed = pc.is_valid(polls["key"])
+        rows, headers = _blank(polls.filter(keyed), ["status"]), polls.filter(pc.invert(keyed))
+        headers = pa.concat_tables([headers, _blank(polls.filter(pc.and_(keyed, pc.is_valid(polls["status"]))), ["key", "ends", *payload])])
+        # a snapshot's polls say the same of it over and over
+        headers = headers.group_by(same).aggregate([("pulled", "max")]).rename_columns([*same, "pulled"]).select(rows.column_names).cast(rows.schema)
+        headers = _frontier(headers, order)
+        if snapshots:
+            rows = rows.filter(pa.array(~_superseded(pa.concat_tables([headers, rows]))[len(headers) :]))
+        return headers, _frontier(rows, order)
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
-            held.append(batch)
+            held.append(pa.RecordBatch.from_arrays(batch.columns, schema=pa.schema([f.with_nullable(True) for f in batch.schema])))
             size += batch.num_rows
             if size >= GATHERED:
-                held = _frontier(pa.Table.from_batches(held), order).combine_chunks().to_batches()
+                headers, rows = left(held)
+                if 2 * len(rows) > GATHERED:  # mostly different keys
+                    yield from rows.to_batches()
+                    rows = rows.slice(0, 0)
+                held = [b for t in (headers, rows) for b in t.combine_chunks().to_batches()]
                 size = sum(b.num_rows for b in held)
-                if 2 * size > GATHERED:  # mostly different keys
+                if 2 * size > GATHERED:  # mostly different headers
                     yield from held
                     held, size = [], 0
         if held:
-            yield from _frontier(pa.Table.from_batches(held), order).combine_chunks().to_batches()
+            for t in left(held):
+                yield from t.combine_chunks().to_batches()
 
-    return polls.mapInArrow(kept, polls.schema)
+    return polls.mapInArrow(kept, T.StructType([T.StructField(f.name, f.dataType) for f in polls.schema.fields]))
 
 
 def live_changes(polls: DataFrame, payload: Sequence[str], buckets: int = 16) -> DataFrame:
     """The changes of live rows, from a stream of polls.
 
-    polls: feed, key (string; null in a header), generated and pulled (timestamps), ends (timestamp or null), status (of a header: ok or failed),
-    and the payload's columns. Returns feed, key, change, carried (whether the feed has failed since its last good snapshot), generated, ends and
+    polls: feed, key (string; null in a header), generated and pulled (timestamps), ends (timestamp or null), status (of a header: ok or failed; a row
+    with one is its snapshot's header too), and the payload's columns. Returns feed, key, change, carried (whether the feed has failed since its last good snapshot), generated, ends and
     the payload. Before polls are dealt to buckets, a task leaves out those of its own that can't count (`needed`). A row that isn't newer than its key's is ignored, as is one older than the last good snapshot or past its end. A key that a newer
     good snapshot doesn't have goes; while the feed fails its keys stay. State holds the live rows and two times for each bucket.
     """
     kinds = T.StructType([polls.schema[c] for c in payload])
     places = F.when(F.col("key").isNull(), F.sequence(F.lit(0), F.lit(buckets - 1))).otherwise(F.array(F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int")))
     own = polls.select("feed", "key", F.unix_micros("generated").alias("generated"), "pulled", F.unix_micros("ends").alias("ends"), "status", *payload)
-    dealt = needed(own, payload).withColumn("bucket", F.explode(places)).withWatermark("pulled", "0 seconds")
+    without = lambda *names: F.struct(*(F.lit(None).cast(own.schema[c].dataType).alias(c) if c in names else F.col(c) for c in own.columns))
+    apart = F.when(F.col("key").isNotNull() & F.col("status").isNotNull(), F.array(without("key", "ends", *payload), without("status"))).otherwise(F.array(without()))
+    dealt = needed(own, payload, snapshots=True).select(F.inline(apart)).withColumn("bucket", F.explode(places)).withWatermark("pulled", "0 seconds")
     fields = [("feed", T.StringType()), ("key", T.StringType()), ("change", T.StringType()), ("carried", T.BooleanType()), ("generated", T.LongType()), ("ends", T.LongType())]
     output = T.StructType([*(T.StructField(n, t) for n, t in fields), *kinds.fields])
     changes = dealt.groupBy("feed", "bucket").transformWithState(statefulProcessor=LiveKeys(kinds), outputStructType=output, outputMode="Update", timeMode="eventTime")
