@@ -8,7 +8,8 @@ of the poll, the event time of the stream, by which rows expire. So a feed that
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import zlib
+from collections.abc import Iterable, Iterator, Sequence
 from typing import Any
 
 import numpy as np
@@ -25,6 +26,10 @@ GOOD, FAILED = "ok", "failed"
 NEW, RENEWED, CARRIED, DROPPED, EXPIRED = "new", "renewed", "carried", "dropped", "expired"
 
 
+#: Parts that the rows of a bucket are read and written in, by the hash of their keys: a call of the state store for each key takes longer than all else.
+PARTS = 256
+
+
 class LiveKeys(StatefulProcessor):
     """The rows of one bucket of a feed. Payload: names of further columns, kept as they are."""
 
@@ -32,9 +37,9 @@ class LiveKeys(StatefulProcessor):
         self.payload = payload
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        times = [T.StructField("generated", T.LongType()), T.StructField("ends", T.LongType())]  # microseconds
+        columns = [T.StructField("key", T.StringType()), T.StructField("generated", T.LongType()), T.StructField("ends", T.LongType()), *self.payload.fields]  # microseconds
         self.handle = handle
-        self.rows = handle.getMapState("rows", T.StructType([T.StructField("key", T.StringType())]), T.StructType([*times, *self.payload.fields]))
+        self.parts = handle.getMapState("rows", T.StructType([T.StructField("part", T.IntegerType())]), T.StructType([T.StructField("rows", T.ArrayType(T.StructType(columns)))]))
         self.feed = handle.getValueState("feed", T.StructType([T.StructField("good", T.LongType()), T.StructField("failed", T.LongType())]))
 
     def handleInputRows(self, key: Any, rows: Iterator[Any], timerValues: Any) -> Iterator[tuple]:
@@ -56,45 +61,66 @@ class LiveKeys(StatefulProcessor):
         self.feed.update((good, failed))
         now = timerValues.getCurrentWatermarkInMs()
         turned = good != before or carried != was_carried
-        held = None if seen and not turned else {k: value for (k,), value in self.rows.iterator()} if seen else {}  # a header concerns all rows: they are read at once, not key by key
-        changed, due = set(), []
+        # a header concerns all rows, other rows only the parts of their keys
+        held = {} if not seen else self.held() if turned else self.held({self.part(k) for k in newest})
+        changed, gone = set(), set()
         for k, value in newest.items():
-            if good is not None and value[0] < good:
-                continue
-            known = held.get(k) if held is not None else self.rows.getValue((k,)) if self.rows.containsKey((k,)) else None
-            if known is not None and not self.later(value, known) or known is None and self.past(value, now):
+            known = held.get(k)
+            if good is not None and value[0] < good or known is not None and not self.later(value, known) or known is None and self.past(value, now):
                 continue
             changed.add(k)
+            held[k] = value
             if self.past(value, now):
-                self.rows.removeKey((k,))
+                gone.add(k)
                 yield self.change(key, k, EXPIRED, carried, value)
             else:
-                self.rows.updateValue((k,), value)
-                due.append(value[1])
                 yield self.change(key, k, NEW if known is None else RENEWED, carried, value)
         if turned:
             for k, value in held.items():
                 if k in changed:
                     continue
                 if self.past(value, now) or good is not None and value[0] < good:
-                    self.rows.removeKey((k,))
+                    gone.add(k)
                     yield self.change(key, k, EXPIRED if self.past(value, now) else DROPPED, carried, value)
                 elif carried != was_carried:
                     yield self.change(key, k, CARRIED if carried else RENEWED, carried, value)
-        self.remind(due, list(self.handle.listTimers()))
+        self.keep(held, changed | gone, gone)
+        self.remind((held[k][1] for k in changed - gone), list(self.handle.listTimers()))
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[tuple]:
         """All rows whose end has passed go, in one pass; the timer of the first of the others is the bucket's next."""
-        now, due = timerValues.getCurrentWatermarkInMs(), []
-        for (k,), value in list(self.rows.iterator()):
-            if self.past(value, now):
-                self.rows.removeKey((k,))
-                yield self.change(key, k, EXPIRED, False, value)
-            else:
-                due.append(value[1])
-        self.remind(due, [])
+        now, held = timerValues.getCurrentWatermarkInMs(), self.held()
+        gone = {k for k, value in held.items() if self.past(value, now)}
+        for k in gone:
+            yield self.change(key, k, EXPIRED, False, held[k])
+        self.keep(held, gone, gone)
+        self.remind((value[1] for k, value in held.items() if k not in gone), [])
 
-    def remind(self, ends: Sequence[int | None], timers: Sequence[int]) -> None:
+    @staticmethod
+    def part(key: str) -> int:
+        return zlib.crc32(key.encode()) % PARTS
+
+    def held(self, parts: Iterable[int] | None = None) -> dict[str, tuple]:
+        """The rows of these parts, or of all, by key."""
+        if parts is None:
+            found = (value for _, value in self.parts.iterator())
+        else:
+            found = (self.parts.getValue((p,)) for p in parts if self.parts.containsKey((p,)))
+        return {r[0]: tuple(r[1:]) for (rows,) in found for r in rows}
+
+    def keep(self, held: dict[str, tuple], changed: set[str], gone: set[str]) -> None:
+        """Writes the parts of the keys that changed."""
+        parts = {self.part(k): [] for k in changed}
+        for k, value in held.items():
+            if k not in gone and (rows := parts.get(self.part(k))) is not None:
+                rows.append((k, *value))
+        for p, rows in parts.items():
+            if rows:
+                self.parts.updateValue((p,), (rows,))
+            elif self.parts.containsKey((p,)):
+                self.parts.removeKey((p,))
+
+    def remind(self, ends: Iterable[int | None], timers: Sequence[int]) -> None:
         """Keeps one timer for a bucket, for the first end of its rows: with one for each row, a bucket's rows would be read as often as there are timers."""
         first = min((e // 1000 for e in ends if e is not None), default=None)
         if first is not None and all(first < t for t in timers):
@@ -217,7 +243,8 @@ def live_changes(polls: DataFrame, payload: Sequence[str], buckets: int = 16) ->
     polls: feed, key (string; null in a header), generated and pulled (timestamps), ends (timestamp or null), status (of a header: ok or failed; a row
     with one is its snapshot's header too), and the payload's columns. Returns feed, key, change, carried (whether the feed has failed since its last good snapshot), generated, ends and
     the payload. Before polls are dealt to buckets, a task leaves out those of its own that can't count (`needed`). A row that isn't newer than its key's is ignored, as is one older than the last good snapshot or past its end. A key that a newer
-    good snapshot doesn't have goes; while the feed fails its keys stay. State holds the live rows and two times for each bucket.
+    good snapshot doesn't have goes; while the feed fails its keys stay. State holds the live rows, in `PARTS` parts of a bucket that are
+    written whole when a key of theirs changes, and two times for each bucket.
     """
     kinds = T.StructType([polls.schema[c] for c in payload])
     places = F.when(F.col("key").isNull(), F.sequence(F.lit(0), F.lit(buckets - 1))).otherwise(F.array(F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int")))
