@@ -203,3 +203,45 @@ def test_a_row_with_a_status_is_its_snapshots_header(spark, tmp_path):
         out = str(tmp_path / payload[0])
         live.run_live(live.live_changes(stream, payload, buckets=3), out, f"{out}-check").awaitTermination()
         assert {(r["key"], r["carried"]) for r in live.live_rows(spark, out).collect()} == {("b", False), ("c", False)}
+
+
+def test_rows_that_other_tasks_have_newer_ones_of_do_not_reach_the_state(spark, tmp_path, monkeypatch):
+    """Each task's last snapshot reached the state: of polls in order of time, as many rows as there are tasks for each key."""
+    (folder := tmp_path / "polls").mkdir()
+    for i in range(6):
+        poll(folder, i, "fire", 10 * i, 10 * i + 1, [(f"k{j}", None, f"{i}") for j in range(20)])
+    poll(folder, 6, "wind", 0, 1, [("k0", None, "w")])
+    seen = tmp_path / "seen"
+
+    class Counting(live.LiveKeys):
+        def handleInputRows(self, key, rows, timerValues):
+            rows = list(rows)
+            with open(seen, "a") as f:
+                f.write("".join(f"{r['feed']} {r['key']}\n" for r in rows))
+            yield from live.LiveKeys.handleInputRows(self, key, iter(rows), timerValues)
+
+    monkeypatch.setattr(live, "LiveKeys", Counting)
+    stream = spark.readStream.schema(SCHEMA).json(str(folder))  # one batch, a task for each file
+    live.run_live(live.live_changes(stream, ["note"], buckets=3), str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
+    assert sorted(seen.read_text().split("\n")) == sorted(["", *(f"fire k{j}" for j in range(20)), "wind k0", *3 * ["fire None", "wind None"]])
+    assert {(r["feed"], r["key"], r["note"]) for r in live.live_rows(spark, str(tmp_path / "out")).collect()} == {("wind", "k0", "w"), *(("fire", f"k{j}", "5") for j in range(20))}
+
+
+def test_rows_wait_for_headers_that_are_still_to_come(spark, monkeypatch):
+    """A task with more keys than it gathers at once gave them all to the state, of each snapshot in order of time."""
+    import random
+
+    monkeypatch.setattr(live, "GATHERED", 100)
+    stamp = lambda m: datetime.datetime(2024, 1, 1) + datetime.timedelta(minutes=m)
+    rows = [("a", f"k{j}", i, stamp(i), None, live.GOOD, "x") for i in range(5) for j in range(300)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "30")
+    try:
+        for order in (rows, random.Random(7).sample(rows, len(rows))):
+            polls = spark.createDataFrame(order, "feed string, key string, generated long, pulled timestamp, ends long, status string, note string").coalesce(1)
+            kept = [tuple(r) for r in live.needed(polls, ["note"], snapshots=True).collect()]
+            assert sorted(r[1] for r in kept if r[1]) == sorted(f"k{j}" for j in range(300)) and {r[2] for r in kept if r[1]} == {4}
+            assert [r[2] for r in kept if r[1] is None] == [4]
+            alone = live.needed(polls, ["note"]).where("key IS NOT NULL").collect()  # without `snapshots` headers leave out no rows
+            assert {(r["key"], r["generated"]) for r in alone} >= {(f"k{j}", 4) for j in range(300)} and len(alone) > 1000
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")

@@ -8,6 +8,7 @@ of the poll, the event time of the stream, by which rows expire. So a feed that
 
 from __future__ import annotations
 
+import tempfile
 import zlib
 from collections.abc import Iterable, Iterator, Sequence
 from typing import Any
@@ -149,13 +150,19 @@ GATHERED = 500_000
 _PLAIN = (T.BooleanType, T.NumericType, T.StringType, T.DateType, T.TimestampType, T.TimestampNTZType)
 
 
-def _frontier(rows: pa.Table, order: list[str]) -> pa.Table:
-    """The rows that no other of their feed, key and status beats, by being as late or later in this order and pulled at the same time or after it."""
+def _groups(rows: pa.Table, columns: Sequence[str]) -> np.ndarray:
+    """A number for each row, the same for those that are the same in these columns."""
     group = np.zeros(len(rows), np.int64)
-    for c in ("feed", "key", "status"):
+    for c in columns:
         own = rows[c].combine_chunks().dictionary_encode()
         group = group * (len(own.dictionary) + 1) + np.asarray(own.indices.fill_null(len(own.dictionary)))
         group = np.unique(group, return_inverse=True)[1]
+    return group
+
+
+def _frontier(rows: pa.Table, within: Sequence[str], order: list[str]) -> pa.Table:
+    """The rows that no other of their feed (or what `within` names), key and status beats, by being as late or later in this order and pulled at the same time or after it."""
+    group = _groups(rows, (*within, "key", "status"))
     table = rows.append_column("_group", pa.array(group))
     keys = [("_group", "ascending"), *((c, "descending") for c in order), ("pulled", "descending")]
     at = np.asarray(pc.sort_indices(table, sort_keys=keys, null_placement="at_end"))
@@ -167,10 +174,9 @@ def _frontier(rows: pa.Table, order: list[str]) -> pa.Table:
     return rows.take(pa.array(np.sort(at[first | (rank > before)])))
 
 
-def _superseded(rows: pa.Table) -> np.ndarray:
+def _superseded(rows: pa.Table, within: Sequence[str]) -> np.ndarray:
     """Whether a row is older than a good snapshot of its feed whose header was pulled at the same time or after it."""
-    feed = rows["feed"].combine_chunks().dictionary_encode()
-    feed = np.asarray(feed.indices.fill_null(len(feed.dictionary))).astype(np.int64)
+    feed = _groups(rows, within)
     generated, pulled = (np.asarray(rows[c].combine_chunks().cast(pa.int64()).fill_null(np.iinfo(np.int64).min)) for c in ("generated", "pulled"))
     keyed = np.asarray(rows["key"].combine_chunks().is_valid())
     good = np.flatnonzero(~keyed & np.asarray(pc.equal(rows["status"], GOOD).combine_chunks().fill_null(False)))
@@ -193,12 +199,16 @@ def _blank(rows: pa.Table, columns: Sequence[str]) -> pa.Table:
     return rows
 
 
-def needed(polls: DataFrame, payload: Sequence[str], snapshots: bool = False) -> DataFrame:
+def _plain(polls: DataFrame, payload: Sequence[str]) -> bool:
+    return all(isinstance(polls.schema[c].dataType, _PLAIN) for c in payload)
+
+
+def needed(polls: DataFrame, payload: Sequence[str], snapshots: bool = False, within: Sequence[str] = ("feed",)) -> DataFrame:
     """The polls without rows and headers that can't count, whatever the watermark: a row for whose key the same task has a later one (as LiveKeys orders them)
     that was pulled no earlier, and a header with such a one of its status; with `snapshots` also a row that is older than a good header of its feed in the same
     task that was pulled no earlier. A row with a status comes out as a row and a header. So what reaches the state, row by row, is in proportion to keys, or to the last good snapshots, and not to polls. A
     payload that has columns other than plain ones is left as it is."""
-    if not all(isinstance(polls.schema[c].dataType, _PLAIN) for c in payload):
+    if not _plain(polls, payload):
         return polls
     order = ["generated", *payload, "ends"]
     same = [c for c in polls.columns if c != "pulled"]
@@ -210,29 +220,37 @@ def needed(polls: DataFrame, payload: Sequence[str], snapshots: bool = False) ->
         headers = pa.concat_tables([headers, _blank(polls.filter(pc.and_(keyed, pc.is_valid(polls["status"]))), ["key", "ends", *payload])])
         # a snapshot's polls say the same of it over and over
         headers = headers.group_by(same).aggregate([("pulled", "max")]).rename_columns([*same, "pulled"]).select(rows.column_names).cast(rows.schema)
-        headers = _frontier(headers, order)
-        if snapshots:
-            rows = rows.filter(pa.array(~_superseded(pa.concat_tables([headers, rows]))[len(headers) :]))
-        return headers, _frontier(rows, order)
+        headers = _frontier(headers, within, order)
+        return headers, _frontier(current(headers, rows), within, order)
+
+    def current(headers: pa.Table, rows: pa.Table) -> pa.Table:
+        return rows.filter(pa.array(~_superseded(pa.concat_tables([headers, rows]), within)[len(headers) :])) if snapshots else rows
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for batch in batches:
-            held.append(pa.RecordBatch.from_arrays(batch.columns, schema=pa.schema([f.with_nullable(True) for f in batch.schema])))
-            size += batch.num_rows
-            if size >= GATHERED:
+        held, size, aside = [], 0, None
+        with tempfile.TemporaryFile() as file:
+            for batch in batches:
+                held.append(pa.RecordBatch.from_arrays(batch.columns, schema=pa.schema([f.with_nullable(True) for f in batch.schema])))
+                size += batch.num_rows
+                if size >= GATHERED:
+                    headers, rows = left(held)
+                    if 2 * len(rows) > GATHERED:  # mostly different keys: they wait in a file, as a header that is still to come can be newer
+                        aside = aside or pa.ipc.new_stream(file, rows.schema)
+                        aside.write_table(rows)
+                        rows = rows.slice(0, 0)
+                    held = [b for t in (headers, rows) for b in t.combine_chunks().to_batches()]
+                    size = sum(b.num_rows for b in held)
+                    if 2 * size > GATHERED:  # mostly different headers
+                        yield from held
+                        held, size = [], 0
+            if held:
                 headers, rows = left(held)
-                if 2 * len(rows) > GATHERED:  # mostly different keys
-                    yield from rows.to_batches()
-                    rows = rows.slice(0, 0)
-                held = [b for t in (headers, rows) for b in t.combine_chunks().to_batches()]
-                size = sum(b.num_rows for b in held)
-                if 2 * size > GATHERED:  # mostly different headers
-                    yield from held
-                    held, size = [], 0
-        if held:
-            for t in left(held):
-                yield from t.combine_chunks().to_batches()
+                yield from (b for t in (headers, rows) for b in t.combine_chunks().to_batches())
+            if aside:
+                aside.close()
+                file.seek(0)
+                for batch in pa.ipc.open_stream(file):
+                    yield from current(headers, pa.Table.from_batches([batch])).to_batches()
 
     return polls.mapInArrow(kept, T.StructType([T.StructField(f.name, f.dataType) for f in polls.schema.fields]))
 
@@ -242,7 +260,7 @@ def live_changes(polls: DataFrame, payload: Sequence[str], buckets: int = 16) ->
 
     polls: feed, key (string; null in a header), generated and pulled (timestamps), ends (timestamp or null), status (of a header: ok or failed; a row
     with one is its snapshot's header too), and the payload's columns. Returns feed, key, change, carried (whether the feed has failed since its last good snapshot), generated, ends and
-    the payload. Before polls are dealt to buckets, a task leaves out those of its own that can't count (`needed`). A row that isn't newer than its key's is ignored, as is one older than the last good snapshot or past its end. A key that a newer
+    the payload. Before polls are dealt to buckets, a task leaves out those of its own that can't count (`needed`), and once more when they are dealt. A row that isn't newer than its key's is ignored, as is one older than the last good snapshot or past its end. A key that a newer
     good snapshot doesn't have goes; while the feed fails its keys stay. State holds the live rows, in `PARTS` parts of a bucket that are
     written whole when a key of theirs changes, and two times for each bucket.
     """
@@ -251,7 +269,10 @@ def live_changes(polls: DataFrame, payload: Sequence[str], buckets: int = 16) ->
     own = polls.select("feed", "key", F.unix_micros("generated").alias("generated"), "pulled", F.unix_micros("ends").alias("ends"), "status", *payload)
     without = lambda *names: F.struct(*(F.lit(None).cast(own.schema[c].dataType).alias(c) if c in names else F.col(c) for c in own.columns))
     apart = F.when(F.col("key").isNotNull() & F.col("status").isNotNull(), F.array(without("key", "ends", *payload), without("status"))).otherwise(F.array(without()))
-    dealt = needed(own, payload, snapshots=True).select(F.inline(apart)).withColumn("bucket", F.explode(places)).withWatermark("pulled", "0 seconds")
+    dealt = needed(own, payload, snapshots=True).select(F.inline(apart)).withColumn("bucket", F.explode(places))
+    if _plain(own, payload):  # what one task has can be of no account by what another has
+        dealt = needed(dealt.repartition("feed", "bucket"), payload, snapshots=True, within=("feed", "bucket"))
+    dealt = dealt.withWatermark("pulled", "0 seconds")
     fields = [("feed", T.StringType()), ("key", T.StringType()), ("change", T.StringType()), ("carried", T.BooleanType()), ("generated", T.LongType()), ("ends", T.LongType())]
     output = T.StructType([*(T.StructField(n, t) for n, t in fields), *kinds.fields])
     changes = dealt.groupBy("feed", "bucket").transformWithState(statefulProcessor=LiveKeys(kinds), outputStructType=output, outputMode="Update", timeMode="eventTime")
